@@ -124,7 +124,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rule and their group's thresholds, with their own columns only."""
     renamed = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     at = {name: f"__c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
-    kept = judged(renamed, at["lang"], at["source"], at["text"]).where("kept")
+    # A row number keeps the optimizer from writing all measures out again in the filter, once for each use.
+    numbered = judged(renamed, at["lang"], at["source"], at["text"]).select("*", F.monotonically_increasing_id().alias("__row"))
+    kept = numbered.where(F.col("kept") & (F.col("__row") >= 0))
     return kept.select(*renamed.columns).toDF(*docs.columns)
 
 
