@@ -91,15 +91,20 @@ def f_beta(tp: Column, fp: Column, fn: Column, beta: float) -> Column:
 
 
 def mcc(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
-    return _ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+    return F.nanvl(_ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0))
 
 
 def confusion_matrices(df: DataFrame, actual: str, predicted: str, weight: str | None = None) -> DataFrame:
-    """One row for each distinct score p, rows with a score of p or more called positive: p, tp, tn, fp, fn, fpr, tpr, mcc, f1, f05, f2, acc."""
+    """One row for each distinct score p, rows with a score of p or more called positive: p, tp, tn, fp, fn, fpr, tpr, mcc, f1, f05, f2, acc.
+
+    Labels are whole numbers; a label other than 0 and 1 counts by its value among those called positive and as a negative below the score.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    y = F.col(actual).cast("double")
-    groups = df.groupBy(F.col(predicted).cast("double").alias("p")).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
-    total = groups.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    y = F.col(actual).cast("int")
+    one = F.when(y == 1, w)
+    sums = {"pos": one, "neg": F.when(y != 1, w), "by_label": w * y, "by_rest": w * (1 - y)}
+    groups = df.groupBy(F.col(predicted).cast("double").alias("p")).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(k) for k, c in sums.items()])
+    total = groups.agg(F.sum("by_label").alias("all_pos"), F.sum("by_rest").alias("all_neg"))
     swept = running_sums(groups, "p", {"fn": "pos", "tn": "neg"}).join(F.broadcast(total))  # total is one row
     swept = swept.withColumn("tp", F.col("all_pos") - F.col("fn")).withColumn("fp", F.col("all_neg") - F.col("tn"))
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))

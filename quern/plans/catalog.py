@@ -58,3 +58,388 @@ def confusion_matrices(spark, sf_dir):
 @query(_SWEEP + "SELECT " + ", ".join(f"round(greatest(0, max({c})), 6) + 0.0::DOUBLE AS {c}_opt" for c in "f05 f1 f2 mcc acc".split()) + " FROM x")
 def best_thresholds(spark, sf_dir):
     return rounded(M.best_thresholds(_scored(spark, sf_dir), "y", "score", "w"))
+
+
+# -- metrics, ranks, moments -----------------------------------------------------------------------------------------
+
+from ..functions import prepare as P  # noqa: E402
+from ..functions import prox as X  # noqa: E402
+from ..functions import stats as S  # noqa: E402
+from ..operators import arima as A  # noqa: E402
+from ..operators import decompose as D  # noqa: E402
+from ..operators import factorize as Z  # noqa: E402
+from ..operators import graph_form as G  # noqa: E402
+from ..operators import kmeans as K  # noqa: E402
+from ..operators import linear as L  # noqa: E402
+from ..operators import trees as T  # noqa: E402
+
+
+def _r(expression: str, name: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+@query(
+    "SELECT " + ", ".join([
+        _r("avg(y)", "mean_actual"), _r("avg((y-p)*(y-p))", "mse", 2), _r("sqrt(avg((y-p)*(y-p)))", "rmse", 4), _r("avg(abs(y-p))", "mae", 4),
+        _r("avg((ln(1+y)-ln(1+p))*(ln(1+y)-ln(1+p)))", "msle"), _r("sqrt(avg((ln(1+y)-ln(1+p))*(ln(1+y)-ln(1+p))))", "rmsle"), _r("avg((y<>p)::INT::DOUBLE)", "ce"),
+    ]) + " FROM (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)"
+)
+def point_metrics(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
+    m = M.point_metrics("y", "p")
+    digits = {"mse": 2, "rmse": 4, "mae": 4}
+    row = df.agg(F.avg("y").alias("mean_actual"), *[c.alias(k) for k, c in m.items() if k != "log_loss"])
+    return row.select(*[(F.round(c, digits.get(c, 6)) + F.lit(0.0)).alias(c) for c in row.columns])
+
+
+@query("SELECT " + _r("avg(-(y*ln(q) + (1-y)*ln(1-q)))", "log_loss") + " FROM (SELECT (l_returnflag='R')::INT::DOUBLE AS y, greatest(1e-15, least(1-1e-15, l_discount*5)) AS q FROM lineitem)")
+def log_loss(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_discount") * 5.0).alias("p"))
+    return rounded(df.agg(M.point_metrics("y", "p")["log_loss"].alias("log_loss")))
+
+
+@query("WITH g AS (SELECT l_quantity AS score, count(*) AS n FROM lineitem GROUP BY 1) SELECT score, n, sum(n) OVER (ORDER BY score) - n + (n + 1) / 2.0::DOUBLE AS rank FROM g")
+def tied_rank(spark, sf_dir):
+    return M.tied_rank(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("score")), "score")
+
+
+@query(
+    "WITH r AS (SELECT (l_returnflag='R')::INT AS y, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS k FROM lineitem), "
+    "s AS (SELECT sum(k) FILTER (y = 1) AS r, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM r) SELECT " + _r("(r - p*(p+1)/2) / (p*(n-p))", "auc", 9) + " FROM s"
+)
+def auc(spark, sf_dir):
+    return rounded(M.auc(_scored(spark, sf_dir), "y", "score"), 9)
+
+
+_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, " + ", ".join([_r(f"min({c})", "min"), _r(f"max({c})", "max"), _r(f"avg({c})", "mean", 4), _r(f"var_samp({c}) / 1e3", "var", 4), _r(f"stddev_pop({c})", "sd", 4)]) + " FROM lineitem" for c in _COLS))
+def column_summary(spark, sf_dir):
+    out = S.summary(table(spark, sf_dir, "lineitem"), _COLS)
+    return out.select("name", "n", *[(F.round(F.col(c) / (1000 if c == "var" else 1), d) + F.lit(0.0)).alias(c) for c, d in (("min", 6), ("max", 6), ("mean", 4), ("var", 4), ("sd", 4))])
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL OR isnan({c}) OR isinf({c})) AS bad FROM lineitem" for c in _COLS))
+def finite_scan(spark, sf_dir):
+    return S.not_finite(table(spark, sf_dir, "lineitem"), _COLS)
+
+
+@query("WITH m AS (SELECT avg(l_quantity) AS m FROM lineitem) SELECT " + _r("greatest(abs(sum(l_discount*(l_quantity-m))), abs(sum(l_tax*(l_quantity-m))))", "lambda_max", 3) + " FROM lineitem, m")
+def lambda_max(spark, sf_dir):
+    return rounded(S.lambda_max(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], "l_quantity"), 3)
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {_r(f'sum({a}*{b})', 'value', 3)} FROM lineitem" for i, a in enumerate(["1.0::DOUBLE", "l_quantity", "l_discount", "l_tax"]) for j, b in enumerate(["1.0::DOUBLE", "l_quantity", "l_discount", "l_tax"]) if i <= j))
+def gram_matrix(spark, sf_dir):
+    return rounded(S.gram(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), 3)
+
+
+# -- models ----------------------------------------------------------------------------------------------------------
+
+
+def _named(spark, pairs: dict) -> DataFrame:
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in pairs.items()], "name string, value double"), 4)
+
+
+_NORMAL = """
+WITH s AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_discount) AS mz, avg(l_extendedprice / 1000) AS my FROM lineitem),
+c AS (SELECT sum((l_quantity-mx)*(l_quantity-mx)) + {lam} AS xx, sum((l_discount-mz)*(l_discount-mz)) + {lam} AS zz, sum((l_quantity-mx)*(l_discount-mz)) AS xz,
+ sum((l_quantity-mx)*(l_extendedprice/1000-my)) AS xy, sum((l_discount-mz)*(l_extendedprice/1000-my)) AS zy, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my FROM lineitem, s),
+b AS (SELECT (xy*zz - zy*xz)/(xx*zz - xz*xz) AS b1, (zy*xx - xy*xz)/(xx*zz - xz*xz) AS b2, mx, mz, my FROM c)
+SELECT 'l_quantity' AS name, round(b1, 4) + 0.0::DOUBLE AS value FROM b UNION ALL SELECT 'l_discount', round(b2, 4) + 0.0 FROM b UNION ALL SELECT 'intercept', round(my - b1*mx - b2*mz, 4) + 0.0 FROM b
+"""
+
+
+def _regression(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@query(_NORMAL.format(lam=0))
+def linear_regression(spark, sf_dir):
+    m = L.linear_regression(_regression(spark, sf_dir), ["l_quantity", "l_discount"], "y")
+    return _named(spark, dict(zip(m.features, m.coef, strict=True)) | {"intercept": m.intercept})
+
+
+@query(_NORMAL.format(lam=50))
+def ridge_regression(spark, sf_dir):
+    m = L.ridge(_regression(spark, sf_dir), ["l_quantity", "l_discount"], "y", alpha=50.0)
+    return _named(spark, dict(zip(m.features, m.coef, strict=True)) | {"intercept": m.intercept})
+
+
+@query(
+    "WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice/1000) AS my FROM lineitem), g AS (SELECT sum((l_quantity-mx)*(l_quantity-mx)) AS xx, sum((l_quantity-mx)*(l_extendedprice/1000-my)) AS xy FROM lineitem, s), "
+    "q AS (SELECT a.alpha, l.lam, xx, xy FROM g, (VALUES (0.0::DOUBLE), (0.5), (1.0)) a(alpha), (VALUES (1000.0::DOUBLE), (100000.0), (10000000.0)) l(lam)) "
+    "SELECT alpha, lam AS lambda, round(sign(xy) * greatest(abs(xy) - lam*alpha, 0) / (xx + lam*(1-alpha)), 5) + 0.0::DOUBLE AS coef FROM q"
+)
+def elastic_net_path(spark, sf_dir):
+    fit = L.ElasticNetPath(lambdas=[1e3, 1e5, 1e7], alphas=[0.0, 0.5, 1.0]).fit(_regression(spark, sf_dir), ["l_quantity"], "y")
+    return rounded(fit.path_frame(spark).select("alpha", "lambda", F.get("coef", F.lit(0)).alias("coef")), 5)
+
+
+@query(
+    "WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice/1000) AS my, count(*) AS n FROM lineitem), g AS (SELECT sum((l_quantity-mx)*(l_quantity-mx)) AS xx, sum((l_quantity-mx)*(l_extendedprice/1000-my)) AS xy, any_value(n) AS n FROM lineitem, s) "
+    "SELECT 'l_quantity' AS name, round(sign(xy) * greatest(abs(xy) - 20.0*n, 0) / xx, 4) + 0.0::DOUBLE AS value FROM g"
+)
+def lasso_regression(spark, sf_dir):
+    m = L.lasso(_regression(spark, sf_dir), ["l_quantity"], "y", alpha=20.0)
+    return _named(spark, {"l_quantity": m.coef[0]})
+
+
+@query()
+def elastic_net_cross_validated(spark, sf_dir):
+    df = P.contiguous_folds(_regression(spark, sf_dir).withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "key", 5)
+    return L.ElasticNetPath(n_lambdas=20, n_alphas=3).fit(df, ["l_quantity", "l_discount", "l_tax"], "y", fold="fold").path_frame(spark)
+
+
+@query()
+def logistic_regression(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_tax")
+    m = L.logistic_regression(df, ["l_quantity", "l_discount", "l_tax"], "y")
+    return _named(spark, dict(zip(m.features, m.coef, strict=True)) | {"intercept": m.intercept})
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _starts(spark, sf_dir, k: int = 4):
+    return [r["x"] for r in _vectors(spark, sf_dir).orderBy("vec_id").limit(k).collect()]
+
+
+_DIST = "list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+_VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cid, x FROM v ORDER BY vec_id LIMIT 4)"
+
+
+@query(f"WITH {_VEC}, d AS (SELECT v.vec_id, c.cid, {_DIST} AS d FROM v, c) SELECT vec_id, first(cid ORDER BY d, cid)::INT AS label, round(min(d), 6) + 0.0::DOUBLE AS least FROM d GROUP BY vec_id")
+def kmeans_assign(spark, sf_dir):
+    import numpy as np
+
+    d = K.distances(F.col("x"), np.array(_starts(spark, sf_dir)))
+    return rounded(_vectors(spark, sf_dir).select("vec_id", d.alias("d")).select("vec_id", K.nearest(F.col("d")).alias("label"), F.array_min("d").alias("least")))
+
+
+@query(
+    f"WITH {_VEC}, d AS (SELECT v.vec_id, v.x, c.cid, {_DIST} AS d FROM v, c), l AS (SELECT vec_id, any_value(x) AS x, first(cid ORDER BY d, cid) AS label FROM d GROUP BY vec_id), "
+    "e AS (SELECT label, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS a FROM l) SELECT label::INT AS label, (i - 1)::INT AS i, round(avg(a), 6) + 0.0::DOUBLE AS value FROM e GROUP BY label, i"
+)
+def kmeans_step(spark, sf_dir):
+    import numpy as np
+
+    new, _, _ = K.lloyd_step(_vectors(spark, sf_dir), "x", np.array(_starts(spark, sf_dir)))
+    return rounded(spark.createDataFrame([(k, i, float(x)) for k, c in enumerate(new) for i, x in enumerate(c)], "label int, i int, value double"))
+
+
+@query()
+def kmeans_fit(spark, sf_dir):
+    m = K.kmeans(_vectors(spark, sf_dir), "x", 10, seed=1, max_iter=8)
+    return m.predict(_vectors(spark, sf_dir)).select("vec_id", "label")
+
+
+@query("WITH m AS (SELECT var_samp(l_quantity) + var_samp(l_discount*100) + var_samp(l_tax*100) AS t FROM lineitem) SELECT " + _r("t", "total", 4) + " FROM m")
+def pca_total_variance(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("d"), (F.col("l_tax") * 100).alias("t"))
+    m = D.pca(df, ["l_quantity", "d", "t"], 3)
+    return rounded(spark.createDataFrame([(float(m.explained_variance.sum()),)], "total double"), 4)
+
+
+@query()
+def pca_embeddings(spark, sf_dir):
+    df, names = D.exploded_vector(_vectors(spark, sf_dir), "x", 64)
+    return D.pca(df, names, 4).transform(df).select("vec_id", "c0", "c1", "c2", "c3")
+
+
+@query()
+def truncated_svd_embeddings(spark, sf_dir):
+    df, names = D.exploded_vector(_vectors(spark, sf_dir), "x", 64)
+    return D.truncated_svd(df, names, 4).transform(df).select("vec_id", "c0", "c1", "c2", "c3")
+
+
+_RATINGS = "r AS (SELECT l_partkey AS item, l_suppkey AS \"user\", avg(l_quantity) AS r FROM lineitem GROUP BY 1, 2)"
+
+
+def _ratings(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("user")).agg(F.avg("l_quantity").alias("r"))
+
+
+@query(f"WITH {_RATINGS}, f AS (SELECT *, 1.0 + item % 7 AS v FROM r) SELECT \"user\", round(sum(r*v)/(sum(v*v) + count(*)*0.5), 6) + 0.0::DOUBLE AS u FROM f GROUP BY 1")
+def als_half_step(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    factors = r.select("item").distinct().withColumn("v", (1.0 + F.col("item") % 7).cast("double"))
+    return rounded(Z.rank_one_half_step(r, factors, "user", "item", "r", 0.5))
+
+
+@query()
+def als_factorization(spark, sf_dir):
+    r = _ratings(spark, sf_dir).select(F.col("item").cast("int").alias("item"), F.col("user").cast("int").alias("user"), F.col("r").cast("float").alias("r"))
+    model = Z.factorize(r, "user", "item", "r", rank=8, max_iter=5)
+    return model.transform(r).agg(Z.rmse(F.col("r"), F.col("prediction")).alias("rmse"))
+
+
+_DAILY = "d AS (SELECT o_orderstatus AS s, date_trunc('day', o_orderdate) AS t, sum(o_totalprice)/1e6 AS v FROM orders GROUP BY 1, 2)"
+
+
+def _daily(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("s"), F.date_trunc("day", "o_orderdate").alias("t")).agg((F.sum("o_totalprice") / 1e6).alias("v"))
+
+
+@query(f"WITH {_DAILY}, x AS (SELECT s, v, lag(v) OVER (PARTITION BY s ORDER BY t) AS p FROM d) SELECT s, round(sum(v*p)/sum(p*p), 6) + 0.0::DOUBLE AS phi FROM x WHERE p IS NOT NULL GROUP BY s")
+def arima_ar1(spark, sf_dir):
+    return rounded(A.arima(_daily(spark, sf_dir), ["s"], "t", "v", 1).select("s", F.get("phi", F.lit(0)).alias("phi")))
+
+
+@query()
+def arima_111(spark, sf_dir):
+    return A.arima(_daily(spark, sf_dir), ["s"], "t", "v", 1, 1, 1)
+
+
+@query(f"WITH {_DAILY}, x AS (SELECT s, t, v - lag(v) OVER (PARTITION BY s ORDER BY t) AS a FROM d) SELECT s, t, round(a - lag(a) OVER (PARTITION BY s ORDER BY t), 9) + 0.0::DOUBLE AS diff FROM x")
+def differencing(spark, sf_dir):
+    return rounded(P.differenced(_daily(spark, sf_dir), "v", "t", ["s"], 2).select("s", "t", "diff"), 9)
+
+
+@query(f"WITH {_DAILY}, x AS (SELECT s, t, lag(v) OVER w AS lag1, lag(v, 2) OVER w AS lag2 FROM d WINDOW w AS (PARTITION BY s ORDER BY t)) SELECT s, t, round(lag1, 9) + 0.0::DOUBLE AS lag1, round(lag2, 9) + 0.0::DOUBLE AS lag2 FROM x WHERE lag2 IS NOT NULL")
+def lag_matrix(spark, sf_dir):
+    return rounded(P.lag_matrix(_daily(spark, sf_dir), "v", "t", ["s"], 2).select("s", "t", "lag1", "lag2"), 9)
+
+
+@query(f"WITH {_DAILY} SELECT s, t, round(avg(v) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) + 0.0::DOUBLE AS average FROM d")
+def moving_average(spark, sf_dir):
+    return rounded(P.moving_average(_daily(spark, sf_dir), "v", "t", ["s"]).select("s", "t", "average"), 9)
+
+
+@query()
+def random_forest(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_tax")
+    m = T.random_forest_classifier(df, ["l_quantity", "l_discount", "l_tax"], "y", n_estimators=10)
+    return spark.createDataFrame(m.importances(), "name string, importance double")
+
+
+@query()
+def gradient_boosting(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), "l_quantity", "l_discount", "l_tax")
+    m = T.gradient_boosting_regressor(df, ["l_quantity", "l_discount", "l_tax"], "y", n_estimators=5)
+    return m.predict(df).agg(F.sqrt(F.avg(M.se("y", "prediction"))).alias("rmse"))
+
+
+@query()
+def graph_form_lasso(spark, sf_dir):
+    df = _regression(spark, sf_dir).select((F.col("l_quantity") / 50).alias("a"), F.col("l_discount").alias("b"), (F.col("y") / 100).alias("o"))
+    x = G.solve(df, ["a", "b"], {"h": "square"}, {"h": "abs", "c": 1.0}, offset="o", max_iter=30)
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(["a", "b"], x, strict=True)], "name string, value double")
+
+
+# -- convex functions ------------------------------------------------------------------------------------------------
+
+_GRID = "g AS (SELECT DISTINCT l_discount * 40 - 2 AS v FROM lineitem)"
+_PROX_SQL = {
+    "abs": "greatest(v-.5,0)-greatest(-v-.5,0)", "huber": "CASE WHEN abs(v)<1.5 THEN v*2/3 ELSE v-.5*sign(v) END", "identity": "v-.5", "indbox01": "least(greatest(v,0),1)", "indeq0": "0.0::DOUBLE",
+    "indge0": "greatest(v,0)", "indle0": "least(v,0)", "maxneg0": "CASE WHEN v>=0 THEN v WHEN v<=-.5 THEN v+.5 ELSE 0 END", "maxpos0": "CASE WHEN v<=0 THEN v WHEN v>=.5 THEN v-.5 ELSE 0 END",
+    "neglog": "(v+sqrt(v*v+2))/2", "square": "v*2/3", "zero": "v",
+}
+
+
+@query(f"WITH {_GRID} SELECT round(v, 6) + 0.0::DOUBLE AS v, " + ", ".join(_r(e, k) for k, e in _PROX_SQL.items()) + " FROM g")
+def proximal_operators(spark, sf_dir):
+    grid = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 40 - 2).alias("v")).distinct()
+    return rounded(grid.select("v", *[X.prox(k, F.col("v"), 2.0).alias(k) for k in _PROX_SQL]))
+
+
+@query(f"WITH {_GRID} SELECT round(v, 6) + 0.0::DOUBLE AS v, " + ", ".join(_r(e, k) for k, e in {"abs": "abs(v)", "exp": "exp(v)", "huber": "CASE WHEN abs(v)<1 THEN v*v/2 ELSE abs(v)-.5 END", "logistic": "ln(1+exp(v))", "maxneg0": "greatest(-v,0)", "maxpos0": "greatest(v,0)", "negentr": "CASE WHEN v<=0 THEN 0 ELSE v*ln(CASE WHEN v<=0 THEN 1 ELSE v END) END", "square": "v*v/2"}.items()) + " FROM g")
+def convex_values(spark, sf_dir):
+    grid = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 40 - 2).alias("v")).distinct()
+    return rounded(grid.select("v", *[X.value(k, F.col("v")).alias(k) for k in ("abs", "exp", "huber", "logistic", "maxneg0", "maxpos0", "negentr", "square")]))
+
+
+@query()
+def proximal_iterated(spark, sf_dir):
+    grid = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 40 - 2).alias("v")).distinct()
+    return grid.select("v", *[X.prox(k, F.col("v"), 2.0).alias(k) for k in ("exp", "logistic", "negentr", "recipr")])
+
+
+# -- preparation -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::BIGINT AS code FROM orders")
+def label_index(spark, sf_dir):
+    return P.label_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code")
+
+
+@query("WITH f AS (SELECT o_orderpriority, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY 1) SELECT o_orderkey, code::BIGINT AS code FROM orders JOIN f USING (o_orderpriority)")
+def first_seen_index(spark, sf_dir):
+    return P.first_seen_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "code").select("o_orderkey", "code")
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_linestatus='O')::INT AS l_linestatus_O, (l_returnflag='N')::INT AS l_returnflag_N, (l_returnflag='R')::INT AS l_returnflag_R FROM lineitem")
+def one_hot(spark, sf_dir):
+    df = P.one_hot(table(spark, sf_dir, "lineitem"), "l_linestatus", ["F", "O"])
+    return P.one_hot(df, "l_returnflag", ["A", "N", "R"]).select("l_orderkey", "l_linenumber", "l_linestatus_O", "l_returnflag_N", "l_returnflag_R")
+
+
+@query("WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT l_suppkey, n, CASE WHEN n < 600 THEN 'RARE' ELSE l_suppkey::VARCHAR END AS freq_level FROM c), y AS (SELECT *, sum(n) OVER (PARTITION BY freq_level) / sum(n) OVER () AS f FROM x) SELECT l_orderkey, l_linenumber, freq_level, round(f, 9) + 0.0::DOUBLE AS freq FROM lineitem JOIN y USING (l_suppkey)")
+def frequency_encoding(spark, sf_dir):
+    df = P.frequency_encode(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", rare=600)
+    return rounded(df.select("l_orderkey", "l_linenumber", "freq_level", "freq"), 9)
+
+
+@query("WITH s AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, avg(l_tax) AS m, stddev_samp(l_tax) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, " + _r("(l_quantity-a)/(b-a)", "l_quantity") + ", " + _r("(l_tax-m)/d", "l_tax") + " FROM lineitem, s")
+def scaling(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    return rounded(P.scaled(P.scaled(df, ["l_quantity"]), ["l_tax"], "zscore").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"))
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS m FROM orders) SELECT o_orderkey, k >= m - floor(0.2 * m)::BIGINT AS is_valid, floor(k * 5 / m)::INT AS fold FROM r")
+def splits_and_folds(spark, sf_dir):
+    df = P.head_tail_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
+    return P.contiguous_folds(df, "o_orderkey", 5)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS band, (o_orderstatus IN ('F','O'))::INT AS settled FROM orders WHERE o_totalprice IS NOT NULL")
+def derived_labels(spark, sf_dir):
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").dropna(subset=["o_totalprice"]).select("o_orderkey", F.when(price > 200000, "high").when(price > 100000, "middle").otherwise("low").alias("band"), F.col("o_orderstatus").isin("F", "O").cast("int").alias("settled"))
+
+
+# -- look-ups --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') "
+    "SELECT e.event_id, e.user_id, p.value AS latest_value FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.ts"
+)
+def as_of_lookup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    left = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    right = events.where("event_type = 'purchase'").select("user_id", "ts", "value")
+    return P.latest_before(left, right, "user_id", "ts", ["value"]).select("event_id", "user_id", "latest_value")
+
+
+@query("SELECT event_id, round(sum(value) OVER w, 6) + 0.0::DOUBLE AS last_sum, count(value) OVER w AS last_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+def last_rows(spark, sf_dir):
+    return rounded(P.last_rows(table(spark, sf_dir, "events"), "user_id", "ts", "value", 5).select("event_id", "last_sum", "last_n"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
+def first_of_each(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return P.first_of_each(df, "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, round(c_acctbal / max(c_acctbal) OVER (PARTITION BY c_nationkey), 9) + 0.0::DOUBLE AS share FROM customer")
+def share_of_group_max(spark, sf_dir):
+    return rounded(P.share_of_group_max(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey").select("c_custkey", "share"), 9)
+
+
+@query("SELECT part_key, source FROM (SELECT p_partkey AS part_key, 'unused' AS source FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT DISTINCT l_partkey, 'used' FROM lineitem WHERE l_quantity > 45)")
+def used_and_unused(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("part_key")).distinct()
+    unused = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key")).join(used, "part_key", "left_anti")
+    return unused.withColumn("source", F.lit("unused")).unionByName(used.withColumn("source", F.lit("used")))
+
+
+@query("SELECT row, col, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT l_orderkey * 8 + l_linenumber AS row, unnest([0, 1]) AS col, unnest([l_discount, l_tax]) AS value FROM lineitem) WHERE value <> 0")
+def sparse_triples(spark, sf_dir):
+    from ..sources.readers import triples
+
+    df = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return rounded(triples(df, ["l_discount", "l_tax"], "key"))
