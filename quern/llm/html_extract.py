@@ -54,6 +54,7 @@ PLAIN_TAGS = frozenset("html body div p span a b i em strong h1 h2 h3 h4 h5 h6 u
 PRIOR = {f"tag:{t}": (200.0, 0.2) for t in "nav footer aside form button select label input script style noscript template iframe svg head title textarea dialog menu option".split()}
 PRIOR |= {"tag:header": (100.0, 0.5), "tag:article": (0.2, 200.0), "tag:main": (2.0, 60.0)}
 PRIOR |= {f"kind:{k}": (200.0, 0.3) for k in ("ad", "menu", "foot", "side", "talk", "note")} | {"kind:head": (60.0, 1.0), "kind:share": (60.0, 2.0), "kind:main": (5.0, 60.0)}
+CONTAINERS = frozenset("#root html body div section article main table tbody tr td".split())
 NEVER = frozenset("nav footer aside form button select script style noscript template iframe svg head title textarea dialog menu".split())
 
 
@@ -137,6 +138,10 @@ class Page:
         if tag == "p" or tag == "br":
             self.flow.append((stack[-1], None))
 
+    def container(self, k: int) -> int:
+        """1 for an element that may begin the article inside other parts, 0 for one that goes with its parent."""
+        return int(self.tags[k] in CONTAINERS or self.kinds[k] == "main")
+
     def features(self) -> list[list[str]]:
         n = len(self.tags)
         own, link = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -190,21 +195,21 @@ class Page:
 
 
 class Model:
-    """Log potentials: of features by label, and of a child's label by its parent's."""
+    """Log potentials: of features by label, and of a child's label by its parent's, apart for containers and parts of text."""
 
     def __init__(self, counts: dict[str, int]):
         single: dict[str, np.ndarray] = {k: np.array(v) for k, v in PRIOR.items()}
-        self.pair = np.array([[60.0, 2.0], [1.0, 60.0]])
+        self.pairs = np.array([[[60.0, 0.5], [1.0, 60.0]], [[60.0, 2.0], [1.0, 60.0]]])  # for parts of text, for containers
         totals = np.array([20.0, 10.0])
         for key, n in counts.items():
             name, _, label = key.rpartition("=")
             if name == "pair":
-                self.pair[int(label[0]), int(label[1])] += n
+                self.pairs[int(label[0]), int(label[1]), int(label[2])] += n
             elif name == "node":
                 totals[int(label)] += n
             else:
                 single.setdefault(name, np.zeros(2))[int(label)] += n
-        self.pair = np.log(self.pair / self.pair.sum(axis=1, keepdims=True))
+        self.pairs = np.log(self.pairs / self.pairs.sum(axis=2, keepdims=True))
         self.single = {k: np.log((v + 0.5) / (totals + np.maximum(0, PRIOR.get(k, (0, 0))) + 1.0)) for k, v in single.items()}
         self.single["tag:#root"] = np.array([0.0, -20.0])
 
@@ -219,12 +224,13 @@ class Model:
         up = own.copy()
         sent = np.zeros((n, 2))
         for k in range(n - 1, 0, -1):
-            sent[k] = _logsum(self.pair + up[k][None, :])
+            pair = self.pairs[page.container(k)]
+            sent[k] = _logsum(pair + up[k][None, :])
             up[page.parents[k]] += sent[k]
         whole = up.copy()
         for k in range(1, n):
             rest = whole[page.parents[k]] - sent[k]
-            whole[k] = up[k] + _logsum((self.pair + rest[:, None]).T)
+            whole[k] = up[k] + _logsum((self.pairs[page.container(k)] + rest[:, None]).T)
         gap = np.clip(whole[:, 0] - whole[:, 1], -500, 500)
         return 1 / (1 + np.exp(gap))
 
@@ -252,7 +258,7 @@ def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html
                 for name in names:
                     counts[f"{name}={int(labels[k])}"] += 1
                 if k:
-                    counts[f"pair={int(labels[page.parents[k]])}{int(labels[k])}"] += 1
+                    counts[f"pair={page.container(k)}{int(labels[page.parents[k]])}{int(labels[k])}"] += 1
         return {"key": list(counts), "n": list(counts.values())}
 
     counts = map_arrow(sample, [F.col(html_column).alias("html")], run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))

@@ -96,7 +96,7 @@ def thresholds(docs: DataFrame, lang: str = "lang", source: str = "source", text
         return df.select(*[c for c in ("lang_key", "source_key") if c in df.columns], F.col("n").alias(f"{prefix}_n"), *[c.alias(f"{prefix}_{k}") for k, c in cut.items()])
 
     own, tongue = limits(groups, "g"), limits(tongues, "l")
-    top = limits(everything, "a").first()
+    top = limits(everything.where("n > 0"), "a").first() or {f"a_{k}": None for k in RULES}
     joined = own.join(tongue, "lang_key")
     chosen = [
         F.when(F.col("g_n") >= LEAST_GROUP, F.col(f"g_{k}")).when(F.col("l_n") >= LEAST_GROUP, F.col(f"l_{k}")).otherwise(F.lit(top[f"a_{k}"]).cast("double")).alias(f"max_{k}")

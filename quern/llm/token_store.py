@@ -150,11 +150,7 @@ def id_counts(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), dtype), minlength=vocabulary) if len(value.as_buffer()) > 4 * vocabulary else 0
-            small = [v.as_buffer() for v in batch.column(0) if len(v.as_buffer()) <= 4 * vocabulary]
-            if small:
-                total += np.bincount(np.frombuffer(b"".join(small), dtype), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token", "n"])
 
