@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,9 +39,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once, and their bytes: texts are long, and two workers share an executor.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what holds whole texts; a lower setting of the user's stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)))  # other forms are a default, or no bound
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_arrow(df: DataFrame, columns: list, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of the chosen ``columns`` as Python lists; it returns lists for ``schema``."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     chosen = df.select(*columns)
     empty = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema

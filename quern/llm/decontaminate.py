@@ -27,7 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from ..session import ship_package
+from .common import map_arrow, small_batches, written
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, LEAST = 5, 0.8
@@ -42,7 +43,7 @@ class WordHashes(dict):
         import xxhash
 
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -173,6 +174,8 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, least: float = LEAST)
     if bytes_of > MOST_ITEM_BYTES:
         bad = contained_items(docs, items, least).select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
     held: list[Items] = []
 

@@ -21,10 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from ..session import ship_package
+from .common import map_arrow, small_batches, written
 
 #: Bounds of the model and of the labelled sample that it is fitted on (documents a language).
-MOST_DOCS, MOST_WORDS, MOST_GRAMS = 4000, 60_000, 40_000
+MOST_DOCS, MOST_WORDS, MOST_GRAMS = 2000, 40_000, 30_000
 LONGEST, STEP_DOWN, CAP = 4, 1.0, 20
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -41,11 +42,10 @@ def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     """The languages and, for words and for ``^``-and-``$``-bounded n-grams, log frequencies in each."""
     words = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")).alias("w")
     counts = sample_of(labelled).select("lang", words).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
-    counts = counts.persist()
+    counts = written(counts, "word-counts")
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sums)
     if not languages:
-        counts.unpersist()
         return [], {}
     padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     grams = None
@@ -68,12 +68,11 @@ def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     totals = {k: np.array([next((r["n"] for r in by_size if r["k"] == k and r["lang"] == lang), 0) for lang in languages], float) for k in range(1, LONGEST + 1)}
     for row in most(grams, "g", MOST_GRAMS):
         model[f"\u0000{row['g']}"] = logs(row, totals[len(row["g"])])
-    counts.unpersist()
     return languages, model
 
 
 class Scorer:
-    def __init__(self, languages: list[str], model: dict[str, np.ndarray], memory: int = 300_000):
+    def __init__(self, languages: list[str], model: dict[str, np.ndarray], memory: int = 100_000):
         self.languages = languages
         self.grams = {k[1:]: v for k, v in model.items() if k[0] == "\u0000"}
         known = [k for k in model if k[0] != "\u0000"]
@@ -148,6 +147,8 @@ def learned(docs: DataFrame) -> tuple[list[str], dict]:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents with a language and a score of ``least`` or more, with their own columns; the text is judged in place, nothing is joined."""
     languages, model = learned(docs)
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((languages, model))
     held: list[Scorer] = []
 

@@ -34,7 +34,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 class PrefixCounter:
     """Counts of all prefixes (by code points) of a text, as differences between neighbours."""
 
-    def __init__(self, source: Encoder, memory: int = 500_000, pairs: int = 2_000_000):
+    def __init__(self, source: Encoder, memory: int = 400_000, pairs: int = 500_000):
         import json
 
         self.source = source
@@ -92,13 +92,18 @@ class PrefixCounter:
         """Counts of the prefixes of one pre-token given in byte letters, from 0 letters on."""
         n = len(word)
         counts, last = [0] * (n + 1), [""] * (n + 1)
-        tokens, stay, longest = self.tokens, self.stay, self.longest
+        tokens, apart, stay = self.tokens, self.apart, self.stay
         for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
+            for i in range(max(0, j - self.longest), j):
                 token = word[i:j]
-                if token in tokens and stay(last[i], token):
-                    counts[j], last[j] = counts[i] + 1, token
-                    break
+                if token in tokens:
+                    left = last[i]
+                    known = not i or apart.get((left, token))
+                    if known is None:
+                        known = stay(left, token)
+                    if known:
+                        counts[j], last[j] = counts[i] + 1, token
+                        break
         return counts
 
     def points(self, word: str) -> list[int]:
