@@ -70,7 +70,7 @@ def by_pieces(text: str, memory: PieceMemory, value_of) -> bytes:
 class Encoder:
     """``ids(text)``: little-endian ids of the whole text, as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
