@@ -43,9 +43,9 @@ class PrefixCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}
-        self.longest = max(map(len, self.tokens))
-        self.most_pairs = pairs
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.pairs, self.most_pairs = 0, pairs
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.nothing: dict[str, bool] = {}
         self.parts: dict[str, bytes] = {}
         self.most = memory
         self.memory = PieceMemory(self.deltas_of, memory)
@@ -79,30 +79,35 @@ class PrefixCounter:
             else:  # of equal merges the left one comes first
                 before, right = b[0] + 1, b[1]
 
-    def stay(self, left: str, right: str) -> bool:
-        """Whether the tokens ``left`` and ``right`` remain two tokens side by side (``left`` empty: ``right`` alone is a token)."""
-        known = self.apart.get((left, right))
-        if known is None:
-            known = not left or self.unmerged(left, right)
-            if len(self.apart) < self.most_pairs:
-                self.apart[(left, right)] = known
+    def beside(self, left: str, right: str) -> bool:
+        """Whether the token ``right`` stays whole behind ``left`` (nothing in front: always), kept in a bounded memory."""
+        known = not left or self.unmerged(left, right)
+        if self.pairs < self.most_pairs:
+            self.pairs += 1
+            self.apart.setdefault(left, {})[right] = known
         return known
 
     def letters(self, word: str) -> list[int]:
-        """Counts of the prefixes of one pre-token given in byte letters, from 0 letters on."""
+        """Counts of the prefixes of one pre-token given in byte letters, from 0 letters on.
+
+        Only one token ends at each place, so the shortest candidates come first and none are tried past it.
+        """
         n = len(word)
         counts, last = [0] * (n + 1), [""] * (n + 1)
-        tokens, apart, stay = self.tokens, self.apart, self.stay
+        tokens, apart, nothing = self.tokens, self.apart, self.nothing
+        near = [apart.get("", nothing)] * (n + 1)  # what is known of the token that ends at each place
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+            i = j
+            while i:
+                i -= 1
                 token = word[i:j]
                 if token in tokens:
-                    left = last[i]
-                    known = not i or apart.get((left, token))
+                    known = near[i].get(token)
                     if known is None:
-                        known = stay(left, token)
+                        known = self.beside(last[i], token)
                     if known:
                         counts[j], last[j] = counts[i] + 1, token
+                        near[j] = apart.get(token, nothing)
                         break
         return counts
 
@@ -188,8 +193,16 @@ def prefix_counts(table: bytes | None) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.frombuffer(table or b"", DELTA), dtype=np.int64)])
 
 
-def token_table(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, n_chars, n_tokens, prefix_table) of every row; ``prefix_table`` holds the count of every prefix."""
+def fitting(table: bytes | None, limit: int) -> int:
+    """Code points of the longest prefix of at most ``limit`` tokens."""
+    return int(np.flatnonzero(prefix_counts(table) <= limit)[-1])
+
+
+def token_table(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_chars, n_tokens, prefix_table) of every row; ``prefix_table`` holds the count of every prefix.
+
+    With a ``limit`` the tables answer one budget question on their way out: ``fits_chars`` is ``longest_prefix`` of that limit.
+    """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         by = counter(path)
@@ -201,11 +214,11 @@ def token_table(docs: DataFrame, path: str, id_column: str = "doc_id", text_colu
             "n_chars": [len(t) for t in texts],
             "n_tokens": [int(np.frombuffer(t, DELTA).sum(dtype=np.int64)) for t in tables],
             "prefix_table": tables,
-        }
+        } | ({} if limit is None else {"fits_chars": [fitting(t, limit) for t in tables]})
 
     kind = docs.schema[id_column].dataType.simpleString()
     columns = [F.col(id_column).alias("id"), F.col(text_column).alias("text")]
-    return map_arrow(docs, columns, run, f"{id_column} {kind}, n_bytes long, n_chars long, n_tokens long, prefix_table binary")
+    return map_arrow(docs, columns, run, f"{id_column} {kind}, n_bytes long, n_chars long, n_tokens long, prefix_table binary" + ", fits_chars long" * (limit is not None))
 
 
 def tokens_of_prefix(table: Column, n_chars: Column) -> Column:
@@ -223,12 +236,12 @@ def longest_prefix(table: Column, limit: int) -> Column:
 
     @F.pandas_udf("long")
     def ask(tables: pd.Series) -> pd.Series:
-        return pd.Series([int(np.flatnonzero(prefix_counts(t) <= limit)[-1]) for t in tables], dtype="int64")
+        return pd.Series([fitting(t, limit) for t in tables], dtype="int64")
 
     return ask(table)
 
 
 def op4_token_counts(spark, sf_dir: str, limit: int = 1024) -> DataFrame:
     """Counts of every document; ``fits_chars`` is how much of the text a budget of ``limit`` tokens holds."""
-    table = token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
-    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), longest_prefix(F.col("prefix_table"), limit).alias("fits_chars"))
+    table = token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), limit=limit)
+    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars")
