@@ -27,6 +27,8 @@ from .common import map_arrow, small_batches, written
 #: Bounds of the model and of the labelled sample that it is fitted on (documents a language).
 MOST_DOCS, MOST_WORDS, MOST_GRAMS = 2000, 40_000, 30_000
 LONGEST, STEP_DOWN, CAP = 4, 1.0, 20
+#: Rows that are summed at once.
+GATHER = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -72,50 +74,57 @@ def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
 
 
 class Scorer:
-    def __init__(self, languages: list[str], model: dict[str, np.ndarray], memory: int = 100_000):
+    """Scores of texts in one matrix: a row for each known word, each n-gram less its steps down, and the floor."""
+
+    def __init__(self, languages: list[str], model: dict[str, np.ndarray]):
         self.languages = languages
-        self.grams = {k[1:]: v for k, v in model.items() if k[0] == "\u0000"}
-        known = [k for k in model if k[0] != "\u0000"]
-        self.place = {k: i for i, k in enumerate(known)}
-        self.most = len(known) + memory
-        self.rows = np.zeros((self.most, len(languages)))
-        self.rows[: len(known)] = [model[k] for k in known]
-        self.floor = np.full(len(languages), -12.0)
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the places of ``^word$`` of the longest known n-gram that starts there, scaled to a rare word's weight."""
-        text = f"^{word}$"
-        total = np.zeros(len(self.languages))
-        for i in range(len(text) - 1):
-            for size in range(min(LONGEST, len(text) - i), 0, -1):
-                found = self.grams.get(text[i : i + size])
-                if found is not None:
-                    total += found - STEP_DOWN * (LONGEST - size)
-                    break
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.rows = np.full((len(model) + 1, len(languages)), -12.0)
+        for at, (key, value) in enumerate(model.items()):
+            if key[0] == "\u0000":
+                gram = key[1:]
+                self.grams[gram] = at
+                self.rows[at] = value - STEP_DOWN * (LONGEST - len(gram))
             else:
-                total += self.floor
-        return total / max(1, len(text) - LONGEST + 1)
+                self.words[key] = at
+                self.rows[at] = value
+        self.floor = len(model)
+
+    def unseen(self, word: str) -> list[int]:
+        """For each place of ``^word$``, the row of the longest known n-gram that starts there."""
+        text, grams = f"^{word}$", self.grams
+        found = []
+        for i in range(len(text) - 1):
+            part = text[i : i + LONGEST]
+            while part and part not in grams:
+                part = part[:-1]
+            found.append(grams[part] if part else self.floor)
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORDS.findall((text or "").lower())
         if not self.languages or not words or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
-        places, extra = [], np.zeros(len(self.languages))
+        total = np.zeros(len(self.languages))
+        places: list[int] = []
+        weights: list[float] = []
         for word, n in Counter(words).items():
-            at = self.place.get(word)
-            if at is None:
-                value = self.unseen(word)
-                extra += n * value
-                if len(self.place) < self.most:
-                    at = self.place[word] = len(self.place)
-                    self.rows[at] = value
-            else:
-                places.append((at, n))
+            at = self.words.get(word)
+            if at is not None:
+                places.append(at)
+                weights.append(n)
+            else:  # the mean over its places, scaled to a rare word's weight
+                found = self.unseen(word)
+                places += found
+                weights += [n / max(1, len(word) + 3 - LONGEST)] * len(found)
+            if len(places) > GATHER:
+                total += np.array(weights) @ self.rows[places]
+                places, weights = [], []
         if places:
-            at, n = np.array(places).T
-            extra += n @ self.rows[at]
-        extra *= min(1.0, CAP / len(words))
-        share = np.exp(extra - extra.max())
+            total += np.array(weights) @ self.rows[places]
+        total *= min(1.0, CAP / len(words))
+        share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.languages[best], float(share[best] / share.sum())
 
