@@ -172,8 +172,9 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, least: float = LEAST)
     chosen = items.select("item_id", "text")
     bytes_of = chosen.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     if bytes_of > MOST_ITEM_BYTES:
-        bad = contained_items(docs, items, least).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")  # ids may be null or repeated
+        bad = contained_items(keyed, items, least, id_column="__row").select("__row").distinct()
+        return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
