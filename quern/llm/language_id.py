@@ -1,8 +1,9 @@
 """Operator 8, language identification: known words by their frequency, unseen ones by shorter and shorter character n-grams.
 
 ``train`` counts words and character n-grams of labelled texts with Spark and keeps
-the most frequent (bounds below), so the model has a fixed size; ``identify`` scores
-every word of every whole text. A word of the model adds its log frequency in each
+the most frequent of each language (bounds below), so the model grows only with the number of languages;
+frequencies lean toward the pooled ones of all languages, by the same weight in each, so that what a language
+with little text has never shown is no likelier in it than elsewhere. ``identify`` scores every word of every whole text. A word of the model adds its log frequency in each
 language; any other word is read n-gram by n-gram, each place taking the longest
 n-gram that the model knows, with a penalty for each step down. The language with the largest
 sum wins, by name among equals; the score is its share after a softmax in which long
@@ -18,15 +19,17 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import map_arrow, small_batches, written
 
-#: Bounds of the model and of the labelled sample that it is fitted on (documents a language).
+#: Bounds of the model and of the labelled sample that it is fitted on (documents, words and n-grams a language).
 MOST_DOCS, MOST_WORDS, MOST_GRAMS = 2000, 40_000, 30_000
 LONGEST, STEP_DOWN, CAP = 4, 1.0, 20
+#: Occurrences at pooled frequencies that every language starts with.
+LEAN = 100.0
 #: Rows that are summed at once.
 GATHER = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -57,15 +60,21 @@ def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
         grams = part if grams is None else grams.unionByName(part)
 
     def most(df: DataFrame, key: str, bound: int) -> list:
-        """The ``bound`` most frequent keys with their count in each language."""
+        """Each language's ``bound`` most frequent keys of ``df`` (lang, key, n), with their count in each language."""
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+        chosen = df.select("lang", key, "n", rank.alias("rank")).where(F.col("rank") <= bound).select(key).distinct()
         wide = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(languages)]
-        return df.groupBy(key).agg(F.sum("n").alias("n"), *wide).where("n > 1").orderBy(F.desc("n"), key).limit(bound).collect()
+        return df.join(chosen, key, "left_semi").groupBy(key).agg(F.sum("n").alias("n"), *wide).where("n > 1").orderBy(key).collect()
+
+    def logs(row, total: np.ndarray) -> np.ndarray:
+        own = np.array([row[f"c{i}"] for i in range(len(languages))], float)
+        return np.log((own + LEAN * own.sum() / total.sum()) / (total + LEAN))
 
     model: dict[str, np.ndarray] = {}
-    logs = lambda row, total: np.log((np.array([row[f"c{i}"] for i in range(len(languages))]) + 0.1) / (total + 1))
     total = np.array([sums[lang] for lang in languages], float)
     for row in most(counts, "w", MOST_WORDS):
         model[row["w"]] = logs(row, total)
+    grams = written(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")), "gram-counts")
     by_size = grams.groupBy("lang", F.length("g").alias("k")).agg(F.sum("n").alias("n")).collect()
     totals = {k: np.array([next((r["n"] for r in by_size if r["k"] == k and r["lang"] == lang), 0) for lang in languages], float) for k in range(1, LONGEST + 1)}
     for row in most(grams, "g", MOST_GRAMS):
@@ -131,7 +140,7 @@ class Scorer:
 
 def identify(docs: DataFrame, languages: list[str], model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((languages, model))  # bounded by MOST_WORDS + MOST_GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast((languages, model))  # bounded by MOST_WORDS + MOST_GRAMS a language
     held: list[Scorer] = []
 
     def run(rows: dict[str, list]) -> dict[str, list]:

@@ -1,8 +1,12 @@
-"""Whole jobs: near-copies by verified similarity, repeated and null ids."""
+"""Whole jobs: near-copies by verified similarity, repeated and null ids, a tiny language, wide groups, open elements."""
+
+import subprocess
+import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, simhash
+from quern.llm import decontaminate, html_extract, language_id, quality, simhash
 
 
 def shingles(text, size=5):
@@ -59,3 +63,20 @@ def test_decontamination_beyond_the_sent_size_judges_rows(spark, monkeypatch):
     want = sorted(r["text"] for r in decontaminate.keep_uncontaminated(docs, items).collect())
     monkeypatch.setattr(decontaminate, "MOST_ITEM_BYTES", 0)
     assert sorted(r["text"] for r in decontaminate.keep_uncontaminated(docs, items).collect()) == want == ["clean", "clean one two three four five"]
+
+
+def test_a_tiny_language_takes_nothing(spark):
+    rng = np.random.default_rng(2)
+    make = {k: [f"{k}{''.join(rng.choice(list(letters), 5))}" for _ in range(400)] for k, letters in (("a", "bcdfe"), ("m", "nopqu"))}
+    texts = [(i, " ".join(rng.choice(make[k], 40)), k) for i, k in enumerate(["a", "m"] * 120)]
+    df = spark.createDataFrame([*texts, (10_000, " ".join(f"tiny{c}" for c in "abcdefghijklmno"), "zz")], "doc_id long, text string, lang string")
+    model = language_id.train(df.where((language_id.fold() != 2) | (F.col("lang") == "zz")).select(F.col("doc_id").alias("id"), "text", "lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, *model).collect()}
+    assert all(got[i][0] == k and got[i][1] > 0.5 for i, _, k in texts) and got[10_000][0] == "zz"
+
+
+def test_every_language_has_words_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_WORDS", 3)
+    rows = [(i, "big one two three four five " * 50, "aa") for i in range(20)] + [(100, "rara rara", "bb")]
+    _, model = language_id.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert "rara" in model
