@@ -3,7 +3,7 @@
 All of it is DataFrame expressions. One pass sketches cheap measures of every
 document (KLL sketches, partially aggregated per language and source and merged
 upward to languages and to the whole table); a threshold is the group's median plus a
-multiple of its lower spread plus a slack, so junk in the upper tail of a
+multiple of its lower spread plus a slack, within a bound, so junk in the upper tail of a
 group doesn't raise it, and a group in which a style is usual doesn't lose its
 documents for it. Groups with few documents take their language's sketch, few
 in the language: the table's. A second pass measures again, joins the thresholds
@@ -21,8 +21,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Measure: (multiple of the spread, slack). A document fails above median + multiple * (median - lower quartile) + slack.
-RULES = {"symbols_per_word": (8.0, 0.1), "shout_share": (8.0, 0.15), "dup_line_share": (8.0, 0.55), "repeat_share": (8.0, 0.35), "mean_word": (8.0, 3.0)}
+#: Measure: (multiple of the spread, slack, most of it at a median of zero, and its change with the median). A document fails above
+#: median + least(multiple * (median - lower quartile) + slack, most + change * median). For shares the last stays
+#: below the room up to 1, so every rule can fire however wide its group is spread.
+RULES = {
+    "symbols_per_word": (8.0, 0.1, 0.5, 1.0),
+    "shout_share": (8.0, 0.15, 0.4, -0.4),
+    "dup_line_share": (8.0, 0.55, 0.6, -0.6),
+    "stutter_share": (8.0, 0.1, 0.3, -0.3),
+    "mean_word": (8.0, 3.0, 3.0, 1.0),
+}
 LEAST_GROUP = 50
 SKETCH_K = 400
 #: Thresholds are broadcast while there are at most so many groups (some 100 bytes each).
@@ -48,7 +56,7 @@ def with_measures(docs: DataFrame, windows: bool, text_column: str = "text") ->
         "word_chars": word_chars,
         "n_symbols": _count_of(F.col(t), r"[#*$%&|<>]"),
         "n_shout": _count_of(F.col(t), r"[A-Z!]"),
-        "n_distinct": F.size(F.array_distinct(w)).cast("long"),
+        "n_stutter": F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
@@ -71,7 +79,7 @@ def ratios(m: str = "m") -> dict[str, Column]:
         "symbols_per_word": F.col(f"{m}.n_symbols") / words,
         "shout_share": F.col(f"{m}.n_shout") / F.greatest(F.col(f"{m}.word_chars"), F.lit(1)),
         "dup_line_share": F.col(f"{m}.n_dup_lines") / lines,
-        "repeat_share": (F.col(f"{m}.n_words") - F.col(f"{m}.n_distinct")) / words,
+        "stutter_share": F.col(f"{m}.n_stutter") / words,
         "mean_word": F.col(f"{m}.word_chars") / words,
     }
 
@@ -92,7 +100,7 @@ def thresholds(docs: DataFrame, lang: str = "lang", source: str = "source", text
 
     def limits(df: DataFrame, prefix: str) -> DataFrame:
         at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
-        cut = {k: at(k, 0.5) + by * (at(k, 0.5) - at(k, 0.25)) + slack for k, (by, slack) in RULES.items()}
+        cut = {k: at(k, 0.5) + F.least(by * (at(k, 0.5) - at(k, 0.25)) + slack, most + change * at(k, 0.5)) for k, (by, slack, most, change) in RULES.items()}
         return df.select(*[c for c in ("lang_key", "source_key") if c in df.columns], F.col("n").alias(f"{prefix}_n"), *[c.alias(f"{prefix}_{k}") for k, c in cut.items()])
 
     own, tongue = limits(groups, "g"), limits(tongues, "l")

@@ -80,3 +80,43 @@ def test_every_language_has_words_of_its_own(spark, monkeypatch):
     rows = [(i, "big one two three four five " * 50, "aa") for i in range(20)] + [(100, "rara rara", "bb")]
     _, model = language_id.train(spark.createDataFrame(rows, "id long, text string, lang string"))
     assert "rara" in model
+
+
+def test_each_rule_fires_in_a_wide_group(spark):
+    rng = np.random.default_rng(3)
+    words = [f"word{''.join(rng.choice(list('abcdefghijk'), 4))}" for _ in range(3000)]
+
+    def text(share, change, n=120):
+        own = list(rng.choice(words, n, replace=False))
+        return " ".join(change(w) if i < share * n else w for i, w in enumerate(own))
+
+    def lines(share, n=40):
+        own = [" ".join(rng.choice(words, 4)) for _ in range(n)]
+        return "\n".join("same here" if i < share * n else x for i, x in enumerate(own))
+
+    def stutter(share, n=120):
+        return " ".join(f"{w}" if rng.random() > share else f"{w} {w}" for w in rng.choice(words, n, replace=False))
+
+    junk = {
+        "symbols_per_word": lambda s: text(s, lambda w: f"{w}$"),
+        "shout_share": lambda s: text(s, str.upper),
+        "dup_line_share": lines,
+        "stutter_share": stutter,
+        "mean_word": lambda s: text(s, lambda w: w * 2),
+    }
+    worst = {
+        "symbols_per_word": text(1, lambda w: f"{w}$$$$$$"),
+        "shout_share": text(1, str.upper),
+        "dup_line_share": lines(0.97),
+        "stutter_share": " ".join(f"{w} {w} {w}" for w in rng.choice(words, 60, replace=False)),
+        "mean_word": text(1, lambda w: w * 6),
+    }
+    rows = []
+    for k, make in junk.items():
+        rows += [(f"{k}-{i}", make(float(s)), "en", k) for i, s in enumerate(np.linspace(0, 0.6, 80))] + [(f"{k}-worst", worst[k], "en", k)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    limits = {r["source_key"]: r for r in quality.thresholds(df).collect()}
+    seen = {r["doc_id"]: r for r in quality.with_measures(df, windows=False).select("doc_id", *[c.alias(k) for k, c in quality.ratios().items()]).collect()}
+    for k in quality.RULES:
+        assert seen[f"{k}-worst"][k] > limits[k][f"max_{k}"], k
+        assert k == "mean_word" or k == "symbols_per_word" or limits[k][f"max_{k}"] < 0.95
