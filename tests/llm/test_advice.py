@@ -120,3 +120,10 @@ def test_each_rule_fires_in_a_wide_group(spark):
     for k in quality.RULES:
         assert seen[f"{k}-worst"][k] > limits[k][f"max_{k}"], k
         assert k == "mean_word" or k == "symbols_per_word" or limits[k][f"max_{k}"] < 0.95
+
+
+def test_open_and_empty_elements_cut_nothing():
+    page = html_extract.Page("<p>a<svg class=icon /><p>b<div><noscript>n</div><p>c<template>t<p>d")
+    assert [t for _, t in page.flow if t] == ["a", "b", "n", "c", "t", "d"]
+    run = "from quern.llm.html_extract import Page; Page('<p>x</p><a href=' + 'h' * 5000)"
+    subprocess.run([sys.executable, "-c", run], check=True, timeout=60)
