@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, tokens: int, id_column: str
         by = encoder(path)
         end = np.array([end_id], by.dtype).tobytes()
         out: list[tuple] = []
-        for name, text in zip(rows["id"], rows["text"], strict=True):
-            ids = np.frombuffer(by.ids(text) + end, by.dtype).astype("<u4")
+        for name, own in zip(rows["id"], by.ids_of(rows["text"]), strict=True):
+            ids = np.frombuffer(own + end, by.dtype).astype("<u4")
             first = len(ids) % tokens or tokens
             cuts = [0, *range(first, len(ids) + 1, tokens)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

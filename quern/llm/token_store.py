@@ -138,7 +138,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id",
     def run(rows: dict[str, list]) -> dict[str, list]:
         by = encoder(path)
         end = np.array([end_id], by.dtype).tobytes()
-        return {"id": rows["id"], "ids": [by.ids(t) + end for t in rows["text"]]}
+        return {"id": rows["id"], "ids": [ids + end for ids in by.ids_of(rows["text"])]}
 
     kind = docs.schema[id_column].dataType.simpleString()
     return map_arrow(docs, [F.col(id_column).alias("id"), F.col(text_column).alias("text")], run, f"id {kind}, ids binary")
@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, limit: in
         part = TaskContext.get().partitionId()
         sizes_of, codes = sent.value
         names, sizes, held = [], [], []
-        block = first = 0
+        block = first = total = 0
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype)
@@ -196,9 +196,10 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, limit: in
                 names.append(name)
                 sizes.append(len(ids) // dtype.itemsize)
                 held.append(ids)
-                if sum(sizes) >= BLOCK:
+                total += sizes[-1]
+                if total >= BLOCK:
                     yield close()
-                    block, first = block + 1, first + sum(sizes)
+                    block, first, total = block + 1, first + total, 0
                     names, sizes, held = [], [], []
         if names:
             yield close()

@@ -2,13 +2,13 @@
 
 A text may be cut at every single space that has no white space beside it: the
 split pattern of byte-level BPE never crosses such a place.  The pieces between
-them repeat, so their ids are kept; a new piece is encoded by the library.
+them repeat, so their ids are kept; the new pieces of a batch of texts are encoded by the library
+in one call, and come apart again at the ids that begin with a space.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -67,8 +67,23 @@ def by_pieces(text: str, memory: PieceMemory, value_of) -> bytes:
         return b"".join(out)
 
 
+#: Letters of new pieces that the library encodes in one call.
+CALL = 1 << 18
+#: Marks that stand as a pre-token of their own behind a word of letters at the end of a piece.
+_MARKS = frozenset(",.;:!?")
+
+
+class BatchMemory(dict):
+    """Piece -> ids of the piece with one space before it. What has no room any more is kept for one batch, in ``fresh``."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.fresh[piece]
+
+
 class Encoder:
-    """``ids(text)``: little-endian ids of the whole text, as ``encode(text, add_special_tokens=False)`` gives them."""
+    """``ids_of(texts)``: little-endian ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str, memory: int = 500_000):
         import os
@@ -79,16 +94,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words: dict[str, bytes] = {}
-        self.most = memory // 2
         letters = byte_letters()
         self.space = letters[32]
         self.letters = {b: letters[b] for b in range(256)}
-        self.memory = PieceMemory(self.piece, memory)
+        vocabulary = self.library.get_vocab()
+        self.heads = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that begin with a space
+        self.heads[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
+        self.marks = {m: self.whole(m) for m in _MARKS}
+        self.most = memory
+        self.memory = BatchMemory()
 
     def pretokens(self, text: str) -> list[str]:
         """The library's split of a text without special strings."""
@@ -101,21 +117,74 @@ class Encoder:
             return text.replace(" ", self.space)
         return text.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
 
-    def pretoken(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            known = array(self.code, [t.id for t in self.model.tokenize(self.as_letters(word))]).tobytes()
-            if len(word) <= 3 or len(self.words) < self.most:
-                self.words[word] = known
-        return known
-
-    def piece(self, text: str) -> bytes:
-        if END_TEXT in text or not _PLAIN.fullmatch(text):
-            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pretoken, self.split(text)))
-
-    def ids(self, text: str | None) -> bytes:
-        return by_pieces(text or "", self.memory, self.piece)
+    def whole(self, text: str) -> bytes:
+        """The library's own ids of a text."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if text else b""
+
+    def many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without a space or special string in them, each with one space before it."""
+        out: list[bytes] = []
+        size, at = self.dtype.itemsize, 0
+        while at < len(pieces):
+            stop, letters = at, 0
+            while stop < len(pieces) and letters < CALL:
+                letters += len(pieces[stop])
+                stop += 1
+            part = pieces[at:stop]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.heads[ids])
+            if len(starts) != len(part):
+                raise AssertionError("a piece holds a space")
+            whole, cuts = ids.tobytes(), [*(starts * size).tolist(), len(ids) * size]
+            out += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+            at = stop
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the ids of the new ``pieces`` where ``memory`` finds them. Pieces with white space at an end are left to ``_unsafe``."""
+        memory = self.memory
+        new = [p for p in pieces if p not in memory and p and not p[0].isspace() and not p[-1].isspace()]
+        marked = [p for p in new if p[-1] in _MARKS and p[:-1].isalpha() and max(p) < "\u0250"]
+        ends = set(marked)
+        plain = {p for p in new if p not in ends and END_TEXT not in p}
+        plain.update(core for p in marked if (core := p[:-1]) not in memory)
+        found = {p: self.whole(" " + p) for p in new if END_TEXT in p}
+        order = list(plain)
+        found.update(zip(order, self.many(order), strict=True))
+        for p in marked:
+            core = p[:-1]
+            found[p] = (found[core] if core in found else memory[core]) + self.marks[p[-1]]
+        memory.fresh = found
+        if len(memory) < self.most:
+            memory.update((p, v) for p, v in found.items() if len(p) <= 64)
+
+    def _unsafe(self, text: str) -> bytes:
+        """A text with more white space than single spaces between its pieces."""
+        head, *rest = _SAFE_CUT.split(text)
+        self.learn({p for p in rest if " " not in p})
+        return self.whole(head) + b"".join(self.whole(" " + p) if " " in p or p[-1].isspace() else self.memory[p] for p in rest)
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, null as empty."""
+        cut = [(t or "").split(" ") for t in texts]
+        self.learn(set().union(*[c[1:] for c in cut]))
+        out, later = [], []
+        get = self.memory.__getitem__
+        for k, (head, *rest) in enumerate(cut):
+            if rest and head and head[-1].isspace():
+                later.append(k)
+                out.append(b"")
+                continue
+            try:
+                own = b"".join(map(get, rest))
+            except KeyError:  # a piece with white space at an end
+                later.append(k)
+                out.append(b"")
+                continue
+            out.append(self.whole(head) + own)
+        for k in later:
+            out[k] = self._unsafe(texts[k])
+        return out
 
 
 @lru_cache(maxsize=2)
