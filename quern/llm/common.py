@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stored import discard, sent_if_small  # noqa: F401
+from ..plans.stored import shared_folder as shared_dir  # noqa: F401
+from ..plans.stored import stored as written  # noqa: F401
 from ..session import ship_package
 
 #: Words of the contracts for operators 3 and 5, and the letters they lower-case.
@@ -20,25 +21,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is (tests, local mode)."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quern-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and reread: short lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that go to a Python worker at once, and their bytes: texts are long, and two workers share an executor.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 

@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, sent_if_small, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b long): ``root`` is the smallest node reachable.
+    """(node, root) for every node of ``edges`` (a, b long): ``root`` is the smallest node reachable; a stored table.
 
     Each round first hangs every node's larger neighbours on its smallest neighbour,
-    then its smaller neighbours; roots end up as stars after some log(n) rounds.
-    The smallest neighbour of each node is a partial aggregate, so that a node with very
-    many neighbours never gathers them in one task. Rounds are written to the shared folder.
+    then its smaller neighbours; roots end up as stars after some log(n) rounds. The
+    smallest neighbours are partial aggregates, stored before they meet the edges: a join of
+    two stored tables is sent whole while one side is small, and else Spark may split a node with very many edges.
+    Raises an error if ``max_rounds`` aren't enough (each round about halves the longest path).
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(down, F.col("a") == F.col("n"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        least = written(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
+        hung = edges.join(sent_if_small(least), F.col("b") == F.col("n")).select("a", F.col("m").alias("b"))
+        hung = written(hung.where("a <> b").distinct(), "hung")
+        down = written(hung.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "down")
+        lower = hung.join(sent_if_small(down), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = written(lower.union(down.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        discard(edges, least, hung, down)
+        edges = new
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    out = written(roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "roots")
+    discard(edges)
+    return out

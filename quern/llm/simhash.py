@@ -3,20 +3,19 @@
 ``fingerprints`` gives one fingerprint per row; ``link_classes`` links fingerprints
 within a radius and gives the class of every row.  Rows with the same fingerprint
 are one node first (a partial aggregate: a hot group of copies shrinks where it is).
-Nodes meet in buckets of some of their bits; with a small radius the buckets are
-complete by the pigeonhole principle (of six 10- or 11-bit blocks a pair within
-radius 2 shares four), with a larger one they are seeded samples of bits whose
-number sets the recall.  In a bucket the fingerprints stand as 64 vertical bit planes, 64
+Nodes meet in buckets of equal bits, complete by the pigeonhole principle: of eight blocks of
+8 bits a pair within radius 2 shares six, so there are 28 tables of buckets, and a
+bucket has 16 bits left to differ in: at most 65,536 fingerprints, whatever the input. In a
+bucket the fingerprints stand as 64 vertical bit planes, 64
 fingerprints to a machine word: each query adds the differing planes into
 carry-save counters, for 64 distances at once, and a block is abandoned
-once all its distances exceed the radius.  A bucket too large for one task is dealt
-out as pairs of chunks, and a comparison keeps a spanning forest of what it links,
-so the number of rows stays in proportion to the nodes, not to the pairs.
-
-``keep_one_of_each`` verifies its links by the shingles themselves and names rows by a
-key of their own. Elsewhere rows whose id is null are left out, as a class is named by its smallest id,
-and repeated ids count once in a class; every other row is returned.
-Null texts and texts without words have fingerprint zero and link like any other; only with each other if verified.
+once all its distances exceed the radius. What a bucket hands on is a spanning forest of its links.
+
+A class is named by the smallest id in it. Rows with a null id link like any other (a class of
+nothing else has the name null); rows of the same id are each returned. Null texts and texts without
+words have fingerprint zero and link like any other. Empty tables give empty results.
+
+``keep_one_of_each`` takes one row of each class of texts alike in their word shingles; see there.
 """
 
 from __future__ import annotations
@@ -30,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import ASCII_LOWER, map_arrow, written
+from .common import ASCII_LOWER, discard, map_arrow, sent_if_small, written
 from .components import components
 
 #: The white space of the word rule; ``split()`` knows more of it.
 _SPACES = {c: " " for c in range(9, 14)}
-CHUNK = 2048
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,14 +81,16 @@ def fingerprints(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text
 
 # -- buckets ---------------------------------------------------------------------------------------------------------
 
+#: Blocks that the 64 bits are cut into for a complete search, and the largest radius that it serves.
+BLOCKS, MOST_RADIUS = 8, 2
 
-def bucket_masks(radius: int, tables: int = 24, sampled_bits: int = 18, seed: int = 7) -> list[int]:
-    """Bit masks of the bucket tables: complete for a radius up to 2, else ``tables`` seeded samples of bits."""
-    if radius <= 2:
-        blocks = [int(sum(1 << int(b) for b in part)) for part in np.array_split(np.arange(64), 6)]
-        return [sum(c) for c in combinations(blocks, 6 - radius)]
-    rng = np.random.default_rng(seed)
-    return [int(sum(1 << int(b) for b in rng.choice(64, sampled_bits, replace=False))) for _ in range(tables)]
+
+def bucket_masks(radius: int) -> list[int]:
+    """Bit masks of the bucket tables: all choices of ``BLOCKS`` - ``radius`` blocks, one of which any pair within the radius shares."""
+    if radius > MOST_RADIUS:
+        raise ValueError(f"complete bucket tables serve a radius of {MOST_RADIUS} at most")
+    blocks = [int(sum(1 << int(b) for b in part)) for part in np.array_split(np.arange(64), BLOCKS)]
+    return [sum(c) for c in combinations(blocks, BLOCKS - radius)]
 
 
 def _signed(x: int) -> int:
@@ -204,75 +204,80 @@ def _large_bucket(left: np.ndarray, right: np.ndarray, radius: int, same: bool)
             yield np.stack([i[keep], j[keep]], 1)
 
 
-def compare(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (as index pairs, a forest per bucket) of rows sorted by bucket; ``side`` 1 marks a pair of chunks' second chunk."""
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Index pairs within the radius of rows sorted by bucket; all pairs of a bucket of more than 64 rows follow one another."""
     if not len(fps):
-        return []
+        return
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(fps)))
     small = sizes <= 64
-    out = _forest(_small_buckets(fps, starts[small], sizes[small], radius))
+    yield _small_buckets(fps, starts[small], sizes[small], radius)
     for start, n in zip(starts[~small], sizes[~small], strict=True):
-        own, sides = fps[start : start + n], side[start : start + n]
-        cut = int((sides == 0).sum())
-        pairs = _large_bucket(own, own, radius, True) if cut == n else _large_bucket(own[:cut], own[cut:], radius, False)
-        base = np.array([start, start if cut == n else start + cut])
-        joined: list[np.ndarray] = []
-        for found in pairs:
-            joined.append(np.array(_forest(np.concatenate([*joined[-1:], found + base])), np.int64).reshape(-1, 2))
-        out += [tuple(x) for x in (joined[-1].tolist() if joined else [])]
-    return out
-
-
-def linked(nodes: DataFrame, radius: int, tables: int = 24, sampled_bits: int = 18) -> DataFrame:
-    """Edges (a, b) between the nodes (node, fp, both long) that lie within ``radius`` bits, enough to connect each class."""
+        own = fps[start : start + n]
+        for found in _large_bucket(own, own, radius, True):
+            yield found + start
+
+
+def spanning_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """Links (as index pairs, a forest of each bucket) that connect what lies within the radius in a bucket."""
+    held = np.zeros((0, 2), np.int64)
+    for found in near_pairs(fps, bucket, radius):
+        held = np.concatenate([held, found])
+        if len(held) > 1 << 16:
+            held = np.array(_forest(held), np.int64).reshape(-1, 2)
+    return np.array(_forest(held), np.int64).reshape(-1, 2)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by their first column, cut so that no value of it is split."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:  # a bucket may go on in the next batch: what it has so far waits
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield [np.concatenate(x) for x in zip(*held, [r[:cut] for r in rows], strict=True)]
+            held = []
+        held.append([r[cut:] for r in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def linked(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints ``fp`` of ``nodes`` that lie within ``radius`` bits, enough to connect each class."""
     ship_package(nodes.sparkSession)
-    masks = [_signed(m) for m in bucket_masks(radius, tables, sampled_bits)]
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = keyed.join(sizes, ["t", "key"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    spread = crowded.withColumn("c", chunks).withColumn("i", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    spread = spread.select("node", "fp", "t", "key", "i", other.alias("j")).select(
-        "node", "fp", F.xxhash64("t", "key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side")
-    )
-    dealt = spread.repartition(F.col("bucket")).sortWithinPartitions("bucket", "side", "node")
+    masks = [F.lit(_signed(m)).cast("long") for m in bucket_masks(radius)]
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(m)) for t, m in enumerate(masks)]))
+    dealt = nodes.select(keys.alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(node: np.ndarray, fp: np.ndarray, bucket: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-            found = np.array(compare(fp.view(np.uint64), bucket, side, radius), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+        for bucket, fp in whole_buckets(batches):
+            found = spanning_links(fp.view(np.uint64), bucket, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]]), pa.array(fp[found[:, 1]])], names=["a", "b"])
 
-        held: list[list[np.ndarray]] = []
-        for batch in batches:  # a bucket may go on in the next batch: what it has so far waits
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cut = int(np.searchsorted(rows[2], rows[2][-1]))
-            if cut:
-                yield links(*(np.concatenate(x) for x in zip(*held, [r[:cut] for r in rows], strict=True)))
-                held = []
-            held.append([r[cut:] for r in rows])
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return dealt.mapInArrow(run, "a long, b long")
 
-    return dealt.select("node", "fp", "bucket", "side").mapInArrow(run, "a long, b long")
 
-
-def link_classes(prints: DataFrame, radius: int = 2, id_column: str = "doc_id", tables: int = 24) -> DataFrame:
+def link_classes(prints: DataFrame, radius: int = 2, id_column: str = "doc_id") -> DataFrame:
     """(id, fp, component_id): the smallest id that the row's fingerprint reaches over links of at most ``radius`` bits.
 
-    ``prints`` is (id, fp); it is read twice, so hand in a written table.
+    ``prints`` is (id, fp); it is read twice, so hand in a written table. Fingerprints are the nodes, so
+    rows of one id with two fingerprints don't join their classes.
     """
-    nodes = written(prints.where(F.col(id_column).isNotNull()).groupBy("fp").agg(F.min(id_column).cast("long").alias("node")), "nodes")
-    roots = components(linked(nodes, radius, tables))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.where(F.col(id_column).isNotNull()).join(named, "fp").select(id_column, "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_column).cast("long").alias("least")), "nodes")
+    roots = components(linked(nodes, radius))
+    placed = nodes.join(sent_if_small(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = written(placed, "placed")
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(placed.join(names, "root").select("fp", "component_id"), "named")
+    discard(nodes, roots, placed)
+    return prints.join(named, "fp").select(id_column, "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, tables: int = 24) -> DataFrame:
-    """(doc_id, fp, component_id) of every document with an id."""
-    return link_classes(written(fingerprints(docs, size), "prints"), radius, tables=tables)
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every document."""
+    return link_classes(written(fingerprints(docs, size), "prints"), radius)
 
 
 # -- one document of each class, by verified similarity --------------------------------------------------------------
@@ -280,6 +285,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, tables: int
 #: Bands of minimal hashes: a pair of similarity s shares a band with a chance of 1 - (1 - s**4)**16, 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
 _SEEDS, _FACTORS = (np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1))
+#: Bits within which texts of a similarity of 0.8 lie: of 800 simulated pairs at each of seven lengths none was further.
+RADIUS = 20
+#: Members up to which a bucket is compared in full; larger ones meet again in tables of sampled bits.
+CHUNK, TABLES = 512, 24
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -295,81 +304,131 @@ def band_keys(distinct: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def mask_bits(n: int) -> int:
-    """Sampled bits of a bucket table for ``n`` nodes, so that chance meetings stay in proportion to the nodes."""
-    return min(40, max(18, n.bit_length() + 2))
+def sampled_masks(table: int) -> list[int]:
+    """Masks of 0, 1, ..., 64 bits of a table, each with one bit more than the one before."""
+    order = np.random.default_rng(1000 + table).permutation(64)
+    return [_signed(sum(1 << int(b) for b in order[:k])) for k in range(65)]
 
 
 def verified(pairs: DataFrame, rows: DataFrame, least: float, size: int) -> DataFrame:
-    """The pairs (a, b) of row keys whose sets of shingles of ``size`` words have a similarity of ``least`` or more.
+    """The pairs (a, b) of row keys whose sets of shingles of ``size`` words have a similarity of ``least`` or more; a stored table.
 
     ``rows`` is (row, text). Only rows that occur in a pair are read into sets.
     """
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    named = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "named")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         return {"row": batch["row"], "s": [np.unique(shingle_hashes(t or "", size)).view(np.int64) for t in batch["text"]]}
 
-    sets = written(map_arrow(rows.join(named, "row", "left_semi"), ["row", "text"], run, "row long, s array<bigint>"), "sets")
+    sets = written(map_arrow(rows.join(sent_if_small(named), "row", "left_semi"), ["row", "text"], run, "row long, s array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
+    out = written(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
+    discard(pairs, named, sets)
+    return out
 
 
-def similar_classes(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int = 18, tables: int = 24) -> DataFrame:
-    """(row, root) of every row of ``rows`` (row, text; a written table with distinct row keys), classes over verified links.
+def _alike(fp: str, n: str, other_fp: str, other_n: str, radius: int, least: float):
+    """Whether two nodes may have a similarity of ``least``: by their fingerprints, and by their numbers of shingles."""
+    close = F.bit_count(F.col(fp).bitwiseXOR(F.col(other_fp))) <= radius
+    return close & (F.least(n, other_n) >= least * F.greatest(n, other_n))
 
-    Rows with the same set of shingles are one node. Candidates are fingerprints within ``radius`` bits (16 bits hold
-    some 95 % of the pairs of similarity 0.8) and, for what the sampled bits miss, nodes that share a band of minimal hashes;
-    every link is verified by the shingles themselves. The nodes of a band meet its smallest node first; only those
-    that are then in different classes meet each other.
-    """
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        import xxhash
+def compared(mixed: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots within the radius in one bucket of ``mixed`` (key, node, fp, n, root)."""
+    ship_package(mixed.sparkSession)
+    dealt = mixed.select("key", "node", "fp", "n", "root").repartition("key").sortWithinPartitions("key", "node")
 
-        hashes = [shingle_hashes(t or "", size) for t in batch["text"]]
-        sets = [np.unique(h) for h in hashes]
-        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        return {"row": batch["row"], "fp": [fingerprint_of(h) for h in hashes], "digest": digests, "bands": [band_keys(s) for s in sets]}
-
-    prints = written(map_arrow(rows, ["row", "text"], run, "row long, fp long, digest binary, bands array<bigint>"), "prints")
-    first = written(prints.groupBy("digest").agg(F.min("row").alias("node")), "first")
-    nodes = written(prints.join(first.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "bands"), "nodes")
-    alike = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    same = nodes.join(alike, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    near = linked(alike.select(F.col("least").alias("node"), "fp"), radius, tables, mask_bits(nodes.count()))
-
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(leaders, "key"), "members")
-    links = verified(same.union(near).union(members.select("node", "least")), rows, least, size)
-    roots = written(components(links), "roots")
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = written(placed.join(mixed, "key"), "placed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    crossing = placed.join(other, "key").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b")
-    more = verified(crossing, rows, least, size)
-    roots = components(links.union(more))
-    named = first.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return prints.select("row", "digest").join(named, "digest").select("row", "root")
-
-
-def keep_one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, n, root in whole_buckets(batches):
+            for found in near_pairs(fp.view(np.uint64), key, radius):
+                a, b = found[:, 0], found[:, 1]
+                keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a[keep]]), pa.array(node[b[keep]])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def refined(large: DataFrame) -> DataFrame:
+    """Members (key, node, fp, n, t, wide) of buckets that are too large, in buckets of more equal bits of the fingerprint.
+
+    The first time each member goes to ``TABLES`` tables, after that it takes further bits in its own. Members
+    whose fingerprints are equal in all 64 bits are dealt by a hash.
+    """
+    more = F.ceil(F.log2(F.col("size") / (CHUNK / 4))).cast("int")
+    spread = large.withColumn("next", F.least(F.lit(64), F.col("wide") + more)).withColumn("key", F.when(F.col("wide") < 64, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (CHUNK / 2))))))
+    first = spread.where("t < 0").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
+    spread = first.unionByName(spread.where("t >= 0"))
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in sampled_masks(t)]) for t in range(TABLES)])
+    mask = F.get(F.get(masks, F.col("t")), F.col("next"))
+    return spread.select(F.xxhash64("key", "t", F.col("fp").bitwiseAND(mask)).alias("key"), "node", "fp", "n", "t", F.col("next").alias("wide"))
+
+
+def similar_nodes(nodes: DataFrame, rows: DataFrame, least: float, size: int, radius: int) -> DataFrame:
+    """(node, root) of every node that is alike with another; ``nodes`` is a stored table (node, fp, n, bands)."""
+    members = nodes.select(F.explode("bands").alias("key"), "node", "fp", "n", F.lit(-1).alias("t"), F.lit(0).alias("wide"))
+    links = None
+    while True:
+        heads = members.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("size"))
+        heads = written(heads.where("size > 1"), "heads")
+        crowd = written(members.join(heads, "key"), "crowd")
+        stars = crowd.where((F.col("node") != F.col("head")) & _alike("fp", "n", "head_fp", "head_n", radius, least)).select(F.col("node").alias("a"), F.col("head").alias("b"))
+        found = verified(stars, rows, least, size)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        placed = written(crowd.join(sent_if_small(roots), "node", "left").select("key", "node", "fp", "n", "t", "wide", "size", F.coalesce("root", "node").alias("root")), "placed")
+        apart = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "apart")
+        mixed = written(placed.join(sent_if_small(apart), "key", "left_semi"), "mixed")
+        more = verified(compared(mixed.where(F.col("size") <= CHUNK), radius, least), rows, least, size)
+        discard(heads, crowd, placed, apart)
+        large = mixed.where(F.col("size") > CHUNK)
+        if large.isEmpty():
+            return roots if more.isEmpty() else components(links.union(more))
+        links = links.union(more)
+        members = written(refined(large), "members")
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The documents without their near-copies: of each class one row stays, that with the smallest id, null ids last.
 
+    Two texts are linked if their sets of shingles of ``size`` words have a similarity of ``least`` or more, and
+    a class is what chains of links reach. Rows with equal sets are one node. Nodes meet in buckets that share a
+    band of minimal hashes, since sampled bits of the fingerprint miss too many pairs at 0.8; there their
+    fingerprints (of the distinct shingles) are compared bit plane by bit plane, and what lies within ``radius`` bits is verified by the
+    shingles themselves. Each bucket first meets its smallest node; where it
+    still holds several classes, its members are compared in full, at most ``CHUNK`` of them; larger buckets are
+    dealt out by sampled bits of the fingerprint until they are small, so rows grow with the nodes and not with their pairs.
+
     Rows are told apart by a key written with them, so that rows with the same id or none are judged like any other.
+    Null texts and texts without words are one class. The columns stay as they are, whatever their names.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    classes = written(similar_classes(keyed.select(F.col("__row").alias("row"), "text"), least, size), "classes")
-    crowded = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    inside = classes.join(crowded, "root").join(keyed.select(F.col("__row").alias("row"), "doc_id"), "row")
-    inside = written(inside.select("root", "row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")).alias("rank")), "inside")
-    stays = inside.groupBy("root").agg(F.min("rank").alias("least"))
-    gone = inside.join(stays, "root").where(F.col("row") != F.col("least.row")).select(F.col("row").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    at = {name: c for c, name in reversed(list(zip(columns, docs.columns, strict=True)))}
+    keyed = written(docs.toDF(*columns).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select("row", F.col(at["doc_id"]).alias("id"), F.col(at["text"]).alias("text"))
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        import xxhash
+
+        sets = [np.unique(shingle_hashes(t or "", size)) for t in batch["text"]]
+        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+        return {"row": batch["row"], "id": batch["id"], "fp": [fingerprint_of(s) for s in sets], "n": [len(s) for s in sets], "digest": digests, "bands": [band_keys(s) for s in sets]}
+
+    kind = rows.schema["id"].dataType.simpleString()
+    prints = written(map_arrow(rows, ["row", "id", "text"], run, f"row long, id {kind}, fp long, n long, digest binary, bands array<bigint>"), "prints")
+    nodes = prints.groupBy("digest").agg(F.min("row").alias("node"), F.min_by(F.struct("fp", "n", "bands"), "row").alias("of"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("digest", "node", "copies", "of.*"), "nodes")
+    roots = similar_nodes(nodes, rows.select("row", "text"), least, size, radius)
+    named = nodes.join(sent_if_small(roots), "node", "left").where("copies > 1 OR root IS NOT NULL").select("digest", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    inside = written(prints.join(named, "digest").select("root", "row", rank.alias("rank")), "inside")
+    stays = written(inside.groupBy("root").agg(F.min("rank").alias("best")), "stays")
+    gone = written(inside.join(stays, "root").where(F.col("row") != F.col("best.row")).select("row"), "gone")
+    discard(prints, nodes, roots, named, inside, stays)
+    return keyed.join(sent_if_small(gone), "row", "left_anti").select(*columns).toDF(*docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
