@@ -9,6 +9,7 @@ n-gram that the model knows, with a penalty for each step down. The language wit
 sum wins, by name among equals; the score is its share after a softmax in which long
 texts count as ``CAP`` words.
 
+Very long texts are counted word by word and summed in bounded parts; equal sums go to the first language by name.
 Texts that are null or have no letter get ``und`` and score 0, as does everything if
 there is no labelled text. Null ids are never learned from. Rows are judged one by one.
 """
@@ -27,6 +28,8 @@ from .common import map_arrow, small_batches, written
 
 #: Bounds of the model and of the labelled sample that it is fitted on (documents, words and n-grams a language).
 MOST_DOCS, MOST_WORDS, MOST_GRAMS = 2000, 40_000, 30_000
+#: Languages that a model can tell apart (each is a column of it); more raise an error.
+MOST_LANGUAGES = 500
 LONGEST, STEP_DOWN, CAP = 4, 1.0, 20
 #: Occurrences at pooled frequencies that every language starts with.
 LEAN = 100.0
@@ -37,10 +40,18 @@ UNDETERMINED = "und"
 
 
 def sample_of(labelled: DataFrame) -> DataFrame:
-    """About ``MOST_DOCS`` rows of (id, text, lang) in each language, by a hash of the id: the same ones on any cluster."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    """About ``MOST_DOCS`` rows of (id, text, lang) in each language, by a hash of the id: the same ones on any cluster.
+
+    The languages' sizes come to the driver and go back as one literal, so no text is shuffled.
+    """
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return labelled.select("lang", "text")
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    return labelled.join(sizes, "lang").where(share < MOST_DOCS / F.col("n")).select("lang", "text")
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], MOST_DOCS / r["n"])])
+    return labelled.where(share < F.element_at(most, F.col("lang"))).select("lang", "text")
 
 
 def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
