@@ -3,7 +3,8 @@
 Phrases are matched as whole words over the text's words joined by single spaces,
 in one pass for all of them. Behind an ``SPDX-License-Identifier:`` tag stands an
 expression of identifiers with ``and``, ``or``, ``with`` and brackets; a shunting-yard
-parser turns it into postfix form and evaluates it to the alternatives it allows.
+parser turns it into postfix form, and one pass over that collects the licences it names and says
+whether permissive ones alone can satisfy it; expressions of any length cost in proportion to it.
 
 Null texts count as empty: no words, no places, empty labels, score 0. Overlapping
 places count each; repeated rows are scanned one by one.
@@ -42,6 +43,8 @@ TAG = "spdx license identifier"
 TAGGED = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
 #: Starts of identifiers, longest first, and their labels.
 FAMILIES = [("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("apache", "apache"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("mpl", "mpl"), ("bsd", "bsd"), ("isc", "isc"), ("mit", "mit"), ("unlicense", "public-domain")]
+#: Families that ask for little more than a notice.
+PERMISSIVE = frozenset(["apache", "bsd", "cc0", "isc", "mit", "public-domain", "cc-by"])
 #: Every byte that is no part of a word becomes a space; bytes of other than ASCII characters are parts of words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 OPERATORS = {"or": 1, "and": 2, "with": 3}
@@ -84,28 +87,40 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def alternatives(expression: str, most: int = 64) -> list[frozenset[str]]:
-    """The sets of licences of which one must be kept whole; empty if the expression is malformed. An exception stands with its licence."""
+def evaluated(expression: str, allowed: frozenset[str] = PERMISSIVE) -> tuple[str, list[str], bool] | None:
+    """(postfix form, licences named, whether licences of the ``allowed`` families alone can satisfy it); None if malformed.
+
+    One pass over the postfix form with a stack of truth values: ``or`` needs one side, ``and`` both, and what stands behind
+    ``with`` is an exception to its licence, which counts as the licence does.
+    """
     order = postfix(expression)
-    values: list[list[frozenset[str]]] = []
-    for piece in order or []:
-        if piece not in OPERATORS:
-            values.append([frozenset([piece.lower()])])
+    if order is None:
+        return None
+    values: list[tuple[bool, int, int]] = []  # truth, and where the operands of this part begin and end among all
+    operands: list[str] = []
+    exception: list[bool] = []
+    for piece in order:
+        word = piece.lower()
+        if word not in OPERATORS:
+            operands.append(word)
+            exception.append(False)
+            values.append((family(word) in allowed, len(operands) - 1, len(operands)))
             continue
         right, left = values.pop(), values.pop()
-        if piece == "or":
-            both = left + right
-        elif piece == "and":
-            both = [a | b for a in left for b in right]
-        else:
-            both = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
-        values.append(list(dict.fromkeys(both))[:most] if piece == "with" else list(dict.fromkeys(both)))
-    return values[0] if values else []
+        if word == "with":
+            exception[right[1] : right[2]] = [True] * (right[2] - right[1])
+        truth = left[0] or right[0] if word == "or" else left[0] and right[0] if word == "and" else left[0]
+        values.append((truth, left[1], right[2]))
+    named = list(dict.fromkeys(x for x, out in zip(operands, exception) if not out))
+    return " ".join(x.lower() for x in order), named, values[0][0]
 
 
 def family(identifier: str) -> str:
-    name = identifier.split(" with ")[0]
-    return next((label for start, label in FAMILIES if name.startswith(start)), name)
+    """The family's label: an identifier belongs to it if it is its name, or goes on behind it with a mark or a version."""
+    for start, label in FAMILIES:
+        if identifier.startswith(start) and not identifier[len(start) : len(start) + 1].isalpha():
+            return label
+    return identifier
 
 
 @lru_cache(maxsize=1)
@@ -143,25 +158,27 @@ def scan(text: str | None) -> tuple:
             base.add(BASE[phrase])
         else:
             more.add(MORE[phrase])
-    expressions: list[str] = []
+    expressions: list[dict] = []
     sure = False
     if tagged:
         for match in TAGGED.finditer(text or ""):
-            allowed = alternatives(match.group(1))
-            sure |= bool(allowed)
-            expressions += [" and ".join(sorted(a)) for a in allowed]
-            more |= {family(x) for a in allowed for x in a}
+            found = evaluated(match.group(1))
+            if found is None:
+                continue
+            sure = True
+            expressions.append({"postfix": found[0], "permissive": found[2]})
+            more |= {family(x) for x in found[1]}
     labels = base | more
     score = 1.0 if sure else 0.0 if not labels else min(0.95, 0.6 + 0.1 * (len(starts) + len(more)))
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), expressions, score)
 
 
-NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "alternatives", "score"]
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, alternatives array<string>, score double"
+NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "score"]
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<struct<postfix:string,permissive:boolean>>, score double"
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, alternatives, score) of every row."""
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, score) of every row."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         found = list(zip(*map(scan, rows["text"]), strict=True)) or [[] for _ in NAMES]

@@ -180,15 +180,40 @@ def test_languages(spark):
 
 
 def test_licences(docs):
-    assert licenses.alternatives("(MIT OR Apache-2.0) AND BSD-3-Clause") == [frozenset({"mit", "bsd-3-clause"}), frozenset({"apache-2.0", "bsd-3-clause"})]
-    assert licenses.alternatives("GPL-2.0 WITH Classpath-exception-2.0 */") == [frozenset({"gpl-2.0 with classpath-exception-2.0"})]
-    assert licenses.alternatives("MIT AND") == licenses.alternatives("(MIT") == licenses.alternatives("") == []
+    assert licenses.evaluated("(MIT OR GPL-2.0) AND BSD-3-Clause") == ("mit gpl-2.0 or bsd-3-clause and", ["mit", "gpl-2.0", "bsd-3-clause"], True)
+    assert licenses.evaluated("MIT OR GPL-2.0 AND LGPL-2.1")[2] and not licenses.evaluated("(MIT OR GPL-2.0) AND LGPL-2.1")[2]
+    assert licenses.evaluated("GPL-2.0 WITH Classpath-exception-2.0 */") == ("gpl-2.0 classpath-exception-2.0 with", ["gpl-2.0"], False)
+    assert licenses.evaluated("MIT AND") is licenses.evaluated("(MIT") is licenses.evaluated("") is None
+    assert [licenses.family(x) for x in ("mit", "mit-0", "mitre-foo", "iscx", "gplv3", "gpl2", "apache-2.0", "cc-by-sa-4.0", "cc-by-4.0")] == ["mit", "mit", "mitre-foo", "iscx", "gplv3", "gpl", "apache", "cc-by-sa", "cc-by"]
     got = licenses.scan("x MIT License, mit-license; GNU General Public License\n# SPDX-License-Identifier: MIT OR Apache-2.0")
     assert got[:6] == (17, 3, 1, 5, "gpl,mit", "apache,gpl,mit") and got[7] == 1.0
     assert licenses.scan(None) == (0, 0, None, None, "", "", [], 0.0)
     assert licenses.scan_licenses(docs).count() == len(TEXTS)
 
 
+def test_long_licence_expressions_lose_nothing():
+    many = " OR ".join(f"lic-{i}" for i in range(100))
+    labels = set(licenses.scan(f"SPDX-License-Identifier: ({many}) WITH some-exception")[5].split(","))
+    assert labels == {f"lic-{i}" for i in range(100)}
+    pairs = " AND ".join(f"(a{i} OR b{i})" for i in range(5000))
+    assert len(licenses.scan(f"SPDX-License-Identifier: {pairs}")[5].split(",")) == 10_000
+    assert licenses.evaluated("(" * 3000 + "mit" + ")" * 3000)[1] == ["mit"]
+
+
+def test_licence_places_equal_brute_force():
+    rng = np.random.default_rng(4)
+    parts = ["gnu", "general", "public", "license", "apache", "cc", "by", "mit", "x", "Mit", "LICENSE", "é", "cc-by", ",", "\n", "İ"]
+    for _ in range(400):
+        text = " ".join(rng.choice(parts, int(rng.integers(0, 30))))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        places = []
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts = [i for i, _ in places]
+        assert licenses.scan(text)[:5] == (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({k for _, k in places})))
+
+
 def test_html(spark):
     page = lambda body: f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/a>menu</a></ul></nav><div class=ad>buy</div>{body}<footer>foot</footer></body></html>"
     article = "<article><h1>Head &amp; more</h1><p><b>First\n  part<br><p>Second &eacute;<div class='comments'><p>a comment</div><p>Last</article>"
