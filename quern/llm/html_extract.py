@@ -9,7 +9,8 @@ and words that the sample may lack. Without labels of their own, pages that mark
 up serve as labelled: what stands in ``article`` or ``main`` and not in a part named as boilerplate.
 
 Null html counts as empty: no elements, empty text. Pages are parsed whole, without recursion; open
-elements, stray end tags and unfinished comments are taken as browsers do. Repeated rows are extracted each.
+elements, stray end tags and unfinished comments are taken as browsers do; a tag that is never finished is text, and
+the cost of a page is in proportion to its length. Repeated rows are extracted each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import repeat
+from math import exp, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ SPACE = re.compile(r"\s+")
 #: Fixed values of HTML: elements without content, with raw content, and those that break blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe".split())
+RAW_ENDS = {tag: re.compile(f"</{tag}[^>]*(?:>|\\Z)", re.I) for tag in sorted(RAW)}
+INLINE = frozenset("b i em strong a span".split())
 BLOCKS = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Fixed values of HTML: start tags that close an open element of these.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -54,6 +59,8 @@ PLAIN_TAGS = frozenset("html body div p span a b i em strong h1 h2 h3 h4 h5 h6 u
 PRIOR = {f"tag:{t}": (200.0, 0.2) for t in "nav footer aside form button select label input script style noscript template iframe svg head title textarea dialog menu option".split()}
 PRIOR |= {"tag:header": (100.0, 0.5), "tag:article": (0.2, 200.0), "tag:main": (2.0, 60.0)}
 PRIOR |= {f"kind:{k}": (200.0, 0.3) for k in ("ad", "menu", "foot", "side", "talk", "note")} | {"kind:head": (60.0, 1.0), "kind:share": (60.0, 2.0), "kind:main": (5.0, 60.0)}
+#: Log odds beyond which a belief is certain.
+MOST_ODDS = 500.0
 CONTAINERS = frozenset("#root html body div section article main table tbody tr td".split())
 NEVER = frozenset("nav footer aside form button select script style noscript template iframe svg head title textarea dialog menu".split())
 
@@ -64,42 +71,55 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.kinds, self.parents = ["#root"], [""], [-1]
         self.flow: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
-        stack = [0]
+        self.stack = [0]
+        self.depths: dict[str, list[int]] = {}  # of each tag, the places of its open elements in the stack
+        self.blocks: list[int] = []  # the places of open blocks
         at, end = 0, len(html)
-        lower = None
         while at < end:
             match = TOKENS.search(html, at)
             if match is None:
-                self._text(stack[-1], html[at:])
+                self._text(html[at:])
                 break
             if match.start() > at:
-                self._text(stack[-1], html[at : match.start()])
+                self._text(html[at : match.start()])
             at = match.end()
             tag = match.group(2)
             if not tag:
                 continue
             tag = tag.lower()
             if match.group(1):
-                self._close(stack, tag)
+                self._close(tag)
                 continue
             for other in CLOSES.get(tag, ()):
-                if self.tags[stack[-1]] == other:
-                    self.flow.append((stack.pop(), None))
-            if tag in ENDS_P:
-                self._end_p(stack)
+                if self.tags[self.stack[-1]] == other:
+                    self.flow.append((self.stack[-1], None))
+                    self._cut(len(self.stack) - 1)
+            if tag in ENDS_P and self.blocks and self.tags[self.stack[self.blocks[-1]]] == "p":
+                self.flow.append((self.stack[self.blocks[-1]], None))
+                self._cut(self.blocks[-1])
             self.tags.append(tag)
             self.kinds.append(self._kind(match.group(3)))
-            self.parents.append(stack[-1])
+            self.parents.append(self.stack[-1])
             own = len(self.tags) - 1
             if tag in BLOCKS:
                 self.flow.append((own, None))
             if tag in RAW:
-                lower = lower if lower is not None else html.lower()
-                stop = lower.find(f"</{tag}", at)
-                close = html.find(">", stop) if stop >= 0 else -1
-                at = close + 1 if close >= 0 else end
+                close = RAW_ENDS[tag].search(html, at)
+                at = close.end() if close else end
             elif tag not in VOID and not match.group(3).endswith("/"):
-                stack.append(own)
+                self.depths.setdefault(tag, []).append(len(self.stack))
+                if tag in BLOCKS:
+                    self.blocks.append(len(self.stack))
+                self.stack.append(own)
+
+    def _cut(self, depth: int) -> None:
+        """Closes what is open from ``depth`` on; each element is closed once, so all of it costs as much as the page."""
+        for element in reversed(self.stack[depth:]):
+            tag = self.tags[element]
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+        del self.stack[depth:]
 
     @staticmethod
     def _kind(attributes: str) -> str:
@@ -113,30 +133,19 @@ class Page:
                     found = kind
         return found
 
-    def _text(self, element: int, text: str) -> None:
-        self.flow.append((element, unescape(text)))
+    def _text(self, text: str) -> None:
+        self.flow.append((self.stack[-1], unescape(text)))
 
-    def _end_p(self, stack: list[int]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[depth]]
-            if tag == "p":
-                self.flow.append((stack[depth], None))
-                del stack[depth:]
-                return
-            if tag in BLOCKS:
-                return
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[depth]] == tag:
-                if tag in BLOCKS or any(self.tags[s] in BLOCKS for s in stack[depth:]):
-                    self.flow.append((stack[depth], None))
-                del stack[depth:]
-                return
-            if tag in ("b", "i", "em", "strong", "a", "span") and self.tags[stack[depth]] in BLOCKS:
-                return
-        if tag == "p" or tag == "br":
-            self.flow.append((stack[-1], None))
+    def _close(self, tag: str) -> None:
+        """An end tag: closes the innermost open element of its name, if there is one and, for inline tags, no block stands between."""
+        opened = self.depths.get(tag)
+        top = self.blocks[-1] if self.blocks else 0
+        if opened and not (tag in INLINE and opened[-1] < top):
+            if top >= opened[-1]:
+                self.flow.append((self.stack[opened[-1]], None))
+            self._cut(opened[-1])
+        elif tag == "p" or tag == "br":
+            self.flow.append((self.stack[-1], None))
 
     def container(self, k: int) -> int:
         """1 for an element that may begin the article inside other parts, 0 for one that goes with its parent."""
@@ -199,45 +208,42 @@ class Model:
 
     def __init__(self, counts: dict[str, int]):
         single: dict[str, np.ndarray] = {k: np.array(v) for k, v in PRIOR.items()}
-        self.pairs = np.array([[[60.0, 0.5], [1.0, 60.0]], [[60.0, 2.0], [1.0, 60.0]]])  # for parts of text, for containers
+        pairs = np.array([[[60.0, 0.5], [1.0, 60.0]], [[60.0, 2.0], [1.0, 60.0]]])  # for parts of text, for containers
         totals = np.array([20.0, 10.0])
         for key, n in counts.items():
             name, _, label = key.rpartition("=")
             if name == "pair":
-                self.pairs[int(label[0]), int(label[1]), int(label[2])] += n
+                pairs[int(label[0]), int(label[1]), int(label[2])] += n
             elif name == "node":
                 totals[int(label)] += n
             else:
                 single.setdefault(name, np.zeros(2))[int(label)] += n
-        self.pairs = np.log(self.pairs / self.pairs.sum(axis=2, keepdims=True))
-        self.single = {k: np.log((v + 0.5) / (totals + np.maximum(0, PRIOR.get(k, (0, 0))) + 1.0)) for k, v in single.items()}
-        self.single["tag:#root"] = np.array([0.0, -20.0])
+        #: P(child's label | parent's label) of parts of text and of containers.
+        self.pairs = (pairs / pairs.sum(axis=2, keepdims=True)).tolist()
+        logs = {k: np.log((v + 0.5) / (totals + np.maximum(0, PRIOR.get(k, (0, 0))) + 1.0)) for k, v in single.items()}
+        #: Log potential of the article less that of the rest, for each feature.
+        self.single = {k: float(v[1] - v[0]) for k, v in logs.items()} | {"tag:#root": -20.0}
 
     def marginals(self, page: Page) -> np.ndarray:
-        """P(article) of each element by sum-product: messages to the parents, then to the children."""
+        """P(article) of each element by sum-product: messages to the parents, then to the children.
+
+        Labels are binary, so beliefs and messages are log odds of article against the rest.
+        """
         n = len(page.tags)
-        own = np.zeros((n, 2))
-        for k, names in enumerate(page.features()):
-            for name in names:
-                if name in self.single:
-                    own[k] += self.single[name]
-        up = own.copy()
-        sent = np.zeros((n, 2))
+        up = [sum(map(self.single.get, names, repeat(0.0))) for names in page.features()]
+        sent = [0.0] * n
+        pairs = [self.pairs[page.container(k)] for k in range(n)]
+        parents = page.parents
         for k in range(n - 1, 0, -1):
-            pair = self.pairs[page.container(k)]
-            sent[k] = _logsum(pair + up[k][None, :])
-            up[page.parents[k]] += sent[k]
-        whole = up.copy()
+            (stay, come), (leave, go) = pairs[k]
+            odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[k])))
+            sent[k] = log((leave + go * odds) / (stay + come * odds))
+            up[parents[k]] += sent[k]
         for k in range(1, n):
-            rest = whole[page.parents[k]] - sent[k]
-            whole[k] = up[k] + _logsum((self.pairs[page.container(k)] + rest[:, None]).T)
-        gap = np.clip(whole[:, 0] - whole[:, 1], -500, 500)
-        return 1 / (1 + np.exp(gap))
-
-
-def _logsum(rows: np.ndarray) -> np.ndarray:
-    top = rows.max(axis=1)
-    return top + np.log(np.exp(rows - top[:, None]).sum(axis=1))
+            (stay, come), (leave, go) = pairs[k]
+            odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[parents[k]] - sent[k])))
+            up[k] += log((come + go * odds) / (stay + leave * odds))
+        return 1 / (1 + np.exp(-np.clip(up, -500, 500)))
 
 
 def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> Model:
