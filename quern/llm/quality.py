@@ -1,40 +1,49 @@
 """Operator 3, quality rules: thresholds read from mergeable quantile sketches per language and source.
 
 All of it is DataFrame expressions. One pass sketches cheap measures of every
-document (KLL sketches, partially aggregated per language and source and merged
-upward to languages and to the whole table); a threshold is the group's median plus a
-multiple of its lower spread plus a slack, within a bound, so junk in the upper tail of a
+document: a sketch holds how many documents fall in each bin of a logarithmic scale, so a quantile is
+right within one percent of its value, sketches merge by adding their counts (upward to languages and to the
+whole table), and the same rows give the same thresholds in any order. A threshold is the group's median plus
+a multiple of its lower spread plus the noise that a text of the group's usual length has, within a bound,
+so junk in the upper tail of a
 group doesn't raise it, and a group in which a style is usual doesn't lose its
 documents for it. Groups with few documents take their language's sketch, few
 in the language: the table's. A second pass measures again, joins the thresholds
 and filters.
 
 Null texts have no words and fail the base rule. A null language or source is a
-group of its own. Repeated rows are measured and returned one by one.
+group of its own. A value equal to its threshold passes. Repeated rows are measured and returned one by one, empty tables
+give empty results, and input columns named like a result (``m``, ``base_failed``, ``kept``) give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sent_if_small, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Measure: (multiple of the spread, slack, most of it at a median of zero, and its change with the median). A document fails above
-#: median + least(multiple * (median - lower quartile) + slack, most + change * median). For shares the last stays
+#: Measure: (multiple of the spread, what its share is of, most of the room above a median of zero, and its change with the median).
+#: A document fails above median + least(multiple * (median - lower quartile) + noise, most + change * median). For shares the last stays
 #: below the room up to 1, so every rule can fire however wide its group is spread.
 RULES = {
-    "symbols_per_word": (8.0, 0.1, 0.5, 1.0),
-    "shout_share": (8.0, 0.15, 0.4, -0.4),
-    "dup_line_share": (8.0, 0.55, 0.6, -0.6),
-    "stutter_share": (8.0, 0.1, 0.3, -0.3),
-    "mean_word": (8.0, 3.0, 3.0, 1.0),
+    "symbols_per_word": (8.0, "n_words", 0.5, 1.0),
+    "shout_share": (8.0, "word_chars", 0.4, -0.4),
+    "dup_line_share": (8.0, "n_lines", 0.6, -0.6),
+    "stutter_share": (8.0, "n_words", 0.3, -0.3),
+    "mean_word": (10.0, "n_words", 3.0, 1.0),
 }
+#: Standard deviations, each of at most half a unit over the root of the count, that a share may be off by chance in a text of usual length.
+NOISE = 4.0
+#: Counts whose usual size in a group sets the noise.
+COUNTS = ("n_words", "word_chars", "n_lines")
+#: Ratio of neighbouring bins of a sketch: quantiles are right within half of what it is above 1.
+BIN = 1.02
+QUANTILES = (0.25, 0.5)
 LEAST_GROUP = 50
-SKETCH_K = 400
-#: Thresholds are broadcast while there are at most so many groups (some 100 bytes each).
-MOST_BROADCAST_GROUPS = 50_000
 NO_VALUE = "\u0000"
 
 
@@ -88,23 +97,49 @@ def _key(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(NO_VALUE))
 
 
+def bin_of(value: Column) -> Column:
+    """The sketch's bin of a value; null for none above zero, which sorts first."""
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(BIN)).cast("int"))
+
+
+def bin_value(of: Column) -> Column:
+    return F.when(of.isNull(), F.lit(0.0)).otherwise(2 * F.pow(F.lit(BIN), of) / (BIN + 1))
+
+
+def sketches(docs: DataFrame, lang: str, source: str, text_column: str) -> DataFrame:
+    """(lang_key, source_key, k, bin, n): how many documents of each language and source have measure ``k`` in each bin; a stored table."""
+    measured = with_measures(docs.select(_key(lang).alias("lang_key"), _key(source).alias("source_key"), F.col(text_column).alias("text")), windows=False)
+    values = ratios() | {c: F.col(f"m.{c}").cast("double") for c in COUNTS}
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), bin_of(c).alias("bin")) for k, c in values.items()]))
+    return written(measured.select("lang_key", "source_key", each).groupBy("lang_key", "source_key", "k", "bin").agg(F.count("*").alias("n")), "sketches")
+
+
+def limits_of(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """(keys, {prefix}_n, a limit {prefix}_{rule} for each rule) from the counts of each bin; a group has some thousand bins at most."""
+    merged = sketch.groupBy(*keys, "k", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "k")
+    upto, whole = F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first())), F.sum("n").over(group)
+    ranked = merged.select(*keys, "k", bin_value(F.col("bin")).alias("value"), upto.alias("upto"), whole.alias("whole"))
+    at = {q: F.min(F.when(F.col("upto") >= q * F.col("whole"), F.col("value"))).alias(f"q{i}") for i, q in enumerate(QUANTILES)}
+    found = ranked.groupBy(*keys, "k").agg(F.max("whole").alias("n"), *at.values())
+    one = {(k, i): F.max(F.when(F.col("k") == k, F.col(f"q{i}"))) for k in (*RULES, *COUNTS) for i in (0, 1)}
+    wide = found.groupBy(*keys).agg(F.max("n").alias(f"{prefix}_n"), *[c.alias(f"{k}__{i}") for (k, i), c in one.items()])
+
+    def limit(k: str) -> Column:
+        by, count, most, change = RULES[k]
+        low, mid, usual = F.col(f"{k}__0"), F.col(f"{k}__1"), F.greatest(F.col(f"{count}__1"), F.lit(1.0))
+        noise = NOISE / 2 / F.sqrt(usual) * (mid if k == "mean_word" else F.lit(1.0))
+        return mid + F.least(by * (mid - low) + noise, most + change * mid)
+
+    return wide.select(*keys, f"{prefix}_n", *[limit(k).alias(f"{prefix}_{k}") for k in RULES])
+
+
 def thresholds(docs: DataFrame, lang: str = "lang", source: str = "source", text_column: str = "text") -> DataFrame:
     """(lang_key, source_key, n, one threshold for each rule) of each language and source."""
-    measured = with_measures(docs.select(_key(lang).alias("lang_key"), _key(source).alias("source_key"), F.col(text_column).alias("text")), windows=False)
-    measured = measured.select("lang_key", "source_key", *[c.alias(k) for k, c in ratios().items()])
-    groups = measured.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in RULES])
-    groups = written(groups, "sketches")
-    merge = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in RULES]
-    tongues = groups.groupBy("lang_key").agg(F.sum("n").alias("n"), *merge)
-    everything = groups.agg(F.sum("n").alias("n"), *merge)
-
-    def limits(df: DataFrame, prefix: str) -> DataFrame:
-        at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
-        cut = {k: at(k, 0.5) + F.least(by * (at(k, 0.5) - at(k, 0.25)) + slack, most + change * at(k, 0.5)) for k, (by, slack, most, change) in RULES.items()}
-        return df.select(*[c for c in ("lang_key", "source_key") if c in df.columns], F.col("n").alias(f"{prefix}_n"), *[c.alias(f"{prefix}_{k}") for k, c in cut.items()])
-
-    own, tongue = limits(groups, "g"), limits(tongues, "l")
-    top = limits(everything.where("n > 0"), "a").first() or {f"a_{k}": None for k in RULES}
+    sketch = sketches(docs, lang, source, text_column)
+    own = limits_of(sketch, ["lang_key", "source_key"], "g")
+    tongue = limits_of(sketch, ["lang_key"], "l")
+    top = limits_of(sketch, [], "a").where("a_n > 0").first() or {f"a_{k}": None for k in RULES}
     joined = own.join(tongue, "lang_key")
     chosen = [
         F.when(F.col("g_n") >= LEAST_GROUP, F.col(f"g_{k}")).when(F.col("l_n") >= LEAST_GROUP, F.col(f"l_{k}")).otherwise(F.lit(top[f"a_{k}"]).cast("double")).alias(f"max_{k}")
@@ -115,17 +150,18 @@ def thresholds(docs: DataFrame, lang: str = "lang", source: str = "source", text
 
 def judged(docs: DataFrame, lang: str = "lang", source: str = "source", text_column: str = "text") -> DataFrame:
     """``docs`` with the struct ``m`` of measures and the booleans ``base_failed`` and ``kept``."""
-    limits = written(thresholds(docs, lang, source, text_column), "limits")
-    if limits.count() <= MOST_BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    out = with_measures(docs, windows=True, text_column=text_column)
-    out = out.withColumn("lang_key", _key(lang)).withColumn("source_key", _key(source)).join(limits.drop("n"), ["lang_key", "source_key"], "left")
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    at = {name: f"__c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
+    limits = sent_if_small(written(thresholds(docs, lang, source, text_column), "limits").drop("n"))
+    out = with_measures(inner, windows=True, text_column=at[text_column])
+    out = out.withColumn("lang_key", _key(at[lang])).withColumn("source_key", _key(at[source])).join(limits, ["lang_key", "source_key"], "left")
     base = (F.col("m.n_words") < 20) | (100 * F.col("m.n_repeat_words") > 30 * F.col("m.n_words"))
     fine = F.lit(True)
     for k, c in ratios().items():
         fine = fine & (c <= F.coalesce(F.col(f"max_{k}"), F.lit(float("inf"))))
     out = out.withColumn("base_failed", base).withColumn("kept", ~base & fine)
-    return out.drop("lang_key", "source_key", *[f"max_{k}" for k in RULES])
+    results = ["m", "base_failed", "kept"]
+    return out.select(*[F.col(c).alias(name) for c, name in zip(inner.columns, docs.columns, strict=True) if name not in results], *results)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
