@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import ASCII_LOWER, discard, map_arrow, sent_if_small, written
+from .common import ASCII_LOWER, discard, map_arrow, sent_if_small, small_batches, written
 from .components import components
 
 #: The white space of the word rule; ``split()`` knows more of it.
@@ -291,6 +291,8 @@ RADIUS = 16
 LEAST_BANDS = 2
 #: Members up to which a bucket is compared in full; larger ones meet again in tables of sampled bits.
 CHUNK, TABLES = 2048, 24
+#: Shingles up to which it is: 8 bytes each stay in one task's memory.
+MOST_SHINGLES = 1 << 22
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -319,14 +321,14 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float, size: int) -> Data
     """
     pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     named = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "named")
+    sets = written(shingle_sets(rows, named, size), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        return {"row": batch["row"], "s": [np.unique(shingle_hashes(t or "", size)).view(np.int64) for t in batch["text"]]}
+        good = [k for k, (x, y) in enumerate(zip(batch["sa"], batch["sb"])) if similarity(x, y) >= least - 1e-9]
+        return {c: [batch[c][k] for k in good] for c in "ab"}
 
-    sets = written(map_arrow(rows.join(sent_if_small(named), "row", "left_semi"), ["row", "text"], run, "row long, s array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    out = written(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
+    out = written(map_arrow(both, ["a", "b", "sa", "sb"], run, "a long, b long"), "links")
     discard(pairs, named, sets)
     return out
 
@@ -337,27 +339,67 @@ def _alike(fp: str, n: str, other_fp: str, other_n: str, radius: int, least: flo
     return close & (F.least(n, other_n) >= least * F.greatest(n, other_n))
 
 
-def compared(mixed: DataFrame, radius: int, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots within the radius in one bucket of ``mixed`` (key, node, fp, n, root, t, sig).
+def shingle_sets(rows: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(row, s) of the rows of ``rows`` (row, text) that occur in ``named`` (row, stored): their distinct shingle hashes in order, 8 bytes each."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        return {"row": batch["row"], "s": [np.unique(shingle_hashes(t or "", size)).tobytes() for t in batch["text"]]}
+
+    return map_arrow(rows.join(sent_if_small(named), "row", "left_semi"), ["row", "text"], run, "row long, s binary")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Of two sets of hashes in order; of two empty ones 1."""
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(one) or not len(two):
+        return float(len(one) == len(two))
+    shared = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+    return shared / (len(one) + len(two) - shared)
 
-    ``sig`` holds the bands' keys; a pair that shares several is handed on by the bucket of its first one only.
+
+def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, size: int, radius: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of different roots in one bucket of ``mixed`` (key, band, t, node, fp, n, root), a stored table.
+
+    Pairs within the radius that share ``LEAST_BANDS`` bands are verified by their shingles where they meet, in the bucket of their
+    first band, unless what is verified before connects them already; so only a spanning forest leaves the bucket.
     """
     ship_package(mixed.sparkSession)
-    dealt = mixed.select("key", "node", "fp", "n", "root", F.col("t").cast("long").alias("t"), "band", "sig").repartition("key").sortWithinPartitions("key", "node")
+    small_batches(mixed.sparkSession)
+    named = written(mixed.select(F.col("node").alias("row")).distinct(), "named")
+    sets = written(shingle_sets(rows, named, size).withColumnRenamed("row", "node"), "sets")
+    full = mixed.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    dealt = full.select("key", "node", "fp", "n", "root", "t", "band", "sig", "s").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, n, root, t, band, sig in whole_buckets(batches):
+        for key, node, fp, n, root, t, band, sig, s in whole_buckets(batches):
             bands = np.frombuffer(b"".join(sig), np.int32).reshape(-1, BANDS)
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            links: list[tuple[int, int]] = []
             for found in near_pairs(fp.view(np.uint64), key, radius):
                 a, b = found[:, 0], found[:, 1]
                 keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
                 a, b = a[keep], b[keep]
                 same = bands[a] == bands[b]
                 keep = (same.sum(1) >= LEAST_BANDS) & ((same.argmax(1) == band[a]) | (t[a] >= 0))
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a[keep]]), pa.array(node[b[keep]])], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+                for i, j in zip(a[keep].tolist(), b[keep].tolist()):
+                    one, two = top(int(root[i])), top(int(root[j]))
+                    if one != two and similarity(s[i], s[j]) >= least - 1e-9:
+                        parent[max(one, two)] = min(one, two)
+                        links.append((i, j))
+            if links:
+                pairs = np.array(links)
+                yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
+
+    out = written(dealt.mapInArrow(run, "a long, b long"), "links")
+    discard(named, sets)
+    return out
 
 
 def refined(large: DataFrame) -> DataFrame:
@@ -366,8 +408,8 @@ def refined(large: DataFrame) -> DataFrame:
     The first time each member goes to ``TABLES`` tables, after that it takes further bits in its own. Members
     whose fingerprints are equal in all 64 bits are dealt by a hash.
     """
-    more = F.ceil(F.log2(F.col("size") / (CHUNK / 4))).cast("int")
-    spread = large.withColumn("next", F.least(F.lit(64), F.col("wide") + more)).withColumn("key", F.when(F.col("wide") < 64, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (CHUNK / 2))))))
+    more = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("size") / (CHUNK / 4), F.col("mass") / (MOST_SHINGLES / 4))))).cast("int")
+    spread = large.withColumn("next", F.least(F.lit(64), F.col("wide") + more)).withColumn("key", F.when(F.col("wide") < 64, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("size") / (CHUNK / 2), F.col("mass") / (MOST_SHINGLES / 2)))))))
     first = spread.where("t < 0").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
     spread = first.unionByName(spread.where("t >= 0"))
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in sampled_masks(t)]) for t in range(TABLES)])
@@ -380,20 +422,21 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, least: float, size: int, ra
     members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "fp", "n", F.lit(-1).alias("t"), F.lit(0).alias("wide"))
     links = None
     while True:
-        heads = members.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("size"))
+        heads = members.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("size"), F.sum("n").alias("mass"))
         heads = written(heads.where("size > 1"), "heads")
         crowd = written(members.join(heads, "key"), "crowd")
         stars = crowd.where((F.col("node") != F.col("head")) & _alike("fp", "n", "head_fp", "head_n", radius, least)).select(F.col("node").alias("a"), F.col("head").alias("b"))
         found = verified(stars, rows, least, size)
         links = found if links is None else links.union(found)
         roots = components(links)
-        placed = written(crowd.join(sent_if_small(roots), "node", "left").select("key", "band", "node", "fp", "n", "t", "wide", "size", F.coalesce("root", "node").alias("root")), "placed")
+        placed = written(crowd.join(sent_if_small(roots), "node", "left").select("key", "band", "node", "fp", "n", "t", "wide", "size", "mass", F.coalesce("root", "node").alias("root")), "placed")
         apart = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "apart")
         mixed = written(placed.join(sent_if_small(apart), "key", "left_semi"), "mixed")
-        small = mixed.where(F.col("size") <= CHUNK).join(nodes.select("node", "sig"), "node")
-        more = verified(compared(small, radius, least), rows, least, size)
-        discard(heads, crowd, placed, apart)
-        large = mixed.where(F.col("size") > CHUNK)
+        fits = (F.col("size") <= CHUNK) & ((F.col("mass") <= MOST_SHINGLES) | (F.col("size") <= 2))
+        small = written(mixed.where(fits).drop("size", "mass", "wide"), "small")
+        more = linked_in_buckets(small, nodes, rows, least, size, radius)
+        discard(heads, crowd, placed, apart, small)
+        large = mixed.where(~fits)
         if large.isEmpty():
             return roots if more.isEmpty() else components(links.union(more))
         links = links.union(more)
