@@ -14,7 +14,8 @@ are one shingle of their own length. The items go to every executor while their
 the exact shingles.
 
 Null or wordless items are in nothing, null texts hold nothing. Repeated documents are searched one by one;
-repeated items are reported each. Null ids are kept as they are.
+repeated items are reported each. Null ids are kept as they are. Texts of any length are searched whole; a containment of
+exactly ``least`` counts; empty tables on either side give no row. Only ids and texts are read of the inputs, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .common import map_arrow, small_batches, written
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, LEAST = 5, 0.8
-MOST_ITEM_BYTES = 32_000_000
+#: Items up to which their texts go to every executor: 3.3 MB of them took 123 MB in a worker.
+MOST_ITEM_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

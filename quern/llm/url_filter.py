@@ -1,30 +1,32 @@
 """Operator 1, URL filters: listed rules first, then the ratio of two character language models.
 
-All of it is DataFrame expressions. Host and path are written in 32 symbols;
-accepted and rejected URLs each get a variable-order Markov model (two symbols
-of context, backing off to one and none with Witten-Bell weights). There are
-at most 32**3 symbol triples, so both models together are one array of
-32,768 numbers however many URLs they come from, and scoring joins nothing.
-A URL's score is its mean log-likelihood difference a symbol; the threshold is
-the one that parts the labelled URLs best, counting both classes alike.
+All of it is DataFrame expressions. Accepted and rejected URLs each get a variable-order Markov model over
+their characters: up to ``ORDER`` characters of context, each order backing off to the next shorter one with
+Witten-Bell weights. The models are a table of distinct n-grams that grows with the URLs; scoring joins each
+URL's n-grams with it (sent whole while a count allows) and averages per URL before anything is shuffled.
+A URL's score is its mean log-likelihood difference a character; the threshold is
+the one that parts labelled URLs kept out of the fit best, counting both classes alike.
 
-The classes are weak labels: rejected are URLs whose host holds one of
-``reject_terms``; accepted are the others that no block rule fits.
+The classes are weak labels: rejected are URLs that a block rule fits or whose host holds one of
+``reject_terms``; accepted are the others.
 
 Null URLs and URLs without ``://`` have an empty host and path, no rule, no score
-and the verdict allow. Without URLs of both classes the method allows all.
-Repeated rows are judged one by one.
+and the verdict allow. Without URLs of both classes the method allows all. A score equal to the threshold
+is blocked. URLs of any length are read whole. Repeated rows are judged one by one, an empty table gives none.
+Only the id and the URL are read of the input, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, discard, sent_if_small, written
 
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0.-/~^"
+#: Characters of context at most, and how many characters share the last of the probability (a fixed value: all of Unicode).
+ORDER, ALPHABET = 5, 1_114_112
+#: Of four folds by host, the one that the threshold is read from and the models aren't.
+HELD_OUT = 0
 #: (verdict, rule); the part before the first slash is the host, the rest the path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Rules stand as a chain of conditions; longer lists belong in a joined table.
@@ -54,80 +56,76 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def symbol_text(host: Column, path: Column) -> Column:
-    plain = F.regexp_replace(ascii_lower(F.concat(host, path)), "[0-9]", "0")
-    return F.concat(F.lit("^^"), F.regexp_replace(plain, "[^a-z0./-]", "~"))
+def grams(text: Column) -> Column:
+    """Every character of a text that is not empty, and an end, with the ``ORDER`` before it."""
+    padded = F.concat(F.lit("^" * ORDER), text, F.lit("$"))
+    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(padded) - ORDER))
+    return F.transform(at, lambda i: F.substr(padded, i, F.lit(ORDER + 1)))
 
 
-def log_ratios(labelled: DataFrame) -> list[float]:
-    """For each symbol triple, in order, log P(rejected) - log P(accepted) of its last symbol after the first two.
+def log_ratios(labelled: DataFrame) -> DataFrame:
+    """(gram, ratio): log P(rejected) - log P(accepted) of its last character after the others, for every n-gram; a stored table.
 
-    ``labelled`` is (symbols, rejected boolean). Returns an empty list unless both classes occur.
+    ``labelled`` is (text, rejected); ``rejected`` is null for texts that are only to be scored.
     """
-    triple = F.explode(F.transform(F.sequence(F.lit(1), F.length("symbols") - 2), lambda i: F.substr(F.col("symbols"), i, F.lit(3)))).alias("triple")
-    counts = labelled.where(F.length("symbols") > 2).select(F.col("rejected").cast("int").alias("k"), triple).groupBy("k", "triple").agg(F.count("*").alias("n"))
-    code = lambda i: F.instr(F.lit(SYMBOLS), F.substr(F.col("triple"), F.lit(i), F.lit(1))) - 1
-    counts = counts.select("k", (code(1) * 1024 + code(2) * 32 + code(3)).cast("long").alias("g"), "n")
-    counts = written(counts, "triples")
-    if counts.select("k").distinct().count() < 2:
-        return []
-    spark = labelled.sparkSession
-    grid = spark.range(2 * 32**3).select((F.col("id") / 32**3).cast("int").alias("k"), (F.col("id") % 32**3).alias("g"))
-    grid = grid.join(F.broadcast(counts), ["k", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
-    grid = grid.withColumn("a", F.floor(F.col("g") / 1024)).withColumn("b", F.floor(F.col("g") / 32) % 32).withColumn("c", F.col("g") % 32)
-    over = lambda *keys: Window.partitionBy("k", *keys)
-    some = lambda c: (F.col(c) > 0).cast("double")
-    grid = grid.withColumn("n_ab", F.sum("n").over(over("a", "b"))).withColumn("t_ab", F.sum(some("n")).over(over("a", "b")))
-    grid = grid.withColumn("n_bc", F.sum("n").over(over("b", "c"))).withColumn("n_b", F.sum("n").over(over("b")))
-    grid = grid.withColumn("t_b", F.sum(some("n_bc")).over(over("b")) / 32).withColumn("n_c", F.sum("n").over(over("c")))
-    grid = grid.withColumn("n_all", F.sum("n").over(over())).withColumn("t_all", F.sum(some("n_c")).over(over()) / 1024)
-    grid = grid.withColumn("p1", (F.col("n_c") + F.col("t_all") / 32) / (F.col("n_all") + F.col("t_all")))
-    mixed = lambda n, t, top, below: F.when(F.col(n) > 0, (F.col(top) + F.col(t) * F.col(below)) / (F.col(n) + F.col(t))).otherwise(F.col(below))
-    grid = grid.withColumn("p2", mixed("n_b", "t_b", "n_bc", "p1")).withColumn("p3", mixed("n_ab", "t_ab", "n", "p2"))
-    ratio = F.sum(F.when(F.col("k") == 1, F.log("p3")).otherwise(-F.log("p3")))
-    return [r["r"] for r in grid.groupBy("g").agg(ratio.alias("r")).orderBy("g").collect()]
-
-
-def mean_ratio(symbols: Column, table: list[float]) -> Column:
-    """Mean over the symbols of the text of the table's entry for each triple."""
-    numbers = F.lit(np.array(table))  # one literal, not 32,768 expressions
-    codes = F.transform(F.split(symbols, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(31).alias("a"), F.lit(31).alias("b"))
-    step = lambda x, c: F.struct((x["s"] + F.get(numbers, x["a"] * 1024 + x["b"] * 32 + c)).alias("s"), x["b"].alias("a"), c.alias("b"))
-    total = F.aggregate(F.slice(codes, 3, 1 << 30), start, step, lambda x: x["s"])
-    return F.when(F.length(symbols) > 2, total / (F.length(symbols) - 2))
+    each = labelled.select(F.explode(grams(F.col("text"))).alias("gram"), F.coalesce(F.col("rejected").cast("int"), F.lit(0)).alias("r"), F.coalesce((~F.col("rejected")).cast("int"), F.lit(0)).alias("a"))
+    counts = written(each.groupBy("gram").agg(F.sum("r").alias("r"), F.sum("a").alias("a")), "grams")
+    lower = None
+    for size in range(1, ORDER + 2):
+        level = counts.groupBy(F.substring("gram", -size, size).alias("gram")).agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+        context = Window.partitionBy(F.substring("gram", 1, size - 1))  # as many rows as there are characters
+        level = level.select("gram", *[c.alias(f"{k}_{n}") for k in "ra" for n, c in (("count", F.col(k)), ("all", F.sum(k).over(context)), ("kinds", F.count_if(F.col(k) > 0).over(context)))])
+        if lower is not None:
+            level = level.join(lower, F.substring("gram", 2, size - 1) == F.col("suffix"))
+        mixed = {}
+        for k in "ra":
+            below = F.lit(1.0 / ALPHABET) if lower is None else F.col(f"{k}_below")
+            count, total, kinds = (F.col(f"{k}_{n}") for n in ("count", "all", "kinds"))
+            mixed[k] = F.when(total > 0, (count + kinds * below) / (total + kinds)).otherwise(below)
+        if size <= ORDER:
+            lower = level.select(F.col("gram").alias("suffix"), *[mixed[k].alias(f"{k}_below") for k in "ra"])
+    out = written(level.select("gram", (F.log(mixed["r"]) - F.log(mixed["a"])).alias("ratio")), "ratios")
+    discard(counts)
+    return out
+
+
+def mean_ratios(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(row, score) of every text (row, text) that is not empty: the mean of its n-grams' ratios."""
+    each = texts.select("row", F.explode(grams(F.col("text"))).alias("gram")).join(sent_if_small(ratios), "gram")
+    return each.groupBy("row").agg(F.avg("ratio").alias("score"))
 
 
 def best_cut(scored: DataFrame) -> float:
-    """The score above which labelled URLs (score, rejected) are best called rejected, both classes weighing alike."""
+    """The score above which labelled URLs (score, rejected) are best called rejected, both classes weighing alike; halfway down to the next lower score."""
     bins = scored.where("score IS NOT NULL").groupBy(F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / BIN).alias("bin"))
     bins = bins.agg(F.sum(F.col("rejected").cast("long")).alias("r"), F.sum((~F.col("rejected")).cast("long")).alias("a"))
     down, whole = Window.orderBy(F.desc("bin")), Window.partitionBy()
     share = F.sum("r").over(down) / F.sum("r").over(whole) - F.sum("a").over(down) / F.sum("a").over(whole)
-    best = bins.select("bin", share.alias("gain")).orderBy(F.desc("gain"), F.desc("bin")).first()  # at most 8,001 bins
-    return best["bin"] * BIN if best and best["gain"] is not None else float("inf")
+    middle = (F.col("bin") + F.coalesce(F.lead("bin").over(down) + 1, F.col("bin"))) / 2
+    best = bins.select("bin", middle.alias("middle"), share.alias("gain")).orderBy(F.desc("gain"), F.desc("bin")).first()  # at most 8,001 bins
+    return best["middle"] * BIN if best and best["gain"] is not None else float("inf")
 
 
 def filtered_urls(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, reject_terms=REJECT_TERMS) -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row."""
     host, path = host_and_path(F.col(url_column))
-    base = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
-    base = base.select(id_column, "host", "path", rule.alias("rule"), verdict.alias("ruled"), symbol_text(F.col("host"), F.col("path")).alias("symbols"))
     listed = F.lit(False)
     for term in reject_terms:
         listed = listed | F.col("host").contains(term)
-    labelled = base.where((F.col("host") != "") & (listed | F.coalesce(F.col("ruled") != "block", F.lit(True)))).select("symbols", listed.alias("rejected"))
-    table = log_ratios(labelled)
-    if table:
-        ratio = mean_ratio(F.col("symbols"), table)
-        cut = best_cut(labelled.select(ratio.alias("score"), "rejected"))
-        score = ratio
-    else:
-        cut, score = float("inf"), F.lit(None).cast("double")
-    out = base.withColumn("score", score)
+    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), ascii_lower(F.concat("host", "path")).alias("text"), listed.alias("listed"))
+    base = written(base.withColumn("rejected", F.col("listed") | F.coalesce(F.col("ruled") == "block", F.lit(False))), "urls")
+    if base.where("text <> ''").select("rejected").distinct().count() < 2:
+        return base.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == HELD_OUT
+    both = base.where((F.col("text") != "") & held).select("rejected").distinct().count() == 2 and base.where((F.col("text") != "") & ~held).select("rejected").distinct().count() == 2
+    fitted = F.when(~held | F.lit(not both), F.col("rejected"))  # with too few hosts to hold any out, the threshold is read from the fitted ones
+    ratios = log_ratios(base.select("text", fitted.alias("rejected")))
+    scored = base.join(written(mean_ratios(base, ratios), "scores"), "row", "left")
+    cut = best_cut(scored.where(held | F.lit(not both)).select("score", "rejected"))
     method = F.when(F.coalesce(F.col("score") >= cut, F.lit(False)), "block").otherwise("allow")
-    return out.select(id_column, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
+    return scored.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
