@@ -120,3 +120,18 @@ def best_thresholds(df: DataFrame, actual: str, predicted: str, weight: str | No
     """One row with the best value, at least 0, of each metric over the sweep: f05_opt, f1_opt, f2_opt, mcc_opt, acc_opt."""
     swept = confusion_matrices(df, actual, predicted, weight)
     return swept.agg(*[F.greatest(F.lit(0.0), F.max(k)).alias(f"{k}_opt") for k in ("f05", "f1", "f2", "mcc", "acc")])
+
+
+def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(label, support, precision, recall, f1) of each label, and a row with a null label: the averages weighted by support. Undefined ratios are 0."""
+    pairs = df.groupBy(F.col(actual).alias("y"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    each = pairs.select(F.inline(F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("is"), F.lit(0).cast("long").alias("called"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("right")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("is"), F.col("n").alias("called"), F.lit(0).cast("long").alias("right")),
+    )))
+    sums = each.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("is", "called", "right")])
+    precision, recall = (_ratio(F.col("right").cast("double"), F.col(c).cast("double")) for c in ("called", "is"))
+    report = sums.select("label", F.col("is").alias("support"), precision.alias("precision"), recall.alias("recall"), f_beta(F.col("right").cast("double"), (F.col("called") - F.col("right")).cast("double"), (F.col("is") - F.col("right")).cast("double"), 1).alias("f1"))
+    mean = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c)
+    kind = report.schema["label"].dataType.simpleString()
+    return report.unionByName(report.agg(F.sum("support").alias("support"), mean("precision"), mean("recall"), mean("f1")).withColumn("label", F.lit(None).cast(kind)))

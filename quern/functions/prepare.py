@@ -180,4 +180,70 @@ def first_of_each(df: DataFrame, key: str, order: list[Column], count: int) -> D
 
 
 def share_of_group_max(df: DataFrame, value: str, key: str, name: str = "share") -> DataFrame:
-    return df.withColumn(name, F.col(value) / F.max(value).over(Window.partitionBy(key)))
+    """The value's share of its group's largest one, from a partial aggregate that joins back; a null key is a group of its own."""
+    top = df.groupBy(F.col(key).alias("__key")).agg(F.max(value).alias("__top"))
+    return df.join(top, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col(value) / F.col("__top")).drop("__key", "__top")
+
+
+# -- shared dictionaries, odds, normalizing, samples -----------------------------------------------------------------
+
+
+def shared_index(df: DataFrame, columns: list[str], suffix: str = "_code") -> DataFrame:
+    """The sorted distinct values of all ``columns`` together become 0, 1, ...; each column gets its codes from that one dictionary."""
+    words = None
+    for c in columns:
+        part = df.select(F.col(c).alias("__word"))
+        words = part if words is None else words.union(part)
+    words = row_numbers(words.where("__word IS NOT NULL").distinct(), "__word", "__code")
+    for c in columns:
+        df = df.join(words.select(F.col("__word").alias(c), F.col("__code").alias(f"{c}{suffix}")), c, "left")
+    return df
+
+
+def odds_to_probabilities(df: DataFrame, odds: list[str], prefix: str = "p_") -> DataFrame:
+    """Decimal odds of the outcomes of one event as probabilities that sum to one: the bookmaker's margin is taken out."""
+    total = sum((1 / F.col(c) for c in odds[1:]), 1 / F.col(odds[0]))
+    return df.select("*", *[(1 / F.col(c) / total).alias(f"{prefix}{c}") for c in odds])
+
+
+def last_of_either_side(df: DataFrame, sides: list[str], values: list[str], time: str, key: str, count: int) -> DataFrame:
+    """To each row, for each of its two sides, the sum and number of that party's values in its last ``count`` rows, on whichever side it stood.
+
+    The sides are stacked so that one window for each party sees all of its rows; ``key`` names the rows. (key, {side}_sum, {side}_n)
+    """
+    stacked = df.select(key, time, F.inline(F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("party"), F.col(v).alias("value")) for i, (s, v) in enumerate(zip(sides, values, strict=True))])))
+    w = Window.partitionBy("party").orderBy(time, key, "side").rowsBetween(-count, -1)
+    each = stacked.select(key, "side", F.sum("value").over(w).alias("s"), F.count("value").over(w).alias("n"))
+    wide = [c for i, s in enumerate(sides) for c in (F.max(F.when(F.col("side") == i, F.col("s"))).alias(f"{s}_sum"), F.max(F.when(F.col("side") == i, F.col("n"))).alias(f"{s}_n"))]
+    return each.groupBy(key).agg(*wide)
+
+
+def undifferenced(df: DataFrame, diff: str, first: Column, order: str, by: list[str], name: str = "value") -> DataFrame:
+    """Values back from first differences: each series' ``first`` value (on its first row) plus the sum of its differences so far."""
+    w = Window.partitionBy(*by).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.first(first).over(upto) + F.coalesce(F.sum(F.col(diff)).over(upto), F.lit(0.0)))
+
+
+def normalized_rows(df: DataFrame, column: str, name: str = "normal") -> DataFrame:
+    """An array column at Euclidean length 1; rows of zeros stay."""
+    length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return df.withColumn(name, F.transform(column, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double"))))
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, valid: float = 0.2) -> DataFrame:
+    """``df`` with ``is_valid``: in each stratum the floor(valid * n) rows that come first by a hash of the unique ``key``.
+
+    The cut is the hash value of rank floor(valid * n), found by counting the hash's bins (1,024 a stratum) and ranking only the bin of the cut.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(key)).withColumn("__bin", F.shiftrightunsigned("__h", 54))
+    bins = hashed.groupBy(stratum, "__bin").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(stratum)
+    upto = F.sum("__n").over(w.orderBy("__bin"))
+    bins = bins.select(stratum, "__bin", (upto - F.col("__n")).alias("__before"), (F.floor(F.lit(valid) * F.sum("__n").over(w)) - (upto - F.col("__n"))).alias("__take"), "__n")
+    marked = hashed.join(bins, [stratum, "__bin"])
+    inside = F.when(F.col("__take") >= F.col("__n"), True).when(F.col("__take") <= 0, False)
+    edge = marked.where((F.col("__take") > 0) & (F.col("__take") < F.col("__n"))).select(key, stratum, "__h", "__take")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key))  # a thousandth of the stratum
+    chosen = edge.select(F.col(key), (rank <= F.col("__take")).alias("__chosen"))
+    return marked.withColumn("__in", inside).join(chosen, key, "left").withColumn("is_valid", F.coalesce("__in", "__chosen")).select(*df.columns, "is_valid")

@@ -1,4 +1,4 @@
-"""Matrix factorization of (user, item, rating) rows by alternating least squares, with early stopping."""
+"""Matrix factorization of (user, item, rating) rows by alternating least squares."""
 
 from __future__ import annotations
 

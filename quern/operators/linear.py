@@ -12,10 +12,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import gram_matrices, linear_sum
+from ..plans.stored import discard, stored
 
 
 def descend(gram: np.ndarray, lam: float, alpha: float, start: np.ndarray | None = None, tol: float = 1e-10, sweeps: int = 20_000, intercept: bool = True) -> np.ndarray:
@@ -77,22 +79,73 @@ class LinearModel:
         return 1 - row["r"] / row["t"]
 
 
+class LogisticPathModel(LinearModel):
+    """Its ``predict`` gives the probability of 1."""
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return df.withColumn(name, 1 / (1 + F.exp(-linear_sum(self.features, self.coef, self.intercept))))
+
+
+def newton_sums(rows: DataFrame, models: list, betas: np.ndarray) -> list[dict]:
+    """For each model (``betas`` row; it leaves out the fold it is named by) the Gram matrix of (1, x, working response) with
+    Newton's weights, its log loss, and that of the fold left out. One pass: a task hands on one array of numbers, whatever its rows."""
+    n = betas.shape[1]
+    size = (n + 1) ** 2 + 5
+
+    def run(batches):
+        total = np.zeros((len(models), size))
+        for part in batches:
+            if not len(part):
+                continue
+            x, y, w, k = np.stack(part["x"].to_numpy()), part["y"].to_numpy(), part["w"].to_numpy(), part["k"].to_numpy()
+            for i, (name, beta) in enumerate(zip(models, betas)):
+                inside = np.ones(len(y), bool) if name is None else k != name
+                eta = x @ beta
+                p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                slope = np.maximum(p * (1 - p), 1e-10)
+                loss = w * (np.maximum(eta, 0) - eta * y + np.log1p(np.exp(-np.abs(eta))))
+                full = np.column_stack([x, eta + (y - p) / slope])[inside]
+                gram = full.T @ (full * (w * slope)[inside][:, None])
+                total[i] += np.concatenate([gram.reshape(-1), [w[inside].sum(), (w * y)[inside].sum(), loss[inside].sum(), w[~inside].sum(), loss[~inside].sum()]])
+        yield pd.DataFrame({"s": [total.reshape(-1)]})
+
+    sums = rows.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(len(models) * size)
+    for r in sums:
+        flat[r["c"]] = r["v"]
+    out = []
+    for one in flat.reshape(len(models), size):
+        weight, ones, loss, weight_held, loss_held = one[-5:]
+        out.append({"gram": one[:-5].reshape(n + 1, n + 1), "weight": weight, "ones": ones, "loss": loss, "weight_held": weight_held, "loss_held": loss_held})
+    return out
+
+
 @dataclass
 class ElasticNetPath:
     """Path over alphas and lambdas with k contiguous or given folds; ``best`` has the least cross-validated error, the first among equals."""
 
     n_lambdas: int = 100
     n_alphas: int = 5
-    n_folds: int = 5
+    n_folds: int = 0
     lambda_min_ratio: float = 1e-7
     lambdas: list[float] | None = None
     alphas: list[float] | None = None
     fit_intercept: bool = True
+    family: str = "elasticnet"
+    patience: int = 0
     features: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame, features: list[str], label: str, weight: str | None = None, fold: str | None = None, valid: DataFrame | None = None) -> "ElasticNetPath":
-        """``fold``: a column of fold numbers; without it nothing is cross-validated. One job for the rows, one for ``valid``."""
+        """``fold``: a column of fold numbers; without it rows are dealt to ``n_folds`` by a hash, or nothing is cross-validated.
+
+        Squared loss takes one job for the rows, one for ``valid``; ``family="logistic"`` (labels 0 and 1) one for each Newton step, for all folds at
+        once. With ``patience`` an alpha's path ends after so many lambdas in a row without a smaller error.
+        """
         self.features = features
+        if fold is None and self.n_folds > 1:
+            df, fold = df.withColumn("__fold", F.pmod(F.xxhash64(*features, label), F.lit(self.n_folds)).cast("int")), "__fold"
+        if self.family == "logistic":
+            return self._fit_logistic(df, features, label, weight, fold, valid)
         grams = gram_matrices(df, [*features, label], weight, fold)
         whole = sum(grams.values())
         held = gram_matrices(valid, [*features, label], weight).get(None) if valid is not None else None
@@ -120,6 +173,53 @@ class ElasticNetPath:
         self.best_row = chosen
         return self
 
+    def _fit_logistic(self, df: DataFrame, features: list[str], label: str, weight: str | None, fold: str | None, valid: DataFrame | None) -> "ElasticNetPath":
+        columns = lambda d, f: d.select(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(f).cast("int") if f else F.lit(-1)).alias("k"))
+        rows = stored(columns(df, fold), "logistic")
+        held = stored(columns(valid, None), "logistic") if valid is not None else None
+        folds = sorted(r["k"] for r in rows.select("k").distinct().collect()) if fold else []
+        models = [None, *folds] if len(folds) > 1 else [None]
+        n = len(features) + 1
+        zero = np.zeros((len(models), n))
+        start = newton_sums(rows, models, zero)
+        gradient = start[0]["gram"][:-1, -1]  # of (1, x) by the working response, at probability 1/2
+        mean = start[0]["ones"] / start[0]["weight"]
+        null = np.zeros(n)
+        null[0] = math.log(max(mean, 1e-12) / max(1 - mean, 1e-12)) if self.fit_intercept else 0.0
+        centred = gradient - (mean - 0.5) * 4 * start[0]["gram"][:-1, 0] if self.fit_intercept else gradient
+        top = float(np.abs(centred[1:]).max())
+        alphas = self.alphas if self.alphas is not None else list(np.linspace(0, 1, self.n_alphas)) if self.n_alphas > 1 else [1.0]
+        self.path, self.models = [], {}
+        for ai, alpha in enumerate(alphas):
+            lambdas = self.lambdas if self.lambdas is not None else list(top / max(alpha, 1e-2) * np.logspace(0, math.log10(self.lambda_min_ratio), self.n_lambdas))
+            betas, best, worse = np.tile(null, (len(models), 1)), float("inf"), 0
+            for li, lam in enumerate(lambdas):
+                for _ in range(50):
+                    sums = newton_sums(rows, models, betas)
+                    new = np.array([descend(s["gram"], lam, alpha, b, intercept=self.fit_intercept) for s, b in zip(sums, betas, strict=True)])
+                    moved = np.abs(new - betas).max()
+                    betas = new
+                    if moved <= 1e-8 * (1 + np.abs(betas).max()):
+                        break
+                else:
+                    raise RuntimeError("Newton steps did not converge")
+                sums = newton_sums(rows, models, betas)
+                cv = float(np.mean([s["loss_held"] / s["weight_held"] for s in sums[1:]])) if len(models) > 1 else None
+                outer = newton_sums(held, [None], betas[:1])[0] if held is not None else None
+                row = {"alpha_idx": ai, "lambda_idx": li, "alpha": float(alpha), "lambda": float(lam), "err_train": sums[0]["loss"] / sums[0]["weight"], "err_cv": cv, "err_valid": outer["loss"] / outer["weight"] if outer else None, "dof": int((betas[0][1:] != 0).sum()), "coef": [float(x) for x in betas[0][1:]], "intercept": float(betas[0][0])}
+                self.path.append(row)
+                self.models[ai, li] = LogisticPathModel(features, betas[0].copy())
+                error = next(x for x in (row["err_cv"], row["err_valid"], row["err_train"]) if x is not None)
+                worse = 0 if error < best - 1e-12 else worse + 1
+                best = min(best, error)
+                if self.patience and worse >= self.patience:
+                    break
+        key = lambda r: next(x for x in (r["err_cv"], r["err_valid"], r["err_train"]) if x is not None)
+        self.best_row = min(self.path, key=key)
+        self.best = self.models[self.best_row["alpha_idx"], self.best_row["lambda_idx"]]
+        discard(rows, *([held] if held is not None else []))
+        return self
+
     def path_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(r.values()) for r in self.path], "alpha_idx int, lambda_idx int, alpha double, lambda double, err_train double, err_cv double, err_valid double, dof int, coef array<double>, intercept double")
 

@@ -443,3 +443,176 @@ def sparse_triples(spark, sf_dir):
 
     df = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return rounded(triples(df, ["l_discount", "l_tax"], "key"))
+
+
+# -- reports, dictionaries, samples ----------------------------------------------------------------------------------
+
+
+@query(
+    "WITH x AS (SELECT l_returnflag AS y, CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END AS p FROM lineitem), s AS (SELECT label, sum(i)::DOUBLE AS i, sum(c)::DOUBLE AS c, sum(r)::DOUBLE AS r FROM "
+    "(SELECT y AS label, 1 AS i, 0 AS c, (y = p)::INT AS r FROM x UNION ALL SELECT p, 0, 1, 0 FROM x) GROUP BY label), m AS (SELECT label, i::BIGINT AS support, r / c AS precision, r / i AS recall, 2 * r / (i + c) AS f1 FROM s) "
+    "SELECT label, support, " + ", ".join(_r(c, c) for c in ("precision", "recall", "f1")) + " FROM m UNION ALL SELECT NULL, sum(support)::BIGINT, " + ", ".join(_r(f"sum({c} * support) / sum(support)", c) for c in ("precision", "recall", "f1")) + " FROM m"
+)
+def class_report(spark, sf_dir):
+    q = F.col("l_quantity")
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("y"), F.when(q < 17, "A").when(q < 34, "N").otherwise("R").alias("p"))
+    return rounded(M.class_report(df, "y", "p"))
+
+
+@query(
+    "WITH w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS code FROM (SELECT DISTINCT l_linestatus AS word FROM lineitem UNION SELECT DISTINCT l_returnflag FROM lineitem)) "
+    "SELECT l_orderkey, l_linenumber, a.code::BIGINT AS l_linestatus_code, b.code::BIGINT AS l_returnflag_code FROM lineitem JOIN w a ON l_linestatus = a.word JOIN w b ON l_returnflag = b.word"
+)
+def shared_dictionary(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    return P.shared_index(df, ["l_linestatus", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_linestatus_code", "l_returnflag_code")
+
+
+@query("WITH o AS (SELECT l_orderkey, l_linenumber, 1.5 + l_discount * 10 AS a, 2.0 + l_tax * 10 AS b, 3.0 AS c FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(_r(f"(1/{c}) / (1/a + 1/b + 1/c)", f"p_{c}", 9) for c in "abc") + " FROM o")
+def odds_to_probabilities(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1.5 + F.col("l_discount") * 10).alias("a"), (2.0 + F.col("l_tax") * 10).alias("b"), F.lit(3.0).alias("c"))
+    return rounded(P.odds_to_probabilities(df, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "p_a", "p_b", "p_c"), 9)
+
+
+@query(
+    "WITH e AS (SELECT event_id, ts, unnest([0, 1]) AS side, unnest([user_id, (user_id * 7 + 3) % 97]) AS party, unnest([value, -value]) AS v FROM events), "
+    "x AS (SELECT event_id, side, sum(v) OVER w AS s, count(v) OVER w AS n FROM e WINDOW w AS (PARTITION BY party ORDER BY ts, event_id, side ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) "
+    "SELECT event_id, round(max(s) FILTER (side = 0), 6) + 0.0::DOUBLE AS home_sum, max(n) FILTER (side = 0) AS home_n, round(max(s) FILTER (side = 1), 6) + 0.0::DOUBLE AS away_sum, max(n) FILTER (side = 1) AS away_n FROM x GROUP BY event_id"
+)
+def last_of_either_side(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("home"), ((F.col("user_id") * 7 + 3) % 97).alias("away"), F.col("value").alias("v"), (-F.col("value")).alias("w"))
+    return rounded(P.last_of_either_side(df, ["home", "away"], ["v", "w"], "ts", "event_id", 4))
+
+
+@query(f"WITH {_DAILY} SELECT s, t, round(v, 3) + 0.0::DOUBLE AS value FROM d")
+def undifferencing(spark, sf_dir):
+    series = P.differenced(_daily(spark, sf_dir), "v", "t", ["s"])
+    return rounded(P.undifferenced(series, "diff", F.col("v"), "t", ["s"]).select("s", "t", "value"), 3)
+
+
+@query("SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings")
+def normalized_rows(spark, sf_dir):
+    df = P.normalized_rows(_vectors(spark, sf_dir), "x")
+    return rounded(df.select("vec_id", F.sqrt(F.aggregate("normal", F.lit(0.0), lambda s, x: s + x * x)).alias("length")), 9)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, floor(0.2 * count(*))::BIGINT AS valid FROM orders GROUP BY 1")
+def stratified_split(spark, sf_dir):
+    df = P.stratified_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+    return df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("valid"))
+
+
+# -- fitted models against their own conditions of optimality --------------------------------------------------------
+
+
+def _flags(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 10).alias("c"))
+
+
+def _violations(spark, df, features, models, chance) -> DataFrame:
+    """How far each (name, model, lambda, alpha) is from its conditions of optimality, a row: a multiple of the number of rows, rounded."""
+    out = []
+    for name, m, lam, alpha in models:
+        rest = F.col("y") - chance(m)
+        row = df.agg(F.count("*").alias("n"), F.sum(rest).alias("r"), *[F.sum(rest * F.col(c)).alias(c) for c in features]).first()
+        gaps = [abs(row["r"])]
+        for c, b in zip(features, m.coef):
+            g = row[c] - lam * (1 - alpha) * b
+            gaps.append(abs(g - lam * alpha * (1 if b > 0 else -1)) if abs(b) > 1e-9 else max(0.0, abs(g) - lam * alpha))
+        out.append((*name, round(float(max(gaps) / row["n"]), 5) + 0.0))
+    return spark.createDataFrame(out, "alpha_idx int, lambda_idx int, violation double")
+
+
+@query("SELECT a.i::INT AS alpha_idx, l.i::INT AS lambda_idx, 0.0::DOUBLE AS violation FROM range(2) a(i), range(4) l(i)")
+def logistic_path_optimality(spark, sf_dir):
+    df = _flags(spark, sf_dir)
+    fit = L.ElasticNetPath(n_lambdas=4, alphas=[0.5, 1.0], n_folds=3, lambda_min_ratio=1e-3, family="logistic").fit(df, ["a", "b", "c"], "y")
+    rows = [((r["alpha_idx"], r["lambda_idx"]), fit.models[r["alpha_idx"], r["lambda_idx"]], r["lambda"], r["alpha"]) for r in fit.path]
+    return _violations(spark, df, ["a", "b", "c"], rows, lambda m: 1 / (1 + F.exp(-S.linear_sum(m.features, m.coef, m.intercept))))
+
+
+@query("SELECT a.i::INT AS alpha_idx, l.i::INT AS lambda_idx, 0.0::DOUBLE AS violation FROM range(3) a(i), range(4) l(i)")
+def elastic_net_optimality(spark, sf_dir):
+    df = _regression(spark, sf_dir).select("y", (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 10).alias("c"))
+    fit = L.ElasticNetPath(n_lambdas=4, n_alphas=3, lambda_min_ratio=1e-3).fit(df, ["a", "b", "c"], "y")
+    rows = [((r["alpha_idx"], r["lambda_idx"]), fit.models[r["alpha_idx"], r["lambda_idx"]], r["lambda"], r["alpha"]) for r in fit.path]
+    return _violations(spark, df, ["a", "b", "c"], rows, lambda m: S.linear_sum(m.features, m.coef, m.intercept))
+
+
+@query("SELECT 0::INT AS alpha_idx, 0::INT AS lambda_idx, 0.0::DOUBLE AS violation")
+def logistic_regression_optimality(spark, sf_dir):
+    df = _flags(spark, sf_dir)
+    m = L.logistic_regression(df, ["a", "b", "c"], "y")
+    return _violations(spark, df, ["a", "b", "c"], [((0, 0), m, 1.0, 0.0)], lambda m: m.probability())
+
+
+def _products(df: DataFrame, k: int, scale, centre: bool) -> DataFrame:
+    """(i, j, value) of the sums of products of the columns c0, c1, ..., less their means if asked for, over ``scale`` of both."""
+    cells = []
+    for i in range(k):
+        for j in range(i, k):
+            product = F.covar_samp(f"c{i}", f"c{j}") if centre else F.sum(F.col(f"c{i}") * F.col(f"c{j}"))
+            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (product / float(scale[i] * scale[j])).alias("value")))
+    return rounded(df.agg(F.array(*cells).alias("a")).select(F.inline("a")), 5)
+
+
+_IDENTITY = "SELECT i.i::INT AS i, j.j::INT AS j, (i.i = j.j)::INT::DOUBLE AS value FROM range(4) i(i), range(4) j(j) WHERE i.i <= j.j"
+
+
+@query(_IDENTITY)
+def pca_orthogonality(spark, sf_dir):
+    df, names = D.exploded_vector(_vectors(spark, sf_dir), "x", 64)
+    m = D.pca(df, names, 4)
+    return _products(m.transform(df), 4, m.explained_variance**0.5, True)
+
+
+@query(_IDENTITY)
+def svd_orthogonality(spark, sf_dir):
+    df, names = D.exploded_vector(_vectors(spark, sf_dir), "x", 64)
+    m = D.truncated_svd(df, names, 4)
+    return _products(m.transform(df), 4, m.singular_values, False)
+
+
+@query("SELECT l.i::INT AS label, 0.0::DOUBLE AS shift FROM range(3) l(i)")
+def kmeans_fixed_point(spark, sf_dir):
+    """How far each centre is from the mean of the rows nearest to it, after all steps."""
+    import numpy as np
+
+    m = K.kmeans(_vectors(spark, sf_dir), "x", 3, seed=1, tol=1e-12)
+    new, _, _ = K.lloyd_step(_vectors(spark, sf_dir), "x", m.centres)
+    return spark.createDataFrame([(k, round(float(np.abs(a - b).max()), 6) + 0.0) for k, (a, b) in enumerate(zip(new, m.centres, strict=True))], "label int, shift double")
+
+
+@query(f"WITH {_RATINGS} SELECT count(DISTINCT \"user\") AS users, 0::BIGINT AS violated FROM r")
+def als_normal_equations(spark, sf_dir):
+    """Of the side that is solved last: sum (u'v - r) u + lam n v is zero for each of its factors v."""
+    r = _ratings(spark, sf_dir).select(F.col("item").cast("int").alias("item"), F.col("user").cast("int").alias("user"), F.col("r").cast("float").alias("r"))
+    m = Z.factorize(r, "item", "user", "r", rank=4, lam=0.1)
+    last, other = m.userFactors, m.itemFactors
+    if m._java_obj is not None and m.getUserCol() == "item":
+        last, other = other, last
+    u = other.select(F.col("id").alias("item"), F.col("features").alias("u"))
+    v = last.select(F.col("id").alias("user"), F.col("features").alias("v"))
+    joined = r.join(u, "item").join(v, "user").withColumn("e", S.dot(F.col("u"), F.col("v")) - F.col("r"))
+    gaps = joined.groupBy("user").agg(*[F.abs(F.sum(F.col("e") * F.get("u", F.lit(k))) + 0.1 * F.count("*") * F.first(F.get("v", F.lit(k)))).alias(f"g{k}") for k in range(4)], F.sum(F.abs(F.col("r"))).alias("size"))
+    return gaps.agg(F.count("*").alias("users"), F.count_if(F.greatest(*[F.col(f"g{k}") for k in range(4)]) > 1e-3 * (1 + F.col("size"))).alias("violated"))
+
+
+@query(
+    "WITH x AS (SELECT l_quantity / 50 AS a, l_discount AS b, l_extendedprice / 100000 AS o FROM lineitem), s AS (SELECT sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*o) AS ao, sum(b*o) AS bo FROM x), "
+    "r AS (SELECT ((ao-1)*bb - (bo-1)*ab) / (aa*bb - ab*ab) AS a, ((bo-1)*aa - (ao-1)*ab) / (aa*bb - ab*ab) AS b FROM s) SELECT 'a' AS name, round(a, 3) + 0.0::DOUBLE AS value FROM r UNION ALL SELECT 'b', round(b, 3) + 0.0 FROM r"
+)
+def graph_form_closed_form(spark, sf_dir):
+    """Both coefficients are positive here, so the lasso's solution is that of a linear system."""
+    df = _regression(spark, sf_dir).select((F.col("l_quantity") / 50).alias("a"), F.col("l_discount").alias("b"), (F.col("y") / 100).alias("o"))
+    x = G.solve(df, ["a", "b"], {"h": "square"}, {"h": "abs", "c": 1.0}, offset="o", tol=1e-7)
+    return spark.createDataFrame([(n, round(float(v), 3)) for n, v in zip(["a", "b"], x, strict=True)], "name string, value double")
+
+
+@query(f"WITH {_GRID} SELECT round(v, 6) + 0.0::DOUBLE AS v, " + ", ".join(f"0.0::DOUBLE AS {k}" for k in ("exp", "logistic", "negentr", "recipr")) + " FROM g")
+def proximal_stationarity(spark, sf_dir):
+    """h'(x) + rho (x - v) at x = prox(v), which is zero."""
+    grid = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 40 - 2).alias("v")).distinct()
+    slope = {"exp": F.exp, "logistic": lambda x: 1 / (1 + F.exp(-x)), "negentr": lambda x: F.log(x) + 1, "recipr": lambda x: -1 / (x * x)}
+    found = grid.select("v", *[X.prox(k, F.col("v"), 2.0).alias(k) for k in slope])
+    return rounded(found.select(F.round("v", 6).alias("v"), *[F.round(f(F.col(k)) + 2.0 * (F.col(k) - F.col("v")), 5).alias(k) for k, f in slope.items()]))
