@@ -405,10 +405,11 @@ def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least
 def refined(large: DataFrame) -> DataFrame:
     """Members (key, band, node, fp, n, t, wide) of buckets that are too large, in buckets of more equal bits of the fingerprint.
 
-    The first time each member goes to ``TABLES`` tables, after that it takes further bits in its own. Members
+    The first time each member goes to ``TABLES`` tables, after that it takes twice as many bits in its own, so a handful of rounds is
+    enough; what stays together over many bits is close, so further bits part few of its pairs. Members
     whose fingerprints are equal in all 64 bits are dealt by a hash.
     """
-    more = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("size") / (CHUNK / 4), F.col("mass") / (MOST_SHINGLES / 4))))).cast("int")
+    more = F.greatest(F.lit(6), F.col("wide"), F.ceil(F.log2(F.greatest(F.col("size") / (CHUNK / 4), F.col("mass") / (MOST_SHINGLES / 4))))).cast("int")
     spread = large.withColumn("next", F.least(F.lit(64), F.col("wide") + more)).withColumn("key", F.when(F.col("wide") < 64, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("size") / (CHUNK / 2), F.col("mass") / (MOST_SHINGLES / 2)))))))
     first = spread.where("t < 0").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
     spread = first.unionByName(spread.where("t >= 0"))
