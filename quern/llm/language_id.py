@@ -31,6 +31,8 @@ MOST_DOCS, MOST_WORDS, MOST_GRAMS = 2000, 40_000, 30_000
 #: Languages that a model can tell apart (each is a column of it); more raise an error.
 MOST_LANGUAGES = 500
 LONGEST, STEP_DOWN, CAP = 4, 1.0, 20
+#: The score of a place where no n-gram is known.
+FLOOR = -12.0
 #: Occurrences at pooled frequencies that every language starts with.
 LEAN = 100.0
 #: Rows that are summed at once.
@@ -93,23 +95,32 @@ def train(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     return languages, model
 
 
+def scores(languages: list[str], model: dict[str, np.ndarray]) -> tuple[list[str], str, np.ndarray]:
+    """What workers are sent: the keys as one text and one matrix, with a row for each known word, each n-gram less its steps down, and the floor.
+
+    A worker's memory holds this, its keys and their places, not an array object for each key.
+    """
+    rows = np.full((len(model) + 1, len(languages)), FLOOR)
+    for at, (key, value) in enumerate(model.items()):
+        rows[at] = value - STEP_DOWN * (LONGEST - len(key) + 1) if key[0] == "\u0000" else value
+    return languages, "\n".join(model), rows  # keys are letters and marks of n-grams, never a line's end
+
+
 class Scorer:
-    """Scores of texts in one matrix: a row for each known word, each n-gram less its steps down, and the floor."""
+    """Scores of texts from what ``scores`` gives, or from the languages and the model itself."""
 
-    def __init__(self, languages: list[str], model: dict[str, np.ndarray]):
-        self.languages = languages
+    def __init__(self, languages: list[str], keys: str | dict[str, np.ndarray], rows: np.ndarray | None = None):
+        if isinstance(keys, dict):
+            languages, keys, rows = scores(languages, keys)
+        self.languages, self.rows = languages, rows
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
-        self.rows = np.full((len(model) + 1, len(languages)), -12.0)
-        for at, (key, value) in enumerate(model.items()):
+        for at, key in enumerate(keys.split("\n") if keys else ()):
             if key[0] == "\u0000":
-                gram = key[1:]
-                self.grams[gram] = at
-                self.rows[at] = value - STEP_DOWN * (LONGEST - len(gram))
+                self.grams[key[1:]] = at
             else:
                 self.words[key] = at
-                self.rows[at] = value
-        self.floor = len(model)
+        self.floor = len(rows) - 1
 
     def unseen(self, word: str) -> list[int]:
         """For each place of ``^word$``, the row of the longest known n-gram that starts there."""
@@ -151,7 +162,7 @@ class Scorer:
 
 def identify(docs: DataFrame, languages: list[str], model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((languages, model))  # bounded by MOST_WORDS + MOST_GRAMS a language
+    sent = docs.sparkSession.sparkContext.broadcast(scores(languages, model))  # bounded by MOST_WORDS + MOST_GRAMS a language
     held: list[Scorer] = []
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -178,7 +189,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     languages, model = learned(docs)
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((languages, model))
+    sent = docs.sparkSession.sparkContext.broadcast(scores(languages, model))
     held: list[Scorer] = []
 
     @F.pandas_udf("boolean")
