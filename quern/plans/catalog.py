@@ -616,3 +616,19 @@ def proximal_stationarity(spark, sf_dir):
     slope = {"exp": F.exp, "logistic": lambda x: 1 / (1 + F.exp(-x)), "negentr": lambda x: F.log(x) + 1, "recipr": lambda x: -1 / (x * x)}
     found = grid.select("v", *[X.prox(k, F.col("v"), 2.0).alias(k) for k in slope])
     return rounded(found.select(F.round("v", 6).alias("v"), *[F.round(f(F.col(k)) + 2.0 * (F.col(k) - F.col("v")), 5).alias(k) for k, f in slope.items()]))
+
+
+_SLOPES_SQL = {
+    "abs": "CASE WHEN x=0 THEN greatest(-1, least(1, v)) ELSE sign(x) END", "exp": "exp(x)", "huber": "greatest(-1, least(1, x))", "identity": "1", "indbox01": "CASE WHEN x<=0 THEN least(v, 0) WHEN x>=1 THEN greatest(v, 0) ELSE 0 END",
+    "indeq0": "v", "indge0": "CASE WHEN x<=0 THEN least(v, 0) ELSE 0 END", "indle0": "CASE WHEN x>=0 THEN greatest(v, 0) ELSE 0 END", "logistic": "1/(1+exp(-x))",
+    "maxneg0": "CASE WHEN x<0 THEN -1 WHEN x>0 THEN 0 ELSE greatest(-1, least(0, v)) END", "maxpos0": "CASE WHEN x<0 THEN 0 WHEN x>0 THEN 1 ELSE greatest(0, least(1, v)) END", "square": "x", "zero": "0",
+    "negentr": "1 + ln(abs(x) + 1)", "neglog": "-1/(abs(x) + 1)", "recipr": "-1/((abs(x) + 1) * (abs(x) + 1))",
+}
+
+
+@query("WITH g AS (SELECT DISTINCT (l_linenumber - 2)::DOUBLE AS x, l_quantity / 16 - 1.5 AS v FROM lineitem) SELECT x, v, " + ", ".join(_r(e, k) for k, e in _SLOPES_SQL.items()) + " FROM g")
+def subgradient_projections(spark, sf_dir):
+    """Of all sixteen functions; those of positive numbers only are taken at abs(x) + 1."""
+    grid = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 2).cast("double").alias("x"), (F.col("l_quantity") / 16 - 1.5).alias("v")).distinct()
+    at = lambda k: F.abs("x") + 1 if k in ("negentr", "neglog", "recipr") else F.col("x")
+    return rounded(grid.select("x", "v", *[X.subgradient_projection(k, F.col("v"), at(k)).alias(k) for k in _SLOPES_SQL]), but=("x", "v"))
