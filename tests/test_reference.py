@@ -141,3 +141,19 @@ def test_against_duckdb(spark, name):
         return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
     assert rows(got) == rows(want)
+
+
+def test_boosting_of_classes_and_early_stopping(spark):
+    from quern.operators import trees
+
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(240, 2))
+    rows = [(float(x), float(y), float(int(x > -0.5) + int(x > 0.5)), float(x), bool(i % 4 == 0)) for i, (x, y) in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, held boolean")
+    m = trees.gradient_boosting_classifier(df, ["a", "b"], "c", n_estimators=3, classes=3)
+    assert m.importances()[0][0] == "a" and {"leaf_0", "leaf_1", "leaf_2"} <= set(m.apply(df).columns) and m.apply(df).count() == 240
+    full = trees.gradient_boosting_regressor(df, ["a", "b"], "y", n_estimators=20, learning_rate=0.5)
+    early = trees.gradient_boosting_regressor(df, ["a", "b"], "y", n_estimators=20, learning_rate=0.5, valid="held", tol=0.05)
+    assert early.model.getNumTrees < full.model.getNumTrees == 20
+    seen = full.history(df)
+    assert len(seen) == 20 and seen[-1] < seen[0]
