@@ -9,7 +9,7 @@ residual vector, less the piece, has the smallest weighted square norm; ``dot``
 weighted product of residual and demand. A group wastes at most some sequence of its own, so
 the number of groups, not their size, follows the data.
 
-Null texts are empty documents of one end id. Repeated rows are packed each. Texts of any length are cut, so no group grows with them.
+Null texts are empty documents of one end id. Repeated rows are packed each, and dealt apart. Texts of any length are cut, so no group grows with them.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ def packed(parts: DataFrame, tokens: int = 2048, most_docs: int | None = None, m
     """``parts`` (a written table of pieces) with sequence_id and offset. The default limits on documents and attention cost bind no sooner than tokens."""
     most_docs, most_cost = most_docs or tokens, most_cost or float(tokens) ** 2
     groups = max(1, math.ceil(parts.count() / GROUP))
-    keyed = parts.withColumn("__group", F.pmod(F.xxhash64(id_column, "piece", "length", "ids_crc32"), F.lit(groups)))
+    # The row number of the stored table parts repeated rows, so no group grows with their copies.
+    keyed = parts.withColumn("__group", F.pmod(F.xxhash64(id_column, "piece", F.monotonically_increasing_id()), F.lit(groups)))
     columns = parts.columns
     schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
