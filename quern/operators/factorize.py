@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import dot
+from ..plans.stored import discard, sent_if_small, stored
+from ..session import ship_package
 
 
 def factorize(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10, lam: float = 0.1, max_iter: int = 10, seed: int = 1234):
@@ -32,3 +39,76 @@ def rank_one_half_step(ratings: DataFrame, factors: DataFrame, user: str, item:
     """The exact user factors of rank one, given item factors (item, v): sum r*v / (sum v**2 + n*lam)."""
     joined = ratings.join(factors, item)
     return joined.groupBy(user).agg((F.sum(F.col(rating) * F.col("v")) / (F.sum(F.col("v") * F.col("v")) + F.count("*") * lam)).alias("u"))
+
+
+def half_step(ratings: DataFrame, factors: DataFrame, by: str, other: str, rating: str, rank: int, lam: float) -> DataFrame:
+    """(id, features): exact factors of every ``by``, given the stored ``factors`` (id, features) of ``other``.
+
+    The normal matrix of a ``by`` is a sum of products for each pair of factors, so a hot one is summed where its ratings are
+    before anything is shuffled; only the sums reach numpy.
+    """
+    ship_package(ratings.sparkSession)
+    joined = ratings.join(sent_if_small(factors.select(F.col("id").alias(other), F.col("features").alias("__f"))), other)
+    at = [F.get("__f", F.lit(i)) for i in range(rank)]
+    lower = [(i, j) for i in range(rank) for j in range(i + 1)]
+    products = [F.sum(at[i] * at[j]) for i, j in lower]
+    sums = joined.groupBy(F.col(by).alias("id")).agg(F.count("*").alias("n"), F.array(*products).alias("a"), F.array(*[F.sum(F.col(rating) * f) for f in at]).alias("b"))
+    rows, columns = np.array(lower).T
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if not len(part):
+                continue
+            normal = np.zeros((len(part), rank, rank))
+            normal[:, rows, columns] = normal[:, columns, rows] = np.stack(part["a"].to_numpy())
+            normal += lam * part["n"].to_numpy(float)[:, None, None] * np.eye(rank)
+            yield pd.DataFrame({"id": part["id"], "features": list(np.linalg.solve(normal, np.stack(part["b"].to_numpy())[:, :, None])[:, :, 0])})
+
+    return sums.mapInPandas(solve, f"id {ratings.schema[by].dataType.simpleString()}, features array<double>")
+
+
+def start_factors(ratings: DataFrame, key: str, rank: int, seed: int = 1234) -> DataFrame:
+    """(id, features) of every key: values from 0 to 0.2 by a hash of key, place and seed, the same on any cluster."""
+    values = [F.pmod(F.xxhash64(F.col("id"), F.lit(i), F.lit(seed)), F.lit(1_000_003)) / 1_000_003 * 0.2 for i in range(rank)]
+    return ratings.select(F.col(key).alias("id")).distinct().select("id", F.array(*values).alias("features"))
+
+
+@dataclass
+class Factors:
+    """Stored factors of both sides, and after each iteration the error over training rows and, if given, test rows."""
+
+    user: str
+    item: str
+    users: DataFrame
+    items: DataFrame
+    scores: list[tuple[float, float | None]] = field(default_factory=list)
+
+    def predict(self, pairs: DataFrame, name: str = "prediction") -> DataFrame:
+        return score(pairs, self.users, self.items, self.user, self.item, name)
+
+    def error(self, ratings: DataFrame, rating: str) -> float:
+        return self.predict(ratings, "__p").agg(rmse(F.col(rating), F.col("__p"))).first()[0]
+
+
+def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10, lam: float = 0.1, max_iter: int = 100, test: DataFrame | None = None, patience: int | None = None, items: DataFrame | None = None, seed: int = 1234) -> Factors:
+    """Alternating least squares with a test error after each iteration; users are solved first.
+
+    With ``patience`` it stops once the test error hasn't been at its lowest for more than so many iterations, and gives the last
+    factors. ``items`` (id, features) starts from known factors. Null or missing ratings don't belong in ``ratings``.
+    """
+    if patience is not None and test is None:
+        raise ValueError("stopping early takes test ratings")
+    held = stored(items if items is not None else start_factors(ratings, item, rank, seed), "items")
+    model, best, best_at = Factors(user, item, None, held), float("inf"), 0
+    for step in range(max_iter):
+        users = stored(half_step(ratings, model.items, user, item, rating, rank, lam), "users")
+        new = stored(half_step(ratings, users, item, user, rating, rank, lam), "items")
+        discard(*[x for x in (model.users, model.items) if x is not None])
+        model.users, model.items = users, new
+        tested = model.error(test, rating) if test is not None else None
+        model.scores.append((model.error(ratings, rating), tested))
+        if tested is not None and tested < best:
+            best, best_at = tested, step
+        if patience is not None and step - best_at > patience:
+            break
+    return model

@@ -77,8 +77,9 @@ def parallel_start(df: DataFrame, features: str, k: int, seed: int) -> np.ndarra
             found = np.concatenate([found, np.array([r[features] for r in new], float)])
     found = np.unique(found, axis=0)
     if len(found) <= k:
-        more = df.select(features).distinct().orderBy(F.rand(seed)).limit(k).collect()
-        return np.unique(np.concatenate([found, np.array([r[features] for r in more], float)]), axis=0)[:k]
+        more = [r[features] for r in df.select(features).distinct().orderBy(F.rand(seed)).limit(k).collect()]
+        chosen = dict.fromkeys(map(tuple, [*found.tolist(), *np.array(more, float).tolist()]))  # those found stay, others fill up
+        return np.array(list(chosen)[:k])
     _, sizes, _ = lloyd_step(df, features, found)
     return _plus_plus(found, np.maximum(sizes, 1e-9), k, np.random.default_rng(seed))
 

@@ -269,6 +269,17 @@ def als_half_step(spark, sf_dir):
     return rounded(Z.rank_one_half_step(r, factors, "user", "item", "r", 0.5))
 
 
+@query(
+    f"WITH {_RATINGS}, f AS (SELECT *, 1.0 + item % 7 AS v, 0.5 + item % 3 AS w FROM r), s AS (SELECT \"user\", sum(v*v) + count(*)*0.5 AS a, sum(v*w) AS b, sum(w*w) + count(*)*0.5 AS c, sum(r*v) AS d, sum(r*w) AS e FROM f GROUP BY 1) "
+    "SELECT \"user\", round((d*c - e*b) / (a*c - b*b), 6) + 0.0::DOUBLE AS u0, round((e*a - d*b) / (a*c - b*b), 6) + 0.0::DOUBLE AS u1 FROM s"
+)
+def als_half_step_rank_two(spark, sf_dir):
+    r = _ratings(spark, sf_dir)
+    factors = r.select("item").distinct().select(F.col("item").alias("id"), F.array((1.0 + F.col("item") % 7).cast("double"), (0.5 + F.col("item") % 3).cast("double")).alias("features"))
+    found = Z.half_step(r, factors, "user", "item", "r", 2, 0.5)
+    return rounded(found.select(F.col("id").alias("user"), F.get("features", F.lit(0)).alias("u0"), F.get("features", F.lit(1)).alias("u1")), but=("user",))
+
+
 @query()
 def als_factorization(spark, sf_dir):
     r = _ratings(spark, sf_dir).select(F.col("item").cast("int").alias("item"), F.col("user").cast("int").alias("user"), F.col("r").cast("float").alias("r"))

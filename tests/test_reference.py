@@ -157,3 +157,35 @@ def test_boosting_of_classes_and_early_stopping(spark):
     assert early.model.getNumTrees < full.model.getNumTrees == 20
     seen = full.history(df)
     assert len(seen) == 20 and seen[-1] < seen[0]
+
+
+def test_factorization_stops_on_test_error_and_starts_warm(spark):
+    from quern.operators import factorize
+
+    rng = np.random.default_rng(8)
+    u, v = rng.uniform(0.5, 1.5, (30, 2)), rng.uniform(0.5, 1.5, (20, 2))
+    rows = [(i, j, float(u[i] @ v[j] + rng.normal(0, 0.3)), bool((i + j) % 5 == 0)) for i in range(30) for j in range(20) if (i * 7 + j * 3) % 4]
+    df = spark.createDataFrame(rows, "user int, item int, r double, held boolean").cache()
+    train, test = df.where("not held"), df.where("held")
+    model = factorize.alternate(train, "user", "item", "r", rank=2, lam=0.01, max_iter=3, test=test)
+    assert len(model.scores) == 3 and model.scores[2][0] <= model.scores[0][0]
+    assert model.users.count() == 30 and model.items.count() == 20
+    # The side solved last meets its normal equations.
+    f, g = ({r["id"]: np.array(r["features"]) for r in side.collect()} for side in (model.users, model.items))
+    for j in range(20):
+        own = [(f[i], r) for i, k, r, held in rows if k == j and not held]
+        assert np.allclose(sum((x @ g[j] - r) * x for x, r in own) + 0.01 * len(own) * g[j], 0, atol=1e-6)
+    warm = factorize.alternate(train, "user", "item", "r", rank=2, lam=0.01, max_iter=1, items=model.items)
+    assert warm.scores[0][0] <= model.scores[2][0] * 1.01 and warm.scores[0][1] is None
+    early = factorize.alternate(train, "user", "item", "r", rank=2, lam=0.0001, max_iter=8, test=train.withColumn("r", -F.col("r")), patience=1)
+    tested = [t for _, t in early.scores]
+    assert len(tested) < 8 and len(tested) - 1 - int(np.argmin(tested)) == 2
+    assert np.isnan(early.predict(spark.createDataFrame([(99, 1)], "user int, item int")).toPandas()["prediction"][0])
+    with pytest.raises(ValueError):
+        factorize.alternate(train, "user", "item", "r", patience=1)
+
+
+def test_kmeans_start_keeps_its_candidates(spark):
+    df = spark.createDataFrame([([float(x)],) for x in (0, 1, 2, 50)], "x array<double>")
+    start = kmeans.parallel_start(df, "x", 4, seed=2)
+    assert sorted(start[:, 0]) == [0, 1, 2, 50]
