@@ -233,3 +233,16 @@ def test_empty_tables(spark, docs):
 def test_token_files_of_no_rows(spark, docs, tmp_path):
     token_store.write_tokens(docs.where("false"), str(tmp_path / "e"), tokenizer_path(), end_id=2)
     assert token_store.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_packing_deals_repeated_rows_apart(spark, monkeypatch):
+    from quern.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 64)
+    parts = spark.range(0, 1000).selectExpr("7L doc_id", "0 piece", "0L start", "300L length", "5L ids_crc32")
+    out = packing.packed(parts).toPandas()
+    sizes = (out["sequence_id"] // 2**32).value_counts()
+    assert len(out) == 1000 and len(sizes) == 16 and sizes.max() < 128
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+    for _, rows in out.groupby("sequence_id"):
+        assert sorted(rows["offset"]) == list(range(0, 300 * len(rows), 300))
