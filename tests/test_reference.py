@@ -189,3 +189,16 @@ def test_kmeans_start_keeps_its_candidates(spark):
     df = spark.createDataFrame([([float(x)],) for x in (0, 1, 2, 50)], "x array<double>")
     start = kmeans.parallel_start(df, "x", 4, seed=2)
     assert sorted(start[:, 0]) == [0, 1, 2, 50]
+
+
+def test_graph_form_with_a_function_for_each_coordinate(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(60, 2))
+    b = a @ [1.0, -2.0] + rng.normal(0, 0.1, 60)
+    df = spark.createDataFrame([(float(p), float(q), float(o)) for (p, q), o in zip(a, b)], "p double, q double, o double")
+    x = graph_form.solve(df, ["p", "q"], {"h": "square"}, [{"h": "zero"}, {"h": "indge0"}], offset="o", rho=5.0, max_iter=60, tol=1e-6)
+    assert np.allclose(x, [a[:, 0] @ b / (a[:, 0] @ a[:, 0]), 0], atol=0.02)  # the second stays at its bound; 200 iterations come within 1e-7
+    with pytest.warns(UserWarning, match="not converged"):
+        graph_form.solve(df, ["p", "q"], {"h": "square"}, [{"h": "zero"}, {"h": "indge0"}], offset="o", rho=5.0, max_iter=2, tol=1e-12)
+    with pytest.raises(ValueError):
+        graph_form.solve(df, ["p", "q"], {"h": "square"}, [{"h": "zero"}], offset="o")
