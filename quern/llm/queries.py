@@ -10,6 +10,7 @@ from .licenses import op10_license_scan
 from .packing import op9_best_fit_packing
 from .quality import op3_quality_rules
 from .simhash import op5_simhash
+from .tandem import op11_periodic_runs
 from .token_counts import op4_token_counts
 from .token_store import op6_token_output
 from .url_filter import op1_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
         op8_language_id,
         op9_best_fit_packing,
         op10_license_scan,
+        op11_periodic_runs,
         op13_importance_resampling,
     )
 }
