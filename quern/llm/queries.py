@@ -8,6 +8,7 @@ from .importance import op13_importance_resampling
 from .language_id import op8_language_id
 from .licenses import op10_license_scan
 from .packing import op9_best_fit_packing
+from .personal import op12_personal_data
 from .quality import op3_quality_rules
 from .simhash import op5_simhash
 from .tandem import op11_periodic_runs
@@ -29,6 +30,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_license_scan,
         op11_periodic_runs,
+        op12_personal_data,
         op13_importance_resampling,
     )
 }

@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op11_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op13_importance_resampling": "doc_id n_features weight score rank",
 }
 
