@@ -289,10 +289,12 @@ _SEEDS, _FACTORS = (np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * B
 RADIUS = 16
 #: Bands that a pair must share outside its bucket's leader: at 0.8 all but 3 in 1,000 share two (computed).
 LEAST_BANDS = 2
-#: Members up to which a bucket is compared in full; larger ones meet again in tables of sampled bits.
-CHUNK, TABLES = 2048, 24
-#: Shingles up to which it is: 8 bytes each stay in one task's memory.
-MOST_SHINGLES = 1 << 22
+#: Members and shingles up to which a bucket is compared in full at once (8 bytes a shingle stay in one task's memory); larger ones are split, see ``by_prefix`` and ``in_parts``.
+CHUNK, MOST_SHINGLES = 2048, 1 << 22
+#: Counters of the sketch that orders shingles by how often they occur, sent to every task (4 bytes each).
+COUNTERS = 1 << 20
+#: Pairs with one leader that go to one task; more are dealt out.
+HOT = 1000
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -308,12 +310,6 @@ def band_keys(distinct: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def sampled_masks(table: int) -> list[int]:
-    """Masks of 0, 1, ..., 64 bits of a table, each with one bit more than the one before."""
-    order = np.random.default_rng(1000 + table).permutation(64)
-    return [_signed(sum(1 << int(b) for b in order[:k])) for k in range(65)]
-
-
 def verified(pairs: DataFrame, rows: DataFrame, least: float, size: int) -> DataFrame:
     """The pairs (a, b) of row keys whose sets of shingles of ``size`` words have a similarity of ``least`` or more; a stored table.
 
@@ -322,14 +318,19 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float, size: int) -> Data
     pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     named = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "named")
     sets = written(shingle_sets(rows, named, size), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    salted = pairs.join(sent_if_small(hot), "b", "left").select("a", "b", part)
+    heads = sets.select(F.col("row").alias("b"), F.col("s").alias("sb")).join(sent_if_small(hot), "b", "left")
+    heads = heads.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = salted.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(heads, ["b", "part"])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         good = [k for k, (x, y) in enumerate(zip(batch["sa"], batch["sb"])) if similarity(x, y) >= least - 1e-9]
         return {c: [batch[c][k] for k in good] for c in "ab"}
 
     out = written(map_arrow(both, ["a", "b", "sa", "sb"], run, "a long, b long"), "links")
-    discard(pairs, named, sets)
+    discard(pairs, named, sets, hot)
     return out
 
 
@@ -360,8 +361,8 @@ def similarity(a: bytes, b: bytes) -> float:
 def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, size: int, radius: int) -> DataFrame:
     """Links (a, b) that connect the nodes of different roots in one bucket of ``mixed`` (key, band, t, node, fp, n, root), a stored table.
 
-    Pairs within the radius that share ``LEAST_BANDS`` bands are verified by their shingles where they meet, in the bucket of their
-    first band, unless what is verified before connects them already; so only a spanning forest leaves the bucket.
+    Pairs within the radius are verified by their shingles where they meet, unless what is verified before connects them already; so only
+    a spanning forest leaves the bucket. In buckets of bands (``t`` below 0) they must share ``LEAST_BANDS`` of these, and meet in the first one's.
     """
     ship_package(mixed.sparkSession)
     small_batches(mixed.sparkSession)
@@ -387,7 +388,7 @@ def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least
                 keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
                 a, b = a[keep], b[keep]
                 same = bands[a] == bands[b]
-                keep = (same.sum(1) >= LEAST_BANDS) & ((same.argmax(1) == band[a]) | (t[a] >= 0))
+                keep = (t[a] >= 0) | (same.sum(1) >= LEAST_BANDS) & (same.argmax(1) == band[a])
                 for i, j in zip(a[keep].tolist(), b[keep].tolist()):
                     one, two = top(int(root[i])), top(int(root[j]))
                     if one != two and similarity(s[i], s[j]) >= least - 1e-9:
@@ -402,27 +403,56 @@ def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least
     return out
 
 
-def refined(large: DataFrame) -> DataFrame:
-    """Members (key, band, node, fp, n, t, wide) of buckets that are too large, in buckets of more equal bits of the fingerprint.
+def prefix_of(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of a set's hashes by ``counts`` (of their residues), one more than a pair of similarity ``least`` may lack; equal counts go by hash.
+
+    Two sets of that similarity share one of these whatever the order, as long as both use the same.
+    """
+    size = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
+    return s[np.lexsort((s, counts[(s % np.uint64(len(counts))).astype(np.int64)]))[:size]]
+
+
+def by_prefix(large: DataFrame, rows: DataFrame, least: float, size: int) -> DataFrame:
+    """Members (key, band, node, fp, n, t) of too large buckets of bands, in buckets of one rare shingle each, so that no pair of similarity ``least`` is lost.
 
-    The first time each member goes to ``TABLES`` tables, after that it takes twice as many bits in its own, so a handful of rounds is
-    enough; what stays together over many bits is close, so further bits part few of its pairs. Members
-    whose fingerprints are equal in all 64 bits are dealt by a hash.
+    What many of the members share, such as a passage of all their texts, comes last in the order and makes no bucket.
     """
-    more = F.greatest(F.lit(6), F.col("wide"), F.ceil(F.log2(F.greatest(F.col("size") / (CHUNK / 4), F.col("mass") / (MOST_SHINGLES / 4))))).cast("int")
-    spread = large.withColumn("next", F.least(F.lit(64), F.col("wide") + more)).withColumn("key", F.when(F.col("wide") < 64, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("size") / (CHUNK / 2), F.col("mass") / (MOST_SHINGLES / 2)))))))
-    first = spread.where("t < 0").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
-    spread = first.unionByName(spread.where("t >= 0"))
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in sampled_masks(t)]) for t in range(TABLES)])
-    mask = F.get(F.get(masks, F.col("t")), F.col("next"))
-    return spread.select(F.xxhash64("key", "t", F.col("fp").bitwiseAND(mask)).alias("key"), "band", "node", "fp", "n", "t", F.col("next").alias("wide"))
+    only = written(large.select("node", "fp", "n").dropDuplicates(["node"]), "crowded")
+    sets = written(shingle_sets(rows, only.select(F.col("node").alias("row")), size), "sets")
+
+    def counted(batch: dict[str, list]) -> dict[str, list]:
+        found = np.frombuffer(b"".join(batch["s"]), np.uint64) % np.uint64(COUNTERS)
+        residues, times = np.unique(found.astype(np.int64), return_counts=True)
+        return {"residue": residues.tolist(), "times": times.tolist()}
+
+    seen = map_arrow(sets, ["s"], counted, "residue int, times long").groupBy("residue").agg(F.least(F.sum("times"), F.lit((1 << 31) - 1)).cast("int").alias("times")).toPandas()
+    counts = np.zeros(COUNTERS, np.int32)  # at most one row for each counter comes back
+    counts[seen["residue"].to_numpy(int)] = seen["times"]
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def chosen(batch: dict[str, list]) -> dict[str, list]:
+        return {"node": batch["row"], "keys": [prefix_of(np.frombuffer(s, np.uint64), sent.value, least).view(np.int64).tolist() for s in batch["s"]]}
+
+    keys = map_arrow(sets, ["row", "s"], chosen, "node long, keys array<bigint>").select("node", F.explode("keys").alias("key"))
+    members = written(keys.join(only, "node").select("key", F.lit(0).alias("band"), "node", "fp", "n", F.lit(0).alias("t")), "members")
+    discard(only, sets)
+    return members
+
+
+def in_parts(large: DataFrame) -> DataFrame:
+    """Members of buckets that are still too large, in a bucket for each two of their parts, so that every pair meets."""
+    parts = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("mass") / MOST_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    return written(each.select(key, "band", "node", "fp", "n", F.lit(1).alias("t")), "members")
 
 
 def similar_nodes(nodes: DataFrame, rows: DataFrame, least: float, size: int, radius: int) -> DataFrame:
     """(node, root) of every node that is alike with another; ``nodes`` is a stored table (node, fp, n, bands, sig)."""
-    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "fp", "n", F.lit(-1).alias("t"), F.lit(0).alias("wide"))
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "fp", "n", F.lit(-1).alias("t"))
     links = None
-    while True:
+    for split in (by_prefix, in_parts, None):
         heads = members.groupBy("key").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("size"), F.sum("n").alias("mass"))
         heads = written(heads.where("size > 1"), "heads")
         crowd = written(members.join(heads, "key"), "crowd")
@@ -430,18 +460,19 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, least: float, size: int, ra
         found = verified(stars, rows, least, size)
         links = found if links is None else links.union(found)
         roots = components(links)
-        placed = written(crowd.join(sent_if_small(roots), "node", "left").select("key", "band", "node", "fp", "n", "t", "wide", "size", "mass", F.coalesce("root", "node").alias("root")), "placed")
+        placed = written(crowd.join(sent_if_small(roots), "node", "left").select("key", "band", "node", "fp", "n", "t", "size", "mass", F.coalesce("root", "node").alias("root")), "placed")
         apart = written(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "apart")
         mixed = written(placed.join(sent_if_small(apart), "key", "left_semi"), "mixed")
-        fits = (F.col("size") <= CHUNK) & ((F.col("mass") <= MOST_SHINGLES) | (F.col("size") <= 2))
-        small = written(mixed.where(fits).drop("size", "mass", "wide"), "small")
+        fits = (F.col("size") <= CHUNK) & ((F.col("mass") <= MOST_SHINGLES) | (F.col("size") <= 2)) if split else F.lit(True)
+        small = written(mixed.where(fits).drop("size", "mass"), "small")
         more = linked_in_buckets(small, nodes, rows, least, size, radius)
         discard(heads, crowd, placed, apart, small)
         large = mixed.where(~fits)
         if large.isEmpty():
             return roots if more.isEmpty() else components(links.union(more))
         links = links.union(more)
-        members = written(refined(large), "members")
+        members = by_prefix(large, rows, least, size) if split is by_prefix else in_parts(large)
+        discard(mixed)
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -452,8 +483,8 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     band of minimal hashes, since sampled bits of the fingerprint miss too many pairs at 0.8; there their
     fingerprints (of the distinct shingles) are compared bit plane by bit plane, and what lies within ``radius`` bits (and shares a second band,
     unless one of the two leads the bucket) is verified by the shingles themselves. Each bucket first meets its smallest node; where it
-    still holds several classes, its members are compared in full, at most ``CHUNK`` of them; larger buckets are
-    dealt out by sampled bits of the fingerprint until they are small, so rows grow with the nodes and not with their pairs.
+    still holds several classes, its members are compared in full, at most ``CHUNK`` of them. The members of larger buckets meet again
+    for each of their rarest shingles, as many as make a miss impossible, and what is too large even then in parts, two at a time: no split loses a pair within ``radius`` bits.
 
     Rows are told apart by a key written with them, so that rows with the same id or none are judged like any other.
     Null texts and texts without words are one class. The columns stay as they are, whatever their names.
