@@ -173,9 +173,9 @@ def test_languages(spark):
     make = {"aa": ["lorra", "sitta", "komma"], "bb": ["xuq", "zuq", "yuqs"]}
     rows = [(i, " ".join(rng.choice(make[k], 12)), k) for i, k in enumerate(["aa", "bb"] * 30)]
     df = spark.createDataFrame([*rows, (100, None, None), (101, "123 !", "aa"), (102, "yuqsx", None)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, *language_id.learned(df)).collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, language_id.learned(df)).collect()}
     assert all(got[i] == k for i, _, k in rows) and (got[100], got[101], got[102]) == ("und", "und", "bb")
-    none = language_id.identify(df, *language_id.learned(df.where("lang IS NULL")))
+    none = language_id.identify(df, language_id.learned(df.where("lang IS NULL")))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
@@ -225,7 +225,7 @@ def test_html(spark):
 
 def test_empty_tables(spark, docs):
     none = docs.where("false")
-    for df in (simhash.near_duplicates(none), packing.pack_documents(none), licenses.scan_licenses(none), token_counts.token_table(none, tokenizer_path()), quality.judged(none.drop("score")), language_id.identify(none, [], {})):
+    for df in (simhash.near_duplicates(none), packing.pack_documents(none), licenses.scan_licenses(none), token_counts.token_table(none, tokenizer_path()), quality.judged(none.drop("score")), language_id.identify(none, None)):
         assert df.count() == 0
     assert url_filter.filtered_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 

@@ -51,7 +51,7 @@ def test_pipeline_equals_its_filters(spark, tmp_path):
         assert name == "best-fit packing" or kept.columns == docs.columns
     texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
     language, good, single, clean = (texts(seen[name]) for name, _ in corpus_pipeline.STAGES[:4])
-    scorer = language_id.Scorer(*language_id.learned(docs))
+    scorer = language_id.Scorer(language_id.learned(docs))
     predicted = {i: scorer.predict(t) for i, t in texts(docs).items()}
     assert set(language) == {i for i, (lang, score) in predicted.items() if lang != "und" and score >= 0.5}
     judged = quality.judged(spark.createDataFrame(docs.where(F.col("doc_id").isin(list(language))).collect(), docs.schema))
