@@ -4,7 +4,7 @@ Each element of the parsed page is a binary variable (part of the article or not
 comes from features (tag, words in class and id, length and link share of its text); a potential for
 each parent and child ties neighbours together. One upward and one downward pass of sum-product
 messages give each element's marginal; text belongs to the article if the element around it
-does. The potentials are counts over a sample of labelled pages, with fixed pseudo-counts for tags
+does. Parts that are no article by their tag or names have odds of their own that no neighbour outweighs. The other potentials are counts over a sample of labelled pages, with fixed pseudo-counts for tags
 and words that the sample may lack. Without labels of their own, pages that mark their article
 up serve as labelled: what stands in ``article`` or ``main`` and not in a part named as boilerplate.
 
@@ -16,6 +16,7 @@ the cost of a page is in proportion to its length. Repeated rows are extracted e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 from itertools import repeat
@@ -29,7 +30,9 @@ from .common import map_arrow
 
 #: Bound of the labelled sample that the potentials are counted on.
 MOST_PAGES = 4000
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+MARKS = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 #: Fixed values of HTML: elements without content, with raw content, and those that break blocks.
@@ -49,22 +52,85 @@ KINDS = [
     ("head", ("header", "masthead", "topbar", "logo")),
     ("side", ("sidebar", "side", "aside", "widget", "related", "recommended", "complementary", "trending")),
     ("talk", ("comment", "comments", "reply", "replies", "disqus", "respond", "discussion")),
-    ("note", ("cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup")),
+    ("note", ("note", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup")),
     ("share", ("share", "sharing", "social", "tags", "byline", "meta")),
     ("main", ("article", "content", "post", "entry", "story", "main", "body", "text")),
 ]
 KIND_OF = {word: kind for kind, words in KINDS for word in words}
-PLAIN_TAGS = frozenset("html body div p span a b i em strong h1 h2 h3 h4 h5 h6 ul ol li table tr td blockquote pre section img br".split())
+PLAIN_TAGS = frozenset("html body div p span a b i em strong h1 h2 h3 h4 h5 h6 ul ol li table tr td blockquote pre section img br figure figcaption dl dt dd code small sub sup time cite q mark u".split())
 #: Pseudo-counts (not article, article) of features.
 PRIOR = {f"tag:{t}": (200.0, 0.2) for t in "nav footer aside form button select label input script style noscript template iframe svg head title textarea dialog menu option".split()}
 PRIOR |= {"tag:header": (100.0, 0.5), "tag:article": (0.2, 200.0), "tag:main": (2.0, 60.0)}
 PRIOR |= {f"kind:{k}": (200.0, 0.3) for k in ("ad", "menu", "foot", "side", "talk", "note")} | {"kind:head": (60.0, 1.0), "kind:share": (60.0, 2.0), "kind:main": (5.0, 60.0)}
+#: Kinds that name a part as none of the article, wherever it stands, but for the elements that hold whole pages; and their log odds.
+REJECTED, WHOLE, NEVER_ODDS = frozenset(["ad", "menu", "foot", "side", "talk", "note"]), frozenset("#root html body main article".split()), -100.0
 #: Log odds beyond which a belief is certain.
 MOST_ODDS = 500.0
 CONTAINERS = frozenset("#root html body div section article main table tbody tr td".split())
+#: Elements whose share of links tells menus from texts; in others a link may be all of a paragraph or an item.
+LINKED = CONTAINERS | frozenset(["nav", "aside", "footer", "header"])
+#: Elements that are a page's head if their names say so; headings are not.
+HEADS = frozenset("div section ul ol table p span a".split())
+#: Elements that stand in menus and in articles alike: they go with what is around them.
+NEUTRAL = INLINE | frozenset("ul ol li dl dt dd".split())
 NEVER = frozenset("nav footer aside form button select script style noscript template iframe svg head title textarea dialog menu".split())
 
 
+class Tags:
+    """Where the tags, comments and declarations of a page begin and end, each search within a page's length in all.
+
+    Marks (quotes and ``>``) have the same mark ahead of them whatever tag they are reached from, so what was once found stays known.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.marks: list[int] | None = None
+        self.known: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` behind attributes that begin at ``at``; -1 if the tag is never finished."""
+        if self.marks is None:
+            match = ATTRIBUTES.match(self.html, at)
+            if match:
+                return match.end() - 1
+            self.marks = [m.start() for m in MARKS.finditer(self.html)]
+        passed, found = [], -1
+        k = bisect_left(self.marks, at)
+        while k < len(self.marks):
+            mark = self.marks[k]
+            if mark in self.known:
+                found = self.known[mark]
+                break
+            passed.append(mark)
+            if self.html[mark] == ">":
+                found = mark
+                break
+            closing = self.html.find(self.html[mark], mark + 1)
+            if closing < 0:
+                break
+            k = bisect_left(self.marks, closing + 1)
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, tag, attributes) of the next one from ``at`` on; a comment or declaration has no tag."""
+        html = self.html
+        start = html.find("<", at)
+        while start >= 0:
+            if html.startswith("<!--", start):
+                close = html.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(html), "", "", ""
+            if html[start + 1 : start + 2] in ("!", "?"):
+                if self.last > start + 1:
+                    return start, html.index(">", start + 2) + 1, "", "", ""
+            else:
+                match = OPEN.match(html, start)
+                if match and (end := self.end(match.end())) >= 0:
+                    return start, end + 1, match[1], match[2].lower(), html[match.end() : end]
+            start = html.find("<", start + 1)
+        return None
+
+
 class Page:
     """Elements in page order (a parent before its children) and the pieces of text between them."""
 
@@ -74,20 +140,18 @@ class Page:
         self.stack = [0]
         self.depths: dict[str, list[int]] = {}  # of each tag, the places of its open elements in the stack
         self.blocks: list[int] = []  # the places of open blocks
-        at, end = 0, len(html)
+        at, end, tags = 0, len(html), Tags(html)
         while at < end:
-            match = TOKENS.search(html, at)
-            if match is None:
+            found = tags.next(at)
+            if found is None:
                 self._text(html[at:])
                 break
-            if match.start() > at:
-                self._text(html[at : match.start()])
-            at = match.end()
-            tag = match.group(2)
+            if found[0] > at:
+                self._text(html[at : found[0]])
+            _, at, slash, tag, attributes = found
             if not tag:
                 continue
-            tag = tag.lower()
-            if match.group(1):
+            if slash:
                 self._close(tag)
                 continue
             for other in CLOSES.get(tag, ()):
@@ -98,7 +162,7 @@ class Page:
                 self.flow.append((self.stack[self.blocks[-1]], None))
                 self._cut(self.blocks[-1])
             self.tags.append(tag)
-            self.kinds.append(self._kind(match.group(3)))
+            self.kinds.append(self._kind(attributes))
             self.parents.append(self.stack[-1])
             own = len(self.tags) - 1
             if tag in BLOCKS:
@@ -106,7 +170,7 @@ class Page:
             if tag in RAW:
                 close = RAW_ENDS[tag].search(html, at)
                 at = close.end() if close else end
-            elif tag not in VOID and not match.group(3).endswith("/"):
+            elif tag not in VOID and not attributes.endswith("/"):
                 self.depths.setdefault(tag, []).append(len(self.stack))
                 if tag in BLOCKS:
                     self.blocks.append(len(self.stack))
@@ -151,6 +215,16 @@ class Page:
         """1 for an element that may begin the article inside other parts, 0 for one that goes with its parent."""
         return int(self.tags[k] in CONTAINERS or self.kinds[k] == "main")
 
+    def barred(self) -> list[bool]:
+        """Whether an element's tag or names, or those of one around it, rule it out; the head of a page does, that of an article doesn't."""
+        out, inside = [False] * len(self.tags), [False] * len(self.tags)
+        for k, (tag, kind) in enumerate(zip(self.tags, self.kinds, strict=True)):
+            up = self.parents[k]
+            inside[k] = k > 0 and inside[up] or tag in ("article", "main")
+            head = not inside[k] and (tag == "header" or kind == "head" and tag in HEADS)
+            out[k] = k > 0 and out[up] or tag in NEVER or head or kind in REJECTED and tag not in WHOLE
+        return out
+
     def features(self) -> list[list[str]]:
         n = len(self.tags)
         own, link = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -166,10 +240,12 @@ class Page:
             link[self.parents[k]] += link[k]
         out = []
         for k, tag in enumerate(self.tags):
-            f = [f"tag:{tag}" if tag in PLAIN_TAGS or f"tag:{tag}" in PRIOR or tag == "#root" else "tag:other", f"size:{min(int(own[k]).bit_length(), 12) // 3}"]
+            f = [f"size:{min(int(own[k]).bit_length(), 12) // 3}"]
+            if tag not in NEUTRAL:
+                f.append(f"tag:{tag}" if tag in PLAIN_TAGS or f"tag:{tag}" in PRIOR or tag == "#root" else "tag:other")
             if self.kinds[k]:
                 f.append(f"kind:{self.kinds[k]}")
-            if own[k]:
+            if own[k] and tag in LINKED:
                 f.append(f"links:{int(3 * link[k] / own[k])}")
             out.append(f)
         return out
@@ -180,10 +256,9 @@ class Page:
             return None
         mark = "article" if "article" in self.tags else "main"
         out = [False] * len(self.tags)
-        barred = [False] * len(self.tags)
+        barred = self.barred()
         for k, tag in enumerate(self.tags):
             up = self.parents[k]
-            barred[k] = up >= 0 and barred[up] or tag in NEVER or self.kinds[k] in ("ad", "menu", "foot", "side", "talk", "note")
             out[k] = not barred[k] and (tag == mark or up >= 0 and out[up])
         return out
 
@@ -224,25 +299,33 @@ class Model:
         #: Log potential of the article less that of the rest, for each feature.
         self.single = {k: float(v[1] - v[0]) for k, v in logs.items()} | {"tag:#root": -20.0}
 
+    def own(self, page: Page) -> list[float]:
+        """Log potential of the article less that of the rest, of each element by itself."""
+        return [NEVER_ODDS if barred else sum(map(self.single.get, names, repeat(0.0))) for barred, names in zip(page.barred(), page.features(), strict=True)]
+
     def marginals(self, page: Page) -> np.ndarray:
         """P(article) of each element by sum-product: messages to the parents, then to the children.
 
-        Labels are binary, so beliefs and messages are log odds of article against the rest.
+        Labels are binary, so beliefs and messages are log odds of article against the rest. A part that is ruled out
+        says nothing of what is around it, so it has no tie to its parent.
         """
         n = len(page.tags)
-        up = [sum(map(self.single.get, names, repeat(0.0))) for names in page.features()]
+        up = self.own(page)
         sent = [0.0] * n
+        tied = [not x for x in page.barred()]
         pairs = [self.pairs[page.container(k)] for k in range(n)]
         parents = page.parents
         for k in range(n - 1, 0, -1):
-            (stay, come), (leave, go) = pairs[k]
-            odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[k])))
-            sent[k] = log((leave + go * odds) / (stay + come * odds))
-            up[parents[k]] += sent[k]
+            if tied[k]:
+                (stay, come), (leave, go) = pairs[k]
+                odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[k])))
+                sent[k] = log((leave + go * odds) / (stay + come * odds))
+                up[parents[k]] += sent[k]
         for k in range(1, n):
-            (stay, come), (leave, go) = pairs[k]
-            odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[parents[k]] - sent[k])))
-            up[k] += log((come + go * odds) / (stay + leave * odds))
+            if tied[k]:
+                (stay, come), (leave, go) = pairs[k]
+                odds = exp(max(-MOST_ODDS, min(MOST_ODDS, up[parents[k]] - sent[k])))
+                up[k] += log((come + go * odds) / (stay + leave * odds))
         return 1 / (1 + np.exp(-np.clip(up, -500, 500)))
 
 
@@ -259,7 +342,10 @@ def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html
             labels = page.labels()
             if labels is None:
                 continue
+            barred = page.barred()
             for k, names in enumerate(page.features()):
+                if barred[k]:
+                    continue
                 counts[f"node={int(labels[k])}"] += 1
                 for name in names:
                     counts[f"{name}={int(labels[k])}"] += 1

@@ -1,7 +1,9 @@
 """Broken pages in linear time, marginals against enumeration, held-out pages."""
 
+import re
 import subprocess
 import sys
+import time
 from itertools import product
 
 import numpy as np
@@ -19,6 +21,11 @@ BROKEN = {
     "stray ends": "'<div>' * 20000 + '</b></p></section>' * 20000",
     "inline ends": "'<b><div>' + '<span>' * 20000 + '</b>' * 20000",
     "open comments": "'<p>x</p>' + '<!-- ' * 20000",
+    "quotes that pair": "'<a x=' + chr(34) + 'y ' + ('<a x=' + chr(34) + 'y ') * 110_000",
+    "other quotes": "('<a b=' + chr(39) + ' ') * 140_000",
+    "no ends": "'<b ' * 340_000",
+    "declarations": "'<! x ' * 200_000",
+    "both quotes": "('<a ' + chr(34) + chr(39) + ' ') * 140_000",
     "raw ends": "'<script>' + '</scrip ' * 20000",
 }
 
@@ -26,7 +33,25 @@ BROKEN = {
 @pytest.mark.parametrize("name", BROKEN)
 def test_broken_pages_take_little_time(name):
     run = f"from quern.llm.html_extract import Model, Page; p = Page({BROKEN[name]}); Model({{}}).marginals(p)"
+    start = time.time()
+    subprocess.run([sys.executable, "-c", "pass; import quern.llm.html_extract"], check=True, timeout=60)
+    loading = time.time() - start
+    start = time.time()
     subprocess.run([sys.executable, "-c", run], check=True, timeout=60)
+    assert time.time() - start < 5 + 2 * loading
+
+
+def test_tags_are_those_of_one_pattern():
+    whole = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
+    rng = np.random.default_rng(9)
+    parts = ["<", ">", "a", "/", '"', "'", " ", "<b", "</p", "<!--", "-->", "<!", "<?", "x=", "é", "<a x='1'>", '<i y="2">']
+    for _ in range(20_000):
+        html = "".join(rng.choice(parts, rng.integers(1, 18)))
+        tags, at, got = html_extract.Tags(html), 0, []
+        while (found := tags.next(at)) is not None:
+            got.append(found)
+            at = found[1]
+        assert got == [(*m.span(), m[1] or "", (m[2] or "").lower(), m[3] or "") for m in whole.finditer(html)], html
 
 
 def test_letters_that_grow_in_lower_case_move_nothing():
@@ -44,13 +69,14 @@ def test_ends_close_what_browsers_close():
 def test_marginals_equal_enumeration(html):
     model = Model({"tag:p=1": 30, "tag:p=0": 5, "node=1": 40, "node=0": 60, "pair=001": 2, "pair=111": 9})
     page = Page(html)
-    own = np.array([sum(model.single.get(f, 0.0) for f in names) for names in page.features()])
+    barred = page.barred()
+    own = np.array([html_extract.NEVER_ODDS if barred[k] else sum(model.single.get(f, 0.0) for f in names) for k, names in enumerate(page.features())])
     total = np.zeros(len(own))
     weight = 0.0
     for labels in product((0, 1), repeat=len(own)):
         w = np.exp(own @ np.array(labels))
         for k in range(1, len(own)):
-            w *= model.pairs[page.container(k)][labels[page.parents[k]]][labels[k]]
+            w *= 1 if barred[k] else model.pairs[page.container(k)][labels[page.parents[k]]][labels[k]]
         total += w * np.array(labels)
         weight += w
     assert np.allclose(model.marginals(page), total / weight, atol=1e-9)
@@ -75,6 +101,20 @@ def test_held_out_pages_give_their_marked_articles(spark):
     print(f"held out: {right / whole:.4f} of {whole:.0f} letters")
 
 
+PAGES = {
+    "<body><header class=top><h1>Site</h1></header><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Some words of the article that go on.</p><p><a href=x>A paragraph that is one link</a></p><ul><li><a href=1>item one</a></li><li><a href=2>item two</a></li></ul><figure><img><figcaption>Seen from above</figcaption></figure><aside>side</aside><p class=note>notice</p><div class='entry-comments'><p>first!</p></div></article><footer>imprint</footer></body>": "Title\n\nSome words of the article that go on.\n\nA paragraph that is one link\n\nitem one\n\nitem two\n\nSeen from above",
+    "<html><body class='has-sidebar'><div id=content><h2>Plain</h2><p>This page has no element of its own for the article, only a div.</p><p>It has two paragraphs, both long enough to read as text.</p></div><div class=sidebar><a href=1>a</a></div><footer>imprint</footer></body></html>": "Plain\n\nThis page has no element of its own for the article, only a div.\n\nIt has two paragraphs, both long enough to read as text.",
+    "<body><footer>only a footer</footer></body>": "",
+}
+
+
+def test_parts_of_pages_of_other_shapes(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    made = spark.createDataFrame([(10_000 + i, h) for i, h in enumerate(PAGES)] + [(10_010, None), (None, ""), (10_000, next(iter(PAGES)))], "page_id long, html string")
+    got = html_extract.extract(made.withColumn("text", F.lit("clash")), html_extract.train(pages), ["page_id"]).collect()
+    assert [r["text"] for r in got] == [*PAGES.values(), "", "", next(iter(PAGES.values()))]
+
+
 def test_an_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(none, html_extract.train(none), ["page_id"]).count() == 0
