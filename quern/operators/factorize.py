@@ -81,7 +81,7 @@ class Factors:
     item: str
     users: DataFrame
     items: DataFrame
-    scores: list[tuple[float, float | None]] = field(default_factory=list)
+    scores: list[tuple[float | None, float | None]] = field(default_factory=list)
 
     def predict(self, pairs: DataFrame, name: str = "prediction") -> DataFrame:
         return score(pairs, self.users, self.items, self.user, self.item, name)
@@ -90,11 +90,11 @@ class Factors:
         return self.predict(ratings, "__p").agg(rmse(F.col(rating), F.col("__p"))).first()[0]
 
 
-def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10, lam: float = 0.1, max_iter: int = 100, test: DataFrame | None = None, patience: int | None = None, items: DataFrame | None = None, seed: int = 1234) -> Factors:
+def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10, lam: float = 0.1, max_iter: int = 100, test: DataFrame | None = None, patience: int | None = None, items: DataFrame | None = None, seed: int = 1234, scored: bool = True) -> Factors:
     """Alternating least squares with a test error after each iteration; users are solved first.
 
     With ``patience`` it stops once the test error hasn't been at its lowest for more than so many iterations, and gives the last
-    factors. ``items`` (id, features) starts from known factors. Null or missing ratings don't belong in ``ratings``.
+    factors. Without ``scored`` the training errors, a pass each, are left out. ``items`` (id, features) starts from known factors. Null or missing ratings don't belong in ``ratings``.
     """
     if patience is not None and test is None:
         raise ValueError("stopping early takes test ratings")
@@ -106,7 +106,7 @@ def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
         discard(*[x for x in (model.users, model.items) if x is not None])
         model.users, model.items = users, new
         tested = model.error(test, rating) if test is not None else None
-        model.scores.append((model.error(ratings, rating), tested))
+        model.scores.append((model.error(ratings, rating) if scored else None, tested))
         if tested is not None and tested < best:
             best, best_at = tested, step
         if patience is not None and step - best_at > patience:
