@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +101,8 @@ def kmeans(df: DataFrame, features: str, k: int = 8, init="k-means||", max_iter:
             centres = new
             if shift < tol:
                 break
+        else:
+            warnings.warn(f"k-means was ended after {max_iter} steps", RuntimeWarning, stacklevel=2)
         _, _, inertia = lloyd_step(df, features, centres)
     finally:
         df.unpersist()

@@ -9,6 +9,7 @@ models go through ``pyspark.ml`` with the penalty in its terms.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,6 +49,8 @@ def descend(gram: np.ndarray, lam: float, alpha: float, start: np.ndarray | None
                     most = max(most, abs(step) * math.sqrt(max(a[j, j], 0.0)))
             if most <= tol * (1 + math.sqrt(abs(gram[-1, -1]))):
                 break
+        else:
+            warnings.warn(f"coordinate descent was ended after {sweeps} sweeps at penalty {lam}", RuntimeWarning, stacklevel=2)
     return np.concatenate([[mean[-1] - mean[1:-1] @ x if intercept else 0.0], x])
 
 
@@ -122,7 +125,10 @@ def newton_sums(rows: DataFrame, models: list, betas: np.ndarray) -> list[dict]:
 
 @dataclass
 class ElasticNetPath:
-    """Path over alphas and lambdas with k contiguous or given folds; ``best`` has the least cross-validated error, the first among equals."""
+    """Path over alphas and lambdas with given or dealt folds; ``best`` has the least cross-validated error, the first among equals.
+
+    With folds there is a second pass: each fold's best lambda of an alpha, averaged over the folds, gives that alpha's model on all rows in ``refits``.
+    """
 
     n_lambdas: int = 100
     n_alphas: int = 5
@@ -138,8 +144,8 @@ class ElasticNetPath:
     def fit(self, df: DataFrame, features: list[str], label: str, weight: str | None = None, fold: str | None = None, valid: DataFrame | None = None) -> "ElasticNetPath":
         """``fold``: a column of fold numbers; without it rows are dealt to ``n_folds`` by a hash, or nothing is cross-validated.
 
-        Squared loss takes one job for the rows, one for ``valid``; ``family="logistic"`` (labels 0 and 1) one for each Newton step, for all folds at
-        once. With ``patience`` an alpha's path ends after so many lambdas in a row without a smaller error.
+        Rows that are equal in all features and the label share a dealt fold. Squared loss takes one job for the rows, one for ``valid``; ``family="logistic"`` (labels 0 and 1) one for each Newton step, for all
+        alphas and folds at once. With ``patience`` an alpha's path ends after so many lambdas in a row without a smaller error.
         """
         self.features = features
         if fold is None and self.n_folds > 1:
@@ -152,25 +158,55 @@ class ElasticNetPath:
         w = whole[0, 0]
         shift = np.outer(whole[0], whole[0]) / w if self.fit_intercept else 0.0
         top = float(np.abs((whole - shift)[1:-1, -1]).max())
-        alphas = self.alphas if self.alphas is not None else list(np.linspace(0, 1, self.n_alphas)) if self.n_alphas > 1 else [1.0]
-        self.path, self.models = [], {}
+        alphas = self._alphas()
+        self.path, self.models, self.refits = [], {}, []
         for ai, alpha in enumerate(alphas):
-            lambdas = self.lambdas if self.lambdas is not None else list(top / max(alpha, 1e-2) * np.logspace(0, math.log10(self.lambda_min_ratio), self.n_lambdas))
             warm: dict = {}
+            held_errors: list[list[float]] = []
+            lambdas = self._lambdas(top, alpha)
             for li, lam in enumerate(lambdas):
                 beta = warm[None] = descend(whole, lam, alpha, warm.get(None), intercept=self.fit_intercept)
                 errors = []
                 for k, g in grams.items() if fold and len(grams) > 1 else ():
                     warm[k] = descend(whole - g, lam, alpha, warm.get(k), intercept=self.fit_intercept)
                     errors.append(_rmse(g, warm[k]))
-                cv = float(np.mean(errors)) if errors else None
-                row = {"alpha_idx": ai, "lambda_idx": li, "alpha": float(alpha), "lambda": float(lam), "err_train": _rmse(whole, beta), "err_cv": cv, "err_valid": _rmse(held, beta) if held is not None else None, "dof": int((np.abs(beta[1:]) > 1e-8).sum()), "coef": [float(x) for x in beta[1:]], "intercept": float(beta[0])}
-                self.path.append(row)
+                held_errors.append(errors)
+                row = self._row(ai, li, alpha, lam, beta, _rmse(whole, beta), float(np.mean(errors)) if errors else None, _rmse(held, beta) if held is not None else None)
                 self.models[ai, li] = LinearModel(features, beta)
-        key = lambda r: next(x for x in (r["err_cv"], r["err_valid"], r["err_train"]) if x is not None)
-        chosen = min(self.path, key=key)
-        self.best = self.models[chosen["alpha_idx"], chosen["lambda_idx"]]
-        self.best_row = chosen
+                if self._ended(row):
+                    break
+            if held_errors[0]:
+                lam = float(np.mean([lambdas[i] for i in np.argmin(np.array(held_errors), axis=0)]))
+                beta = descend(whole, lam, alpha, intercept=self.fit_intercept)
+                self.refits.append({"alpha": float(alpha), "lambda": lam, "err_train": _rmse(whole, beta), "model": LinearModel(features, beta)})
+        return self._chosen()
+
+    def _alphas(self) -> list[float]:
+        return self.alphas if self.alphas is not None else list(np.linspace(0, 1, self.n_alphas)) if self.n_alphas > 1 else [1.0]
+
+    def _lambdas(self, top: float, alpha: float) -> list[float]:
+        return self.lambdas if self.lambdas is not None else list(top / max(alpha, 1e-2) * np.logspace(0, math.log10(self.lambda_min_ratio), self.n_lambdas))
+
+    def _row(self, ai: int, li: int, alpha: float, lam: float, beta: np.ndarray, train: float, cv: float | None, valid: float | None) -> dict:
+        number = lambda v: None if v is None else float(v)
+        row = {"alpha_idx": ai, "lambda_idx": li, "alpha": float(alpha), "lambda": float(lam), "err_train": number(train), "err_cv": number(cv), "err_valid": number(valid), "dof": int((np.abs(beta[1:]) > 1e-8).sum()), "coef": [float(x) for x in beta[1:]], "intercept": float(beta[0])}
+        self.path.append(row)
+        return row
+
+    @staticmethod
+    def _error(row: dict) -> float:
+        return next(x for x in (row["err_cv"], row["err_valid"], row["err_train"]) if x is not None)
+
+    def _ended(self, row: dict) -> bool:
+        """Whether the path of the row's alpha has had ``patience`` lambdas in a row without a smaller error."""
+        errors = [self._error(r) for r in self.path if r["alpha_idx"] == row["alpha_idx"]]
+        first = next(i for i, e in enumerate(errors) if e <= min(errors) + 1e-12)
+        return bool(self.patience) and len(errors) - 1 - first >= self.patience
+
+    def _chosen(self) -> "ElasticNetPath":
+        self.path.sort(key=lambda r: (r["alpha_idx"], r["lambda_idx"]))
+        self.best_row = min(self.path, key=self._error)
+        self.best = self.models[self.best_row["alpha_idx"], self.best_row["lambda_idx"]]
         return self
 
     def _fit_logistic(self, df: DataFrame, features: list[str], label: str, weight: str | None, fold: str | None, valid: DataFrame | None) -> "ElasticNetPath":
@@ -188,37 +224,67 @@ class ElasticNetPath:
         null[0] = math.log(max(mean, 1e-12) / max(1 - mean, 1e-12)) if self.fit_intercept else 0.0
         centred = gradient - (mean - 0.5) * 4 * start[0]["gram"][:-1, 0] if self.fit_intercept else gradient
         top = float(np.abs(centred[1:]).max())
-        alphas = self.alphas if self.alphas is not None else list(np.linspace(0, 1, self.n_alphas)) if self.n_alphas > 1 else [1.0]
-        self.path, self.models = [], {}
-        for ai, alpha in enumerate(alphas):
-            lambdas = self.lambdas if self.lambdas is not None else list(top / max(alpha, 1e-2) * np.logspace(0, math.log10(self.lambda_min_ratio), self.n_lambdas))
-            betas, best, worse = np.tile(null, (len(models), 1)), float("inf"), 0
-            for li, lam in enumerate(lambdas):
-                for _ in range(50):
-                    sums = newton_sums(rows, models, betas)
-                    new = np.array([descend(s["gram"], lam, alpha, b, intercept=self.fit_intercept) for s, b in zip(sums, betas, strict=True)])
-                    moved = np.abs(new - betas).max()
-                    betas = new
-                    if moved <= 1e-8 * (1 + np.abs(betas).max()):
-                        break
-                else:
-                    raise RuntimeError("Newton steps did not converge")
-                sums = newton_sums(rows, models, betas)
-                cv = float(np.mean([s["loss_held"] / s["weight_held"] for s in sums[1:]])) if len(models) > 1 else None
-                outer = newton_sums(held, [None], betas[:1])[0] if held is not None else None
-                row = {"alpha_idx": ai, "lambda_idx": li, "alpha": float(alpha), "lambda": float(lam), "err_train": sums[0]["loss"] / sums[0]["weight"], "err_cv": cv, "err_valid": outer["loss"] / outer["weight"] if outer else None, "dof": int((betas[0][1:] != 0).sum()), "coef": [float(x) for x in betas[0][1:]], "intercept": float(betas[0][0])}
-                self.path.append(row)
-                self.models[ai, li] = LogisticPathModel(features, betas[0].copy())
-                error = next(x for x in (row["err_cv"], row["err_valid"], row["err_train"]) if x is not None)
-                worse = 0 if error < best - 1e-12 else worse + 1
-                best = min(best, error)
-                if self.patience and worse >= self.patience:
-                    break
-        key = lambda r: next(x for x in (r["err_cv"], r["err_valid"], r["err_train"]) if x is not None)
-        self.best_row = min(self.path, key=key)
-        self.best = self.models[self.best_row["alpha_idx"], self.best_row["lambda_idx"]]
+        alphas = self._alphas()
+        self.path, self.models, self.refits = [], {}, []
+        lambdas = [self._lambdas(top, alpha) for alpha in alphas]
+        betas = {ai: np.tile(null, (len(models), 1)) for ai in range(len(alphas))}
+        held_errors: dict[int, list] = {ai: [] for ai in betas}
+        live = list(betas)
+        for li in range(max(map(len, lambdas))):
+            if not live:
+                break
+            sums = self._newton(rows, models, betas, {ai: (lambdas[ai][li], alphas[ai]) for ai in live})
+            outer = newton_sums(held, [None] * len(live), np.array([betas[ai][0] for ai in live])) if held is not None else [None] * len(live)
+            for ai, out in zip(list(live), outer, strict=True):
+                own = sums[ai]
+                errors = [s["loss_held"] / s["weight_held"] for s in own[1:]]
+                held_errors[ai].append(errors)
+                row = self._row(ai, li, alphas[ai], lambdas[ai][li], betas[ai][0], own[0]["loss"] / own[0]["weight"], float(np.mean(errors)) if errors else None, out["loss"] / out["weight"] if out else None)
+                self.models[ai, li] = LogisticPathModel(features, betas[ai][0].copy())
+                if self._ended(row):
+                    live.remove(ai)
+        if len(models) > 1:
+            means = {ai: float(np.mean([lambdas[ai][i] for i in np.argmin(np.array(e), axis=0)])) for ai, e in held_errors.items()}
+            final = {ai: betas[ai][:1].copy() for ai in betas}
+            sums = self._newton(rows, [None], final, {ai: (lam, alphas[ai]) for ai, lam in means.items()})
+            self.refits = [{"alpha": float(alphas[ai]), "lambda": lam, "err_train": float(sums[ai][0]["loss"] / sums[ai][0]["weight"]), "model": LogisticPathModel(features, final[ai][0])} for ai, lam in means.items()]
         discard(rows, *([held] if held is not None else []))
-        return self
+        return self._chosen()
+
+    def _newton(self, rows: DataFrame, models: list, betas: dict[int, np.ndarray], penalties: dict[int, tuple[float, float]]) -> dict[int, list[dict]]:
+        """Moves the ``betas`` of each key of ``penalties`` {key: (lambda, alpha)} to their optimum, all in the same passes; the sums there.
+
+        A step that makes the objective larger is halved. What has not settled after 100 passes stays as it is, with a warning.
+        """
+        places = [(key, i) for key in penalties for i in range(len(models))]
+        at = np.array([betas[key][i] for key, i in places])
+        good, least, out = at.copy(), np.full(len(places), np.inf), [None] * len(places)
+        for _ in range(100):
+            sums = newton_sums(rows, models * len(penalties), at)
+            settled = True
+            for j, (key, _) in enumerate(places):
+                lam, alpha = penalties[key]
+                b = at[j][1:]
+                value = sums[j]["loss"] + lam * (alpha * np.abs(b).sum() + (1 - alpha) / 2 * (b @ b))
+                if value > least[j] + 1e-10 * (1 + abs(least[j])):
+                    at[j] = (at[j] + good[j]) / 2
+                    settled = settled and bool(np.abs(at[j] - good[j]).max() <= 1e-8 * (1 + np.abs(good[j]).max()))
+                    continue
+                good[j], least[j], out[j] = at[j], value, sums[j]
+                at[j] = descend(sums[j]["gram"], lam, alpha, good[j], intercept=self.fit_intercept)
+                settled = settled and bool(np.abs(at[j] - good[j]).max() <= 1e-8 * (1 + np.abs(at[j]).max()))
+            if settled:
+                break
+        else:
+            warnings.warn("Newton steps had not settled after 100 passes", RuntimeWarning, stacklevel=2)
+        for j, (key, i) in enumerate(places):
+            betas[key][i] = good[j]
+        return {key: [out[j] for j, (k, _) in enumerate(places) if k == key] for key in penalties}
+
+    def refit_frame(self, spark: SparkSession) -> DataFrame:
+        """(alpha, lambda, err_train, coef, intercept) of each alpha's model on all rows at the folds' mean lambda."""
+        rows = [(r["alpha"], r["lambda"], r["err_train"], [float(x) for x in r["model"].coef], r["model"].intercept) for r in self.refits]
+        return spark.createDataFrame(rows, "alpha double, lambda double, err_train double, coef array<double>, intercept double")
 
     def path_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(r.values()) for r in self.path], "alpha_idx int, lambda_idx int, alpha double, lambda double, err_train double, err_cv double, err_valid double, dof int, coef array<double>, intercept double")
