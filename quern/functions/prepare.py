@@ -88,8 +88,38 @@ def scaled(df: DataFrame, columns: list[str], kind: str = "minmax", low: float =
     return df.select(*[c for c in df.columns if c not in columns], *out)
 
 
-def split_kinds(df: DataFrame, columns: list[str], most: int = 1000) -> tuple[list[str], list[str]]:
-    """(numeric, categorical) columns by their approximate number of distinct values; constant ones are in neither."""
+def standardized(train: DataFrame, others: list[DataFrame], columns: list[str]) -> list[DataFrame]:
+    """``train`` and ``others`` with their columns less the mean of ``train`` over its sample deviation (1 if that is 0), which all get alike."""
+    row = train.agg(*[f(c).alias(f"{c}__{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    moved = {c: (F.col(c).cast("double") - float(row[f"{c}__m"] or 0.0)) / (float(row[f"{c}__s"] or 0.0) or 1.0) for c in columns}
+    return [df.withColumns(moved) for df in (train, *others)]
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n) of the exact number of distinct values of each column, nulls not among them; each value of a column is one row of a partial aggregate."""
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])))
+    found = values.where("value IS NOT NULL").groupBy("name", "value").agg(F.lit(1).alias("one")).groupBy("name").agg(F.count("*").alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    return names.join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sampled(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows at random, or all if there are fewer: each task hands on its ``n`` smallest draws."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def date_text(seconds: Column | str, form: str = "yyyy-MM-dd", zone: str = "UTC") -> Column:
+    """Seconds since 1970 as text in a pattern of Spark's, in the zone's time."""
+    at = F.timestamp_seconds(F.col(seconds) if isinstance(seconds, str) else seconds)
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz")), form)
+
+
+def split_kinds(df: DataFrame, columns: list[str], most: int = 1000, exact: bool = True) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns by their number of distinct values, approximate without ``exact``; constant ones are in neither."""
+    if exact:
+        counts = {r["name"]: r["n"] for r in distinct_counts(df, columns).collect()}
+        kept = [c for c in columns if counts[c] > 1]
+        return [c for c in kept if counts[c] >= most], [c for c in kept if counts[c] < most]
     row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns], *[(F.min(c) == F.max(c)).alias(f"{c}__one") for c in columns]).first()
     kept = [c for c in columns if row[f"{c}__one"] is False]
     return [c for c in kept if row[c] >= most], [c for c in kept if row[c] < most]
@@ -218,6 +248,20 @@ def last_of_either_side(df: DataFrame, sides: list[str], values: list[str], time
     return each.groupBy(key).agg(*wide)
 
 
+def last_against_each_other(df: DataFrame, sides: list[str], values: list[str], time: str, key: str, count: int) -> DataFrame:
+    """To each row, for each of its two sides, the sum of that party's values in the last ``count`` rows of the same two parties, and their number.
+
+    The two parties in order name a pair, whichever side they stood on, so one window of each pair sees its rows; values are turned to the
+    party first in order and back. Rows of one time count in order of ``key``, which names the rows. (key, {side}_sum, n)
+    """
+    a, b = (F.col(c) for c in sides)
+    first = a <= b
+    turned = df.select(key, time, F.least(a, b).alias("__low"), F.greatest(a, b).alias("__high"), first.alias("__first"), *[F.when(first, F.col(values[i])).otherwise(F.col(values[1 - i])).alias(f"__v{i}") for i in (0, 1)])
+    w = Window.partitionBy("__low", "__high").orderBy(time, key).rowsBetween(-count, -1)
+    sums = turned.select(key, "__first", *[F.sum(f"__v{i}").over(w).alias(f"__s{i}") for i in (0, 1)], F.count("*").over(w).alias("n"))
+    return sums.select(key, *[F.when(F.col("__first"), F.col(f"__s{i}")).otherwise(F.col(f"__s{1 - i}")).alias(f"{side}_sum") for i, side in enumerate(sides)], "n")
+
+
 def undifferenced(df: DataFrame, diff: str, first: Column, order: str, by: list[str], name: str = "value") -> DataFrame:
     """Values back from first differences: each series' ``first`` value (on its first row) plus the sum of its differences so far."""
     w = Window.partitionBy(*by).orderBy(order)

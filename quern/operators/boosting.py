@@ -215,13 +215,13 @@ def interactions(nodes: DataFrame, to_depth: int = 1) -> DataFrame:
 
     A path's gain is the sum over its splits; depth 0 are single columns wherever they split.
     """
-    inner = nodes.where("feature IS NOT NULL").select("round", "class", "node", "parent", "feature", "gain")
-    paths = inner.select("round", "class", "node", "parent", F.array("feature").alias("names"), "gain")
+    inner = nodes.where("feature IS NOT NULL")
+    paths = inner.select("round", "class", "parent", F.array("feature").alias("names"), "gain")
     out = paths.select(F.lit(0).alias("depth"), "names", "gain")
-    above = inner.select("round", "class", F.col("node").alias("up"), F.col("parent").alias("next"), "feature", F.col("gain").alias("more"))
+    above = inner.select(F.col("round").alias("up_round"), F.col("class").alias("up_class"), F.col("node").alias("up"), F.col("parent").alias("next"), F.col("feature").alias("name"), F.col("gain").alias("more"))
     for depth in range(1, to_depth + 1):
-        joined = paths.join(above, (paths["round"] == above["round"]) & (paths["class"] == above["class"]) & (paths["parent"] == above["up"]))
-        paths = joined.select(paths["round"], paths["class"], above["up"].alias("node"), F.col("next").alias("parent"), F.concat("names", F.array("feature")).alias("names"), (F.col("gain") + F.col("more")).alias("gain"))
+        joined = paths.join(above, (F.col("round") == F.col("up_round")) & (F.col("class") == F.col("up_class")) & (F.col("parent") == F.col("up")))
+        paths = joined.select("round", "class", F.col("next").alias("parent"), F.concat("names", F.array("name")).alias("names"), (F.col("gain") + F.col("more")).alias("gain"))
         out = out.unionByName(paths.select(F.lit(depth).alias("depth"), "names", "gain"))
     return out.groupBy(F.array_join(F.array_sort("names"), "|").alias("interaction"), "depth").agg(F.sum("gain").alias("gain"), F.count("*").alias("splits"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.stats import gram_matrices, linear_sum
 
@@ -93,6 +94,22 @@ def pca(df: DataFrame, features: list[str], k: int = 2, whiten: bool = False) ->
     return Components(features, v, np.sqrt(values), variance, variance / total, mean, float((total - variance.sum()) / rest) if rest > 0 else 0.0, whiten)
 
 
+def left_factors(df: DataFrame, key: str, fitted: Components, prefix: str = "u") -> tuple[DataFrame, Components]:
+    """(key, u0, u1, ...) of U = X V / s for a truncated SVD, and the components with the same signs.
+
+    A column of U is 0 where its singular value is. Its sign is set so that its entry of largest size is positive, the one of the smallest ``key``
+    among equal ones; that entry is found by an aggregation, and U is one projection of the rows.
+    """
+    s = fitted.singular_values
+    raw = [linear_sum(fitted.features, v / value) if value > 0 else F.lit(0.0) for v, value in zip(fitted.components, s, strict=True)]
+    u = df.select(key, *[c.alias(f"{prefix}{i}") for i, c in enumerate(raw)])
+    named = [f"{prefix}{i}" for i in range(len(s))]
+    tops = u.agg(*[F.max_by(c, F.struct(F.round(F.abs(c), 12), -F.col(key))).alias(c) for c in named]).first() if isinstance(df.schema[key].dataType, NumericType) else u.agg(*[F.max_by(c, F.abs(c)).alias(c) for c in named]).first()
+    signs = np.array([-1.0 if (tops[c] or 0.0) < 0 else 1.0 for c in named])
+    turned = replace(fitted, components=fitted.components * signs[:, None])
+    return u.select(key, *[(F.col(c) * F.lit(float(g))).alias(c) for c, g in zip(named, signs, strict=True)]), turned
+
+
 def exploded_vector(df: DataFrame, column: str, size: int, prefix: str = "x") -> tuple[DataFrame, list[str]]:
     """An array column as ``size`` double columns."""
     names = [f"{prefix}{i}" for i in range(size)]

@@ -232,7 +232,7 @@ def kmeans_step(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    m = K.kmeans(_vectors(spark, sf_dir), "x", 10, seed=1, max_iter=8)
+    m = K.kmeans(_vectors(spark, sf_dir), "x", 10, seed=1)
     return m.predict(_vectors(spark, sf_dir)).select("vec_id", "label")
 
 
@@ -283,7 +283,7 @@ def als_half_step_rank_two(spark, sf_dir):
 @query()
 def als_factorization(spark, sf_dir):
     r = _ratings(spark, sf_dir).select(F.col("item").cast("int").alias("item"), F.col("user").cast("int").alias("user"), F.col("r").cast("float").alias("r"))
-    model = Z.factorize(r, "user", "item", "r", rank=8, max_iter=5)
+    model = Z.factorize(r, "user", "item", "r")
     return model.transform(r).agg(Z.rmse(F.col("r"), F.col("prediction")).alias("rmse"))
 
 
@@ -322,21 +322,21 @@ def moving_average(spark, sf_dir):
 @query()
 def random_forest(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_tax")
-    m = T.random_forest_classifier(df, ["l_quantity", "l_discount", "l_tax"], "y", n_estimators=10)
+    m = T.random_forest_classifier(df, ["l_quantity", "l_discount", "l_tax"], "y")
     return spark.createDataFrame(m.importances(), "name string, importance double")
 
 
 @query()
 def gradient_boosting(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), "l_quantity", "l_discount", "l_tax")
-    m = T.gradient_boosting_regressor(df, ["l_quantity", "l_discount", "l_tax"], "y", n_estimators=5)
+    m = T.gradient_boosting_regressor(df, ["l_quantity", "l_discount", "l_tax"], "y")
     return m.predict(df).agg(F.sqrt(F.avg(M.se("y", "prediction"))).alias("rmse"))
 
 
 @query()
 def graph_form_lasso(spark, sf_dir):
     df = _regression(spark, sf_dir).select((F.col("l_quantity") / 50).alias("a"), F.col("l_discount").alias("b"), (F.col("y") / 100).alias("o"))
-    x = G.solve(df, ["a", "b"], {"h": "square"}, {"h": "abs", "c": 1.0}, offset="o", max_iter=30)
+    x = G.solve(df, ["a", "b"], {"h": "square"}, {"h": "abs", "c": 1.0}, offset="o")
     return spark.createDataFrame([(n, float(v)) for n, v in zip(["a", "b"], x, strict=True)], "name string, value double")
 
 
@@ -643,3 +643,161 @@ def subgradient_projections(spark, sf_dir):
     grid = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 2).cast("double").alias("x"), (F.col("l_quantity") / 16 - 1.5).alias("v")).distinct()
     at = lambda k: F.abs("x") + 1 if k in ("negentr", "neglog", "recipr") else F.col("x")
     return rounded(grid.select("x", "v", *[X.subgradient_projection(k, F.col("v"), at(k)).alias(k) for k in _SLOPES_SQL]), but=("x", "v"))
+
+
+# -- estimators, selection, boosting, sparse and row-wise problems ---------------------------------------------------
+
+from ..operators import boosting as B  # noqa: E402
+from ..operators import estimators as E  # noqa: E402
+from ..operators import krylov as C  # noqa: E402
+from .stored import shared_folder  # noqa: E402
+
+
+@query(_NORMAL.format(lam=50).split("SELECT 'l_quantity'")[0] + "SELECT l_orderkey, l_linenumber, round(my - b1*mx - b2*mz + b1*l_quantity + b2*l_discount, 4) + 0.0::DOUBLE AS prediction FROM lineitem, b")
+def saved_pipeline_predictions(spark, sf_dir):
+    """Ridge fitted in a pipeline, saved to the shared folder, loaded and applied."""
+    import uuid
+
+    from pyspark.ml import Pipeline, PipelineModel
+
+    df = _regression(spark, sf_dir)
+    path = f"{shared_folder(spark)}/quern-model-{uuid.uuid4().hex}"
+    Pipeline(stages=[E.ElasticNet(inputCols=["l_quantity", "l_discount"], labelCol="y", lam=50.0, alpha=0.0)]).fit(df).save(path)
+    return rounded(PipelineModel.load(path).transform(df).select("l_orderkey", "l_linenumber", "prediction"), 4)
+
+
+_FOLDS_SQL = (
+    "WITH x AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_orderkey % 3 AS fold FROM lineitem), l AS (SELECT i - 1 AS map, lam FROM (VALUES (1, 0.0::DOUBLE), (2, 1e6), (3, 1e7)) v(i, lam)), "
+    "s AS (SELECT k.fold, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy FROM x, (SELECT DISTINCT fold FROM x) k WHERE x.fold <> k.fold GROUP BY k.fold), "
+    "m AS (SELECT map, lam, fold, xy / (xx + lam) AS b, my - xy / (xx + lam) * mx AS a FROM s, l), "
+    "e AS (SELECT map, lam, m.fold, sqrt(avg((y - a - b * x) * (y - a - b * x))) AS error FROM m JOIN x ON x.fold = m.fold GROUP BY map, lam, m.fold) "
+)
+
+
+def _folded(spark, sf_dir):
+    return _regression(spark, sf_dir).select(F.col("l_quantity").alias("x"), "y", (F.col("l_orderkey") % 3).cast("int").alias("fold"))
+
+
+@query(_FOLDS_SQL + "SELECT map::INT AS map, fold::INT AS fold, round(error, 5) + 0.0::DOUBLE AS error FROM e")
+def cross_validation_errors(spark, sf_dir):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    stage = E.ElasticNet(inputCols=["x"], labelCol="y", alpha=0.0)
+    grid = ParamGridBuilder().addGrid(stage.lam, [0.0, 1e6, 1e7]).build()
+    _, errors = E.cross_validate(_folded(spark, sf_dir), stage, grid, RegressionEvaluator(labelCol="y"), "fold", ["x", "y"])
+    return rounded(errors.select("map", "fold", "error"), 5)
+
+
+@query(_FOLDS_SQL + ", c AS (SELECT fold, first(lam ORDER BY error, map) AS lam FROM e GROUP BY fold), w AS (SELECT var_pop(x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy FROM x) SELECT round(avg(lam), 3) + 0.0::DOUBLE AS lambda, round(any_value(xy) / (any_value(xx) + avg(lam)), 6) + 0.0::DOUBLE AS coef FROM c, w")
+def elastic_net_second_pass(spark, sf_dir):
+    """The model on all rows at the mean of the folds' best lambdas."""
+    fit = L.ElasticNetPath(lambdas=[0.0, 1e6, 1e7], alphas=[0.0]).fit(_folded(spark, sf_dir), ["x"], "y", fold="fold")
+    return fit.refit_frame(spark).select((F.round("lambda", 3) + F.lit(0.0)).alias("lambda"), (F.round(F.get("coef", F.lit(0)), 6) + F.lit(0.0)).alias("coef"))
+
+
+@query(
+    "WITH x AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), t AS (SELECT avg(y) AS m, count(*)::DOUBLE AS n FROM x), g AS (SELECT x, sum(m - y) AS g, count(*)::DOUBLE AS h FROM x, t GROUP BY x), "
+    "c AS (SELECT x AS threshold, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER () AS g, sum(h) OVER () AS h FROM g WINDOW w AS (ORDER BY x)), "
+    "s AS (SELECT threshold, gl, hl, g - gl AS gr, h - hl AS hr, 0.5 * (gl*gl/(hl+1) + (g-gl)*(g-gl)/(h-hl+1) - g*g/(h+1)) AS gain FROM c WHERE hl >= 1 AND h - hl >= 1 ORDER BY gain DESC LIMIT 1) "
+    "SELECT threshold, round(gain, 2) + 0.0::DOUBLE AS gain, round(-gl/(hl+1), 6) + 0.0::DOUBLE AS below, round(-gr/(hr+1), 6) + 0.0::DOUBLE AS above FROM s"
+)
+def boosted_stump(spark, sf_dir):
+    """The first split of squared loss at full rate is the best of all cuts."""
+    df = _regression(spark, sf_dir).select(F.col("l_quantity").alias("x"), "y")
+    tree = B.boost(df, ["x"], "y", n_rounds=1, learning_rate=1.0, max_depth=1, max_bins=255).rounds[0][0]
+    return spark.createDataFrame([(tree.threshold[0], round(tree.gain[0], 2), round(tree.value[1], 6) + 0.0, round(tree.value[2], 6) + 0.0)], "threshold double, gain double, below double, above double")
+
+
+def _three_classes(spark, sf_dir):
+    kind = F.when(F.col("l_returnflag") == "R", 0.0).when(F.col("l_returnflag") == "A", 1.0).otherwise(2.0)
+    return table(spark, sf_dir, "lineitem").select(kind.alias("y"), "l_quantity", "l_discount", "l_tax", F.year("l_shipdate").cast("double").alias("year"), (F.col("l_orderkey") % 5 == 0).alias("held"))
+
+
+@query("SELECT i::INT AS round, true AS falls, 0.0::DOUBLE AS gap FROM range(1, 9) r(i)")
+def softmax_boosting_history(spark, sf_dir):
+    """Losses after each round of three classes: they fall, and equal those of the chances that the rounds so far give to the rows."""
+    df = _three_classes(spark, sf_dir)
+    m = B.boost(df, ["l_quantity", "l_discount", "l_tax", "year"], "y", "softmax", n_rounds=8, learning_rate=0.3)
+    out, before = [], float("inf")
+    for r, train, _ in m.history:
+        own = F.get("probability", F.col("y").cast("int"))
+        again = m.predict(df, rounds=r).agg(-F.avg(F.log(own))).first()[0]
+        out.append((r, train < before, round(abs(train - again), 6) + 0.0))
+        before = train
+    return spark.createDataFrame(out, "round int, falls boolean, gap double")
+
+
+@query()
+def boosting_gains_by_depth(spark, sf_dir):
+    m = B.boost(_three_classes(spark, sf_dir), ["l_quantity", "l_discount", "l_tax", "year"], "y", "softmax", n_rounds=10, valid="held", patience=3)
+    return rounded(B.importance_by_depth(m.nodes(spark)))
+
+
+@query()
+def boosting_interactions(spark, sf_dir):
+    m = B.boost(_three_classes(spark, sf_dir), ["l_quantity", "l_discount", "l_tax", "year"], "y", "softmax", n_rounds=10)
+    return rounded(B.interactions(m.nodes(spark), 2))
+
+
+_TWO = "SELECT 'a' AS name, round((ao*bb - bo*ab) / (aa*bb - ab*ab), 4) + 0.0::DOUBLE AS value FROM s UNION ALL SELECT 'b', round((bo*aa - ao*ab) / (aa*bb - ab*ab), 4) + 0.0 FROM s"
+
+
+@query("WITH x AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice / 100000 AS o, 1 + l_tax * 10 AS w FROM lineitem), s AS (SELECT sum(w*a*a) AS aa, sum(w*a*b) AS ab, sum(w*b*b) AS bb, sum(w*a*o) AS ao, sum(w*b*o) AS bo FROM x) " + _TWO)
+def graph_form_row_weights(spark, sf_dir):
+    """A function for each row: squares weighted by a column."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_extendedprice") / 100000).alias("o"), (1 + F.col("l_tax") * 10).alias("w"))
+    x = G.solve(df, ["a", "b"], {"h": "square", "c": "w"}, {"h": "zero"}, offset="o", tol=1e-8)
+    return spark.createDataFrame([(n, round(float(v), 4) + 0.0) for n, v in zip(["a", "b"], x, strict=True)], "name string, value double")
+
+
+@query("WITH x AS (SELECT (o_custkey % 3)::DOUBLE AS a, (o_orderkey % 4)::DOUBLE AS b, o_totalprice / 1e5 AS o FROM orders), s AS (SELECT sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*o) AS ao, sum(b*o) AS bo FROM x) " + _TWO)
+def sparse_least_squares(spark, sf_dir):
+    """Conjugate gradients over the triples of two columns with zeros."""
+    from ..sources.readers import triples
+
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("a"), (F.col("o_orderkey") % 4).alias("b"), (F.col("o_totalprice") / 1e5).alias("value"))
+    found = C.cgls(triples(df, ["a", "b"], "o_orderkey"), df.select(F.col("o_orderkey").alias("row"), "value"))
+    return rounded(found.x.select(F.when(F.col("col") == 0, "a").otherwise("b").alias("name"), "value"), 4)
+
+
+@query("SELECT i.i::INT AS i, j.j::INT AS j, (i.i = j.j)::INT::DOUBLE AS value FROM range(3) i(i), range(3) j(j) WHERE i.i <= j.j UNION ALL SELECT -1, k::INT, 1.0 FROM range(3) k(k) UNION ALL SELECT -2, k::INT, 0.0 FROM range(3) k(k)")
+def svd_left_factors(spark, sf_dir):
+    """U'U is the identity; row -1: the entry of largest size of each column of U is positive; row -2: X less U S V' is 0."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 1e5).alias("x0"), (F.col("o_custkey") % 7 / 3).alias("x1"), (F.col("o_orderkey") % 5 / 2).alias("x2"))
+    fitted = D.truncated_svd(df, ["x0", "x1", "x2"], 3)
+    u, turned = D.left_factors(df, "key", fitted)
+    products = _products(u.toDF("key", "c0", "c1", "c2"), 3, [1.0] * 3, False)
+    both = u.join(df, "key")
+    tops = [F.round(F.max_by(F.signum(f"u{i}"), F.abs(f"u{i}")), 6).alias(f"a{i}") for i in range(3)]
+    gaps = [F.round(F.max(F.abs(F.col(f"x{j}") - S.linear_sum(["u0", "u1", "u2"], turned.components[:, j] * turned.singular_values))), 6).alias(f"b{j}") for j in range(3)]
+    row = both.agg(*tops, *gaps).first()
+    more = [(-1, i, float(row[f"a{i}"])) for i in range(3)] + [(-2, i, float(row[f"b{i}"]) + 0.0) for i in range(3)]
+    return products.unionByName(spark.createDataFrame(more, "i int, j int, value double"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, ts, user_id % 20 AS home, (user_id * 7 + 3) % 23 AS away, value AS v, -value AS w FROM events), t AS (SELECT *, least(home, away) AS lo, greatest(home, away) AS hi, CASE WHEN home <= away THEN v ELSE w END AS v0, CASE WHEN home <= away THEN w ELSE v END AS v1 FROM e), "
+    "x AS (SELECT event_id, home <= away AS f, sum(v0) OVER q AS s0, sum(v1) OVER q AS s1, count(*) OVER q AS n FROM t WINDOW q AS (PARTITION BY lo, hi ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) "
+    "SELECT event_id, round(CASE WHEN f THEN s0 ELSE s1 END, 6) + 0.0::DOUBLE AS home_sum, round(CASE WHEN f THEN s1 ELSE s0 END, 6) + 0.0::DOUBLE AS away_sum, n FROM x"
+)
+def last_against_each_other(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 20).alias("home"), ((F.col("user_id") * 7 + 3) % 23).alias("away"), F.col("value").alias("v"), (-F.col("value")).alias("w"))
+    return rounded(P.last_against_each_other(df, ["home", "away"], ["v", "w"], "ts", "event_id", 3))
+
+
+@query("WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem WHERE l_orderkey % 5 <> 0) SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / d, 6) + 0.0::DOUBLE AS l_extendedprice FROM lineitem, s WHERE l_orderkey % 5 = 0")
+def standardized_by_training_rows(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    _, held = P.standardized(df.where("l_orderkey % 5 <> 0"), [df.where("l_orderkey % 5 = 0")], ["l_extendedprice"])
+    return rounded(held)
+
+
+@query("SELECT name, n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_partkey", "l_returnflag")) + ")")
+def distinct_values(spark, sf_dir):
+    return P.distinct_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_partkey", "l_returnflag"])
+
+
+@query("SELECT o_orderkey, strftime(TIMESTAMP '1990-01-01' + to_seconds(o_orderkey * 4001), '%Y-%m-%d %H:%M') AS at FROM orders")
+def formatted_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.date_text(F.lit(631152000) + F.col("o_orderkey") * 4001, "yyyy-MM-dd HH:mm").alias("at"))

@@ -81,3 +81,63 @@ def triples(df: DataFrame, features: list[str], row: str) -> DataFrame:
     """Dense columns as (row, col, value) without zeros."""
     cells = F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("value")) for i, c in enumerate(features)])
     return df.select(F.col(row).alias("row"), F.inline(cells)).where("value <> 0")
+
+
+def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of whole files, of those whose name fits ``pattern``; a file is one row."""
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+
+
+ARRAYS = "path string, member string, row long, values array<double>, error string"
+
+
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
+    """(path, member, row, values, error) of the arrays in ``.npy`` and ``.npz`` files: a row for each index of the first dimension, the others laid flat.
+
+    Files are decoded where they are read, one at a time. A member that can't be read, holds no numbers, or is pickled gives one row of nulls with the reason
+    in ``error``, and so does a file that is no archive; a member without rows gives none, nor does a file of no bytes. Real numbers become doubles.
+    """
+    from ..session import ship_package
+
+    ship_package(spark)
+    return read_binary(spark, path, pattern).select("path", "content").mapInPandas(_decoded, ARRAYS)
+
+
+def _decoded(batches):
+    import io
+    import zipfile
+
+    import numpy as np
+    import pandas as pd
+
+    def rows(path: str, member: str, data: bytes):
+        try:
+            a = np.load(io.BytesIO(data), allow_pickle=False)
+            if not (np.issubdtype(a.dtype, np.number) or a.dtype == bool) or np.iscomplexobj(a):
+                raise ValueError(f"no real numbers but {a.dtype}")
+            flat = a.reshape(len(a), int(np.prod(a.shape[1:]))) if a.ndim else a.reshape(1, 1)
+        except Exception as e:  # whatever a damaged file brings about
+            yield pd.DataFrame({"path": [path], "member": [member], "row": [None], "values": [None], "error": [f"{type(e).__name__}: {e}"]})
+            return
+        for at in range(0, len(flat), 4096):
+            part = flat[at : at + 4096].astype(float)
+            yield pd.DataFrame({"path": path, "member": member, "row": range(at, at + len(part)), "values": list(part), "error": None})
+
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            content = bytes(content)
+            if not content.startswith(b"PK"):
+                yield from rows(path, path.rsplit("/", 1)[-1].removesuffix(".npy"), content)
+                continue
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    names = archive.namelist()
+                    for name in names:
+                        try:
+                            data = archive.read(name)
+                        except Exception:  # a damaged member gives its row below
+                            data = b""
+                        yield from rows(path, name.removesuffix(".npy"), data)
+            except zipfile.BadZipFile as e:
+                yield pd.DataFrame({"path": [path], "member": [None], "row": [None], "values": [None], "error": [f"BadZipFile: {e}"]})
