@@ -80,12 +80,13 @@ def test_left_factors_and_their_signs(spark):
 def test_errors_over_windows_of_a_stream(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(minutes=m), float(y), float(p)) for m, y, p in [(0, 1, 2), (3, 2, 2), (12, 5, 1), (14, 1, 1), (60, 0, 0)]]
+    more = [(start + datetime.timedelta(minutes=61), 0.0, 0.0)]
     late = [(start + datetime.timedelta(minutes=1), 9.0, 0.0), (start + datetime.timedelta(minutes=120), 0.0, 0.0)]
     kind = "at timestamp, y double, p double"
-    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/0")
-    spark.createDataFrame(late, kind).coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    for part in (tmp_path / "in/0").glob("part-*"):
-        os.utime(part, (1_700_000_000, 1_700_000_000))  # the older file is read first
+    for k, batch in enumerate((rows, more, late)):  # a batch drops what was late when the one before it began
+        spark.createDataFrame(batch, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for part in (tmp_path / f"in/{k}").glob("part-*"):
+            os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     query = windowed_error(stream, "at", "y", "p").writeStream.format("memory").queryName("errors").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
