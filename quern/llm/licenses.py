@@ -7,7 +7,8 @@ parser turns it into postfix form, and one pass over that collects the licences
 whether permissive ones alone can satisfy it; expressions of any length cost in proportion to it.
 
 Null texts count as empty: no words, no places, empty labels, score 0. Overlapping
-places count each; repeated rows are scanned one by one.
+places count each; repeated rows and null ids are scanned one by one. A text of any length is scanned whole, in one pass; an empty table
+gives none, and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ MORE = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
+TAGGED = re.compile(r"spdx-license-identifier[^\S\r\n]*:[^\S\r\n]*([^\r\n]*)", re.I)
 #: Starts of identifiers, longest first, and their labels.
 FAMILIES = [("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("apache", "apache"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("mpl", "mpl"), ("bsd", "bsd"), ("isc", "isc"), ("mit", "mit"), ("unlicense", "public-domain")]
 #: Families that ask for little more than a notice.
@@ -48,7 +49,9 @@ PERMISSIVE = frozenset(["apache", "bsd", "cc0", "isc", "mit", "public-domain", "
 #: Every byte that is no part of a word becomes a space; bytes of other than ASCII characters are parts of words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-PIECES = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+PIECES = re.compile(r"[()/]|[A-Za-z0-9.+:-]+")
+#: Letters between an identifier's name and its version, as in GPLv2.
+VERSION = re.compile(r"v?[0-9]", re.I)
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -60,7 +63,8 @@ def postfix(expression: str) -> list[str] | None:
     stack: list[str] = []
     operand = True  # whether one is due
     for match in PIECES.finditer(expression):
-        piece, word = match.group(), match.group().lower()
+        piece = "or" if match.group() == "/" else match.group()
+        word = piece.lower()
         if operand:
             if piece == "(":
                 stack.append(piece)
@@ -116,13 +120,36 @@ def evaluated(expression: str, allowed: frozenset[str] = PERMISSIVE) -> tuple[st
 
 
 def family(identifier: str) -> str:
-    """The family's label: an identifier belongs to it if it is its name, or goes on behind it with a mark or a version."""
+    """The family's label: an identifier belongs to it if it is its name, or goes on behind it with a mark or a version (``gpl-2.0``, ``gplv2``, ``gpl2``)."""
     for start, label in FAMILIES:
-        if identifier.startswith(start) and not identifier[len(start) : len(start) + 1].isalpha():
+        rest = identifier[len(start) :]
+        if identifier.startswith(start) and (not rest[:1].isalpha() or VERSION.match(rest)):
             return label
     return identifier
 
 
+def named_families(expression: str) -> set[str]:
+    """The families of the identifiers that stand before an expression's end, the first two words in a row or a closing bracket too many; exceptions behind ``with`` are none."""
+    out: set[str] = set()
+    known = {label for _, label in FAMILIES}
+    last, depth = "", 0
+    for match in PIECES.finditer(expression):
+        piece = match.group().lower()
+        if piece in "()":
+            depth += 1 if piece == "(" else -1
+            if depth < 0:
+                break
+        elif piece not in OPERATORS and piece != "/":
+            if last == "name":
+                break
+            if last != "with" and family(piece) in known:
+                out.add(family(piece))
+            last = "name"
+            continue
+        last = piece
+    return out
+
+
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
@@ -163,7 +190,8 @@ def scan(text: str | None) -> tuple:
     if tagged:
         for match in TAGGED.finditer(text or ""):
             found = evaluated(match.group(1))
-            if found is None:
+            if found is None:  # what it names is still known, if it is of a family
+                more |= named_families(match.group(1))
                 continue
             sure = True
             expressions.append({"postfix": found[0], "permissive": found[2]})
