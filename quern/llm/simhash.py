@@ -403,13 +403,15 @@ def linked_in_buckets(mixed: DataFrame, nodes: DataFrame, rows: DataFrame, least
     return out
 
 
-def prefix_of(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The rarest of a set's hashes by ``counts`` (of their residues), one more than a pair of similarity ``least`` may lack; equal counts go by hash.
+def prefix_of(s: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """(the rarest of a set's hashes by ``counts`` (of their residues), how many of them lead); equal counts go by hash.
 
-    Two sets of that similarity share one of these whatever the order, as long as both use the same.
+    Whatever the order, two sets of similarity ``least`` share a hash that is among the first ``(1 - least) * n + 1`` of the larger one and
+    among the first ``(1 - 2 * least / (1 + least)) * n + 1``, the leading ones, of the smaller one: otherwise what is left is too little.
     """
-    size = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
-    return s[np.lexsort((s, counts[(s % np.uint64(len(counts))).astype(np.int64)]))[:size]]
+    n = len(s)
+    size, lead = (n - int(np.ceil(share * n - 1e-9)) + 1 for share in (least, 2 * least / (1 + least)))
+    return s[np.lexsort((s, counts[(s % np.uint64(len(counts))).astype(np.int64)]))[:size]], lead
 
 
 def by_prefix(large: DataFrame, rows: DataFrame, least: float, size: int) -> DataFrame:
@@ -431,11 +433,16 @@ def by_prefix(large: DataFrame, rows: DataFrame, least: float, size: int) -> Dat
     sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def chosen(batch: dict[str, list]) -> dict[str, list]:
-        return {"node": batch["row"], "keys": [prefix_of(np.frombuffer(s, np.uint64), sent.value, least).view(np.int64).tolist() for s in batch["s"]]}
-
-    keys = map_arrow(sets, ["row", "s"], chosen, "node long, keys array<bigint>").select("node", F.explode("keys").alias("key"))
-    members = written(keys.join(only, "node").select("key", F.lit(0).alias("band"), "node", "fp", "n", F.lit(0).alias("t")), "members")
-    discard(only, sets)
+        found = [prefix_of(np.frombuffer(s, np.uint64), sent.value, least) for s in batch["s"]]
+        return {"node": batch["row"], "keys": [x.view(np.int64).tolist() for x, _ in found], "lead": [n for _, n in found]}
+
+    keys = map_arrow(sets, ["row", "s"], chosen, "node long, keys array<bigint>, lead int").select("node", "lead", F.posexplode("keys").alias("place", "key"))
+    keys = written(keys.select("node", "key", (F.col("place") < F.col("lead")).alias("leads")), "keys")
+    met = keys.groupBy("key").agg(F.count("*").alias("size"), F.max("leads").alias("leads")).where("size > 1 AND leads").select("key")
+    met = written(met, "met")  # buckets in which a pair can be
+    members = keys.join(sent_if_small(met), "key", "left_semi").join(only, "node")
+    members = written(members.select("key", F.lit(0).alias("band"), "node", "fp", "n", F.lit(0).alias("t")), "members")
+    discard(only, sets, keys, met)
     return members
 
 

@@ -78,3 +78,43 @@ def test_components_of_hubs_and_paths(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_prefixes_share_a_leading_hash():
+    rng = np.random.default_rng(17)
+    counts = rng.integers(0, 5, 64).astype(np.int32)
+    seen = 0
+    for _ in range(20_000):
+        n = int(rng.integers(1, 60))
+        base = rng.choice(1 << 20, n, replace=False).astype(np.uint64)
+        cut, more = rng.integers(0, n // 6 + 1), rng.integers(0, n // 6 + 2)
+        a, b = np.sort(base), np.sort(np.concatenate([base[cut:], rng.choice(1 << 20, more).astype(np.uint64) + np.uint64(1 << 21)]))
+        b = np.unique(b)
+        if not len(b) or len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)) - 1e-9:
+            continue
+        seen += 1
+        small, large = sorted((a, b), key=len)
+        (x, lead), (y, _) = (simhash.prefix_of(s, counts, 0.8) for s in (small, large))
+        assert set(x[:lead].tolist()) & set(y.tolist())
+    assert seen > 2000
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts that share most of their words meet in buckets far above the bound, and so do their parts; every planted pair is found."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(23)
+    passage = [f"p{i}" for i in range(160)]
+    texts = []
+    for i in range(200):
+        own = [f"o{i}x{k}" for k in range(34)]
+        texts.append(passage + own)
+        if i % 8 == 0:  # a pair at 0.8 or a little more
+            keep = next(k for k in range(34) if len({*map(tuple, zip(*(([*passage, *own[:k]] + [f"n{i}x{j}" for j in range(34 - k)])[m:] for m in range(5))))} & {*map(tuple, zip(*((passage + own)[m:] for m in range(5))))}) >= 0.8 * (2 * 190) / 1.8)
+            texts.append([*passage, *own[:keep], *(f"n{i}x{j}" for j in range(34 - keep))])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    assert len(pairs) == 25
+    root = union_find(pairs, range(len(texts)))
+    got = {r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)).collect()}
+    want = {i for i, r in root.items() if i == r}
+    assert got >= want and len(got - want) <= 1
