@@ -41,30 +41,67 @@ def rank_one_half_step(ratings: DataFrame, factors: DataFrame, user: str, item:
     return joined.groupBy(user).agg((F.sum(F.col(rating) * F.col("v")) / (F.sum(F.col("v") * F.col("v")) + F.count("*") * lam)).alias("u"))
 
 
+#: Rank up to which a normal matrix is one aggregate for each pair of factors; larger ones are summed as arrays in batches.
+MOST_SUMS = 16
+
+
+def _solved(part: pd.DataFrame, rank: int, lam: float) -> pd.DataFrame:
+    """Factors of normal matrices (id, n, a, b, r), ``a`` with all rank**2 cells, and the squared error that they leave."""
+    normal = np.stack(part["a"].to_numpy()).reshape(-1, rank, rank)
+    b = np.stack(part["b"].to_numpy())
+    x = np.linalg.solve(normal + lam * part["n"].to_numpy(float)[:, None, None] * np.eye(rank), b[:, :, None])[:, :, 0]
+    error = part["r"].to_numpy() - 2 * (b * x).sum(1) + np.einsum("ni,nij,nj->n", x, normal, x)
+    return pd.DataFrame({"id": part["id"], "features": list(x), "error": np.maximum(error, 0), "n": part["n"]})
+
+
 def half_step(ratings: DataFrame, factors: DataFrame, by: str, other: str, rating: str, rank: int, lam: float) -> DataFrame:
-    """(id, features): exact factors of every ``by``, given the stored ``factors`` (id, features) of ``other``.
+    """(id, features, error, n): exact factors of every ``by``, given the stored ``factors`` (id, features) of ``other``, the squared error over its ratings, and their number.
 
     The normal matrix of a ``by`` is a sum of products for each pair of factors, so a hot one is summed where its ratings are
-    before anything is shuffled; only the sums reach numpy.
+    before anything is shuffled; only the sums reach numpy. The error follows from the same sums, so no rating is scored.
     """
     ship_package(ratings.sparkSession)
     joined = ratings.join(sent_if_small(factors.select(F.col("id").alias(other), F.col("features").alias("__f"))), other)
+    kind = ratings.schema[by].dataType.simpleString()
+    schema = f"id {kind}, features array<double>, error double, n long"
+    if rank > MOST_SUMS:
+        return _wide_half_step(joined.select(F.col(by).alias("id"), F.col(rating).cast("double").alias("r"), F.col("__f").alias("f")), kind, schema, rank, lam)
     at = [F.get("__f", F.lit(i)) for i in range(rank)]
     lower = [(i, j) for i in range(rank) for j in range(i + 1)]
-    products = [F.sum(at[i] * at[j]) for i, j in lower]
-    sums = joined.groupBy(F.col(by).alias("id")).agg(F.count("*").alias("n"), F.array(*products).alias("a"), F.array(*[F.sum(F.col(rating) * f) for f in at]).alias("b"))
+    r = F.col(rating).cast("double")
+    sums = joined.groupBy(F.col(by).alias("id")).agg(F.count("*").alias("n"), F.array(*[F.sum(at[i] * at[j]) for i, j in lower]).alias("a"), F.array(*[F.sum(r * f) for f in at]).alias("b"), F.sum(r * r).alias("r"))
     rows, columns = np.array(lower).T
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            if not len(part):
-                continue
-            normal = np.zeros((len(part), rank, rank))
-            normal[:, rows, columns] = normal[:, columns, rows] = np.stack(part["a"].to_numpy())
-            normal += lam * part["n"].to_numpy(float)[:, None, None] * np.eye(rank)
-            yield pd.DataFrame({"id": part["id"], "features": list(np.linalg.solve(normal, np.stack(part["b"].to_numpy())[:, :, None])[:, :, 0])})
+            if len(part):
+                full = np.zeros((len(part), rank, rank))
+                full[:, rows, columns] = full[:, columns, rows] = np.stack(part["a"].to_numpy())
+                yield _solved(part.assign(a=list(full.reshape(len(part), -1))), rank, lam)
+
+    return sums.mapInPandas(solve, schema)
+
+
+def _wide_half_step(joined: DataFrame, kind: str, schema: str, rank: int, lam: float) -> DataFrame:
+    """As ``half_step`` from (id, r, f): a batch hands on one matrix for each of its ids, and the matrices of an id are added where they meet."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for at in range(0, len(part), 1024):  # at most so many matrices at once
+                rows = part.iloc[at : at + 1024]
+                names, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
+                f, r = np.stack(rows["f"].to_numpy()), rows["r"].to_numpy()
+                order = np.argsort(place, kind="stable")
+                starts = np.searchsorted(place[order], np.arange(len(names)))
+                ends = np.append(starts[1:], len(order))
+                own = [(f[order[i:j]], r[order[i:j]]) for i, j in zip(starts, ends)]
+                yield pd.DataFrame({"id": names, "n": ends - starts, "a": [(x.T @ x).reshape(-1) for x, _ in own], "b": [x.T @ y for x, y in own], "r": [float(y @ y) for _, y in own]})
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        one = pd.DataFrame({"id": part["id"].iloc[:1], "n": [int(part["n"].sum())], "a": [np.sum(np.stack(part["a"].to_numpy()), axis=0)], "b": [np.sum(np.stack(part["b"].to_numpy()), axis=0)], "r": [part["r"].sum()]})
+        return _solved(one, rank, lam)
 
-    return sums.mapInPandas(solve, f"id {ratings.schema[by].dataType.simpleString()}, features array<double>")
+    return joined.mapInPandas(partial, f"id {kind}, n long, a array<double>, b array<double>, r double").groupBy("id").applyInPandas(added, schema)
 
 
 def start_factors(ratings: DataFrame, key: str, rank: int, seed: int = 1234) -> DataFrame:
@@ -94,7 +131,7 @@ def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
     """Alternating least squares with a test error after each iteration; users are solved first.
 
     With ``patience`` it stops once the test error hasn't been at its lowest for more than so many iterations, and gives the last
-    factors. Without ``scored`` the training errors, a pass each, are left out. ``items`` (id, features) starts from known factors. Null or missing ratings don't belong in ``ratings``.
+    factors. Training errors come from the normal matrices; without ``scored`` they are left out. ``items`` (id, features) starts from known factors. Null or missing ratings don't belong in ``ratings``.
     """
     if patience is not None and test is None:
         raise ValueError("stopping early takes test ratings")
@@ -106,7 +143,8 @@ def alternate(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
         discard(*[x for x in (model.users, model.items) if x is not None])
         model.users, model.items = users, new
         tested = model.error(test, rating) if test is not None else None
-        model.scores.append((model.error(ratings, rating) if scored else None, tested))
+        error, n = new.agg(F.sum("error"), F.sum("n")).first() if scored else (None, 0)
+        model.scores.append(((error / n) ** 0.5 if n else None, tested))
         if tested is not None and tested < best:
             best, best_at = tested, step
         if patience is not None and step - best_at > patience:

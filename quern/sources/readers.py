@@ -59,14 +59,20 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """(item, user, rating) of files in which a line ``item:`` heads the lines ``user,rating,...`` of that item.
 
-    Lines are numbered file by file; the last heading above a line is carried down within its file.
+    Files are read in blocks, and the last heading above a line is carried down within its block; what a block begins with
+    takes the last heading of the file's blocks before it, from a table of one row for each block. Lines above a file's first heading have no item.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    head = F.when(F.col("value").endswith(":"), F.expr("try_cast(rtrim(':', value) AS long)"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    from ..plans.stored import stored
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = stored(lines.withColumn("head", F.when(F.col("value").endswith(":"), F.expr("try_cast(rtrim(':', value) AS long)"))), "ratings")
+    above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line"))).alias("last"))
+    carried = blocks.select("file", "block", F.last("last", ignorenulls=True).over(above).alias("carried"))
+    within = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     parts = F.split("value", ",")
-    placed = lines.withColumn("item", F.last(head, ignorenulls=True).over(w)).where(~F.col("value").endswith(":"))
-    return placed.select("item", F.get(parts, F.lit(0)).try_cast("long").alias("user"), F.get(parts, F.lit(1)).try_cast("double").alias("rating"))
+    placed = lines.withColumn("own", F.last("head", ignorenulls=True).over(within)).where(~F.col("value").endswith(":")).join(F.broadcast(carried), ["file", "block"])
+    return placed.select(F.coalesce("own", "carried").alias("item"), F.get(parts, F.lit(0)).try_cast("long").alias("user"), F.get(parts, F.lit(1)).try_cast("double").alias("rating"))
 
 
 def read_sql(spark: SparkSession, url: str, query: str, **options) -> DataFrame:

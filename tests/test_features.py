@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import prepare as P
 from quern.operators import decompose as D
+from quern.operators import factorize as Z
 from quern.sources import readers
 from quern.streaming.scoring import windowed_error
 
@@ -93,3 +94,41 @@ def test_errors_over_windows_of_a_stream(spark, tmp_path):
     assert query.exception() is None and not query.isActive
     got = {r["start"]: (r["n"], r["rmse"]) for r in spark.table("errors").collect()}
     assert got[start] == (2, pytest.approx(0.5**0.5)) and got[start + datetime.timedelta(minutes=10)] == (2, pytest.approx(8**0.5))
+
+
+def test_ratings_of_files_in_blocks(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    want = []
+    for name in "ab":
+        lines = ["7,3.0,before any heading"] if name == "a" else []
+        want += [(None, 7, 3.0)] if name == "a" else []
+        for item in range(60):
+            lines.append(f"{item}:")
+            for _ in range(int(rng.integers(0, 9))):
+                user, r = int(rng.integers(0, 50)), float(rng.integers(1, 6))
+                lines.append(f"{user},{r},2005-01-01")
+                want.append((item, user, r))
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = readers.read_ratings(spark, str(tmp_path))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_factors_of_large_rank_and_their_errors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = [(int(u), int(i)) for u in range(25) for i in range(15) if rng.random() < 0.5]
+    ratings = spark.createDataFrame([(u, i, float(rng.normal() + 3)) for u, i in cells], "user int, item int, r double").repartition(3)
+    small = Z.alternate(ratings, "user", "item", "r", rank=3, max_iter=2)
+    monkeypatch.setattr(Z, "MOST_SUMS", 0)
+    wide = Z.alternate(ratings, "user", "item", "r", rank=3, max_iter=2)
+    values = lambda m: {(side, r["id"]): r["features"] for side in ("users", "items") for r in getattr(m, side).collect()}
+    one, two = values(small), values(wide)
+    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-9) for k in one)
+    assert small.scores[-1][0] == pytest.approx(small.error(ratings, "r")) and [s for s, _ in wide.scores] == pytest.approx([s for s, _ in small.scores])
