@@ -9,7 +9,8 @@ residual vector, less the piece, has the smallest weighted square norm; ``dot``
 weighted product of residual and demand. A group wastes at most some sequence of its own, so
 the number of groups, not their size, follows the data.
 
-Null texts are empty documents of one end id. Repeated rows are packed each, and dealt apart. Texts of any length are cut, so no group grows with them.
+Null texts are empty documents of one end id. Repeated rows and null ids are packed each, and dealt apart. Texts of any length are cut, so no group grows with them. An
+empty table gives no pieces; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

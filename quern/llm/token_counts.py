@@ -8,7 +8,8 @@ earlier one plus one, and nothing is encoded twice.  Budget questions (how many
 tokens has this prefix, how long a prefix fits N tokens) read the stored table.
 
 Null texts count as empty: no prefix, zero bytes and tokens.  Repeated rows and
-repeated ids are kept as they are; other columns of the input are not read.
+repeated ids are kept as they are; other columns of the input are not read, whatever their names.
+A text of any length is counted whole, in one task, with two bytes for each of its bytes; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ each step looking ``limit`` bits up in one table. The code comes from the counts
 are the best ones under the limit (package-merge), and the lengths alone give the code back.
 
 Null texts are empty documents: they hold the end id only. Null ids come first; repeated
-ids stand in the order of a hash of their tokens.
+ids stand in the order of a hash of their tokens. Ids are integers or strings. A text of any length is encoded whole and is
+one document of one block, however long; an empty table gives a codebook without codes and no blocks. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
