@@ -91,6 +91,15 @@ class _Fits(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return self._set(**values)
 
 
+def _fit_quality(scored: DataFrame, label: str, prediction: str, classes: bool) -> float:
+    """Of classes the share told right, of numbers R squared (0 if the labels don't vary)."""
+    y, p = F.col(label).cast("double"), F.col(prediction)
+    if classes:
+        return float(scored.agg(F.avg((y == p).cast("double"))).first()[0] or 0.0)
+    rest, spread = scored.agg(F.sum(F.pow(y - p, 2)), F.var_pop(y) * F.count(y)).first()
+    return 1 - rest / spread if spread else 0.0
+
+
 # -- linear models ---------------------------------------------------------------------------------------------------
 
 
@@ -173,6 +182,10 @@ class ElasticNetModel(_Fitted, _LinearParams):
             return linear.LogisticPathModel(columns, beta).predict(dataset, p).withColumn(out, (F.col(p) >= 0.5).cast("double"))
         return linear.LinearModel(columns, beta).predict(dataset, out)
 
+    def score(self, dataset: DataFrame) -> float:
+        """R squared, or the share of labels told right."""
+        return _fit_quality(self.transform(dataset), self.getLabelCol(), self.getPredictionCol(), self.getOrDefault("family") == "logistic")
+
 
 # -- groups, components, factors -------------------------------------------------------------------------------------
 
@@ -242,6 +255,16 @@ class ComponentsModel(_Fitted, _ComponentParams):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self._components().transform(dataset, self.getOrDefault("outputPrefix"))
 
+    def score(self, dataset: DataFrame) -> float:
+        """The share of the rows' variance (for SVD: of their squares) that the components hold."""
+        m = self._components()
+        kept = decompose.replace(m, whiten=False).transform(dataset.select(*m.features), "__c")
+        pca = self.getOrDefault("method") == "pca"
+        size = lambda c: F.var_pop(c) if pca else F.sum(F.col(c) * F.col(c))
+        total = lambda columns: sum((size(c) for c in columns[1:]), size(columns[0]))
+        held, whole = kept.agg(total([f"__c{i}" for i in range(len(m.components))]), total(m.features)).first()
+        return held / whole if whole else 0.0
+
     def inverse(self, dataset: DataFrame, to: str = "r") -> DataFrame:
         return self._components().inverse(dataset, self.getOrDefault("outputPrefix"), to)
 
@@ -273,6 +296,10 @@ class FactorizationModel(_Fitted, _FactorParams):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return factorize.score(dataset, self.tables["users"], self.tables["items"], self.getOrDefault("userCol"), self.getOrDefault("itemCol"), self.getPredictionCol())
 
+    def score(self, dataset: DataFrame) -> float:
+        """Less the root of the mean squared error; pairs without factors count as predicted 0."""
+        return -float(self.transform(dataset).agg(factorize.rmse(F.col(self.getOrDefault("ratingCol")), F.col(self.getPredictionCol()))).first()[0])
+
 
 # -- boosted trees ---------------------------------------------------------------------------------------------------
 
@@ -327,6 +354,10 @@ class BoostedTreesModel(_Fitted, _BoostParams):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.boosted().predict(dataset, self.getPredictionCol(), self.getOrDefault("probabilityCol"))
 
+    def score(self, dataset: DataFrame) -> float:
+        """R squared, or the share of labels told right."""
+        return _fit_quality(self.transform(dataset), self.getLabelCol(), self.getPredictionCol(), self.getOrDefault("loss") != "squared")
+
 
 # -- selection by folds ----------------------------------------------------------------------------------------------
 

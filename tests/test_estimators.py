@@ -92,3 +92,22 @@ def test_maps_of_other_parameters_are_fitted_one_by_one(rows):
     grid = ParamGridBuilder().addGrid(stage.fitIntercept, [True, False]).build()
     models = dict(stage.fitMultiple(rows, grid))
     assert models[1].intercept == 0 and models[0].intercept != 0
+
+
+def test_scores(rows):
+    numbers = E.ElasticNet(inputCols=XS, labelCol="y", lam=3.0, alpha=0.5).fit(rows)
+    flags = E.ElasticNet(inputCols=XS, labelCol="flag", family="logistic", lam=0.1, alpha=0.5).fit(rows)
+    trees = E.BoostedTrees(inputCols=XS, labelCol="y", nRounds=2, learningRate=0.5).fit(rows)
+    table = rows.toPandas()
+    for m in (numbers, trees):
+        p = m.transform(rows).toPandas().sort_values("i")
+        y = p["y"]
+        assert m.score(rows) == pytest.approx(1 - ((y - p["prediction"]) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and m.score(rows) > 0.3
+    assert flags.score(rows) == pytest.approx((flags.transform(rows).toPandas().eval("flag == prediction")).mean()) and flags.score(rows) > 0.9
+    x = table[XS].to_numpy()
+    centred = x - x.mean(axis=0)
+    assert E.ComponentsOf(inputCols=XS, k=2, whiten=True).fit(rows).score(rows) == pytest.approx((np.linalg.svd(centred)[1][:2] ** 2).sum() / (centred**2).sum())
+    assert E.ComponentsOf(inputCols=XS, k=1, method="svd").fit(rows).score(rows) == pytest.approx(np.linalg.svd(x)[1][0] ** 2 / (x**2).sum())
+    factors = E.Factorization(ratingCol="y", rank=2, maxIter=2).fit(rows)
+    p = factors.transform(rows).toPandas()
+    assert factors.score(rows) == pytest.approx(-(((p["y"] - p["prediction"]) ** 2).mean() ** 0.5))
