@@ -801,3 +801,41 @@ def distinct_values(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(TIMESTAMP '1990-01-01' + to_seconds(o_orderkey * 4001), '%Y-%m-%d %H:%M') AS at FROM orders")
 def formatted_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.date_text(F.lit(631152000) + F.col("o_orderkey") * 4001, "yyyy-MM-dd HH:mm").alias("at"))
+
+
+_AXES = (
+    "r AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l0, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l1 FROM m), v AS (SELECT *, b / sqrt(b * b + (l0 - a) * (l0 - a)) AS p, (l0 - a) / sqrt(b * b + (l0 - a) * (l0 - a)) AS q FROM r), "
+    "s AS (SELECT *, CASE WHEN (abs(p) > abs(q) AND p < 0) OR (abs(q) >= abs(p) AND q < 0) THEN -1 ELSE 1 END AS g, CASE WHEN (abs(q) > abs(p) AND -q < 0) OR (abs(p) >= abs(q) AND p < 0) THEN -1 ELSE 1 END AS h FROM v) "
+)
+
+
+def _two_columns(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 20000).alias("z"))
+
+
+def _axes(spark, m, values) -> DataFrame:
+    return spark.createDataFrame([(i, *(round(float(n), 5) + 0.0 for n in (value, *v))) for i, (value, v) in enumerate(zip(values, m.components, strict=True))], "axis int, value double, x double, z double")
+
+
+_AXES_OUT = "SELECT 0 AS axis, round({0}, 5) + 0.0::DOUBLE AS value, round(g * p, 5) + 0.0::DOUBLE AS x, round(g * q, 5) + 0.0::DOUBLE AS z FROM s UNION ALL SELECT 1, round({1}, 5) + 0.0, round(h * -q, 5) + 0.0, round(h * p, 5) + 0.0 FROM s"
+
+
+@query("WITH m AS (SELECT var_samp(l_quantity / 10) AS a, covar_samp(l_quantity / 10, l_extendedprice / 20000) AS b, var_samp(l_extendedprice / 20000) AS c FROM lineitem), " + _AXES + _AXES_OUT.format("l0", "l1"))
+def pca_axes(spark, sf_dir):
+    """Both components of two columns, the larger variance first, against the closed form."""
+    m = D.pca(_two_columns(spark, sf_dir), ["x", "z"], 2)
+    return _axes(spark, m, m.explained_variance)
+
+
+@query("WITH m AS (SELECT avg(l_quantity * l_quantity / 100) AS a, avg(l_quantity / 10 * l_extendedprice / 20000) AS b, avg(l_extendedprice * l_extendedprice / 4e8) AS c FROM lineitem), " + _AXES + _AXES_OUT.format("l0", "l1"))
+def svd_axes(spark, sf_dir):
+    """Right singular vectors of two columns and the squared singular values a row."""
+    df = _two_columns(spark, sf_dir)
+    m = D.truncated_svd(df, ["x", "z"], 2)
+    return _axes(spark, m, m.singular_values**2 / df.count())
+
+
+@query("WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS l FROM x) SELECT vec_id, (i - 1)::INT AS i, round(v[i] / l, 6) + 0.0::DOUBLE AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM n)")
+def normalized_entries(spark, sf_dir):
+    df = P.normalized_rows(_vectors(spark, sf_dir), "x")
+    return rounded(df.select("vec_id", F.posexplode("normal").alias("i", "value")))
