@@ -27,6 +27,17 @@ def import_data(spark: SparkSession, path: str, form: str | None = None, label:
     return df, features, label
 
 
+def rows_of_triples(matrix: DataFrame, columns: int) -> DataFrame:
+    """(row, values) of (row, col, value) triples: an array of ``columns`` numbers for each row that has any, 0 where there is no triple.
+
+    Values of one place are added; a row has at most ``columns`` of them when it meets, so no group is larger. Columns outside 0 to ``columns`` - 1 fail.
+    """
+    inside = F.assert_true((F.col("col") >= 0) & (F.col("col") < columns), F.lit("column out of range"))
+    cells = matrix.where(inside.isNull()).groupBy("row", "col").agg(F.sum("value").cast("double").alias("value"))
+    by_row = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "value"))).alias("cells"))
+    return by_row.select("row", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(0.0))).alias("values"))
+
+
 def from_rows(spark: SparkSession, rows, prefix: str = "x") -> DataFrame:
     """Small in-memory data (lists, arrays, pandas) as a DataFrame of double columns; one dimension is one column."""
     import numpy as np

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quern.operators import graph_form as G
 from quern.operators import krylov
+from quern.operators.decompose import exploded_vector
+from quern.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +86,17 @@ def test_conjugate_gradients_on_triples(spark, shift):
         by_row = {r["row"]: r["value"] for r in py.collect()}
         assert np.allclose([by_row.get(i, 0.0) for i in range(40)], dense @ nearest, atol=1e-7)
     assert matrix.agg(F.count("*")).first()[0] == 480
+
+
+def test_triples_go_to_the_graph_form(spark, rows):
+    a, y, _, df = rows
+    named = df.withColumn("row", F.xxhash64("p", "q", "r", "o"))
+    sparse = readers.triples(named, ["p", "q", "r"], "row")
+    wide, names = exploded_vector(readers.rows_of_triples(sparse, 3).join(named.select("row", "o"), "row"), "values", 3)
+    one = G.solve_graph(wide, names, {"h": "huber"}, {"h": "abs", "c": 1.0}, offset="o", tol=1e-5)
+    two = G.solve_graph(df, ["p", "q", "r"], {"h": "huber"}, {"h": "abs", "c": 1.0}, offset="o", tol=1e-5)
+    assert np.allclose(one.x, two.x, atol=1e-8)
+    odd = spark.createDataFrame([(1, 0, 2.0), (1, 0, 3.0), (2, 2, 1.0)], "row int, col int, value double")
+    assert {r["row"]: r["values"] for r in readers.rows_of_triples(odd, 3).collect()} == {1: [5.0, 0.0, 0.0], 2: [0.0, 0.0, 1.0]}
+    with pytest.raises(Exception, match="out of range"):
+        readers.rows_of_triples(odd, 2).collect()
