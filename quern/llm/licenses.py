@@ -49,7 +49,7 @@ PERMISSIVE = frozenset(["apache", "bsd", "cc0", "isc", "mit", "public-domain", "
 #: Every byte that is no part of a word becomes a space; bytes of other than ASCII characters are parts of words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-PIECES = re.compile(r"[()/]|[A-Za-z0-9.+:-]+")
+PIECES = re.compile(r"[()]|(?<=[A-Za-z0-9.+])/(?=[A-Za-z])|[A-Za-z0-9.+:-]+")
 #: Letters between an identifier's name and its version, as in GPLv2.
 VERSION = re.compile(r"v?[0-9]", re.I)
 
