@@ -33,6 +33,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def larger(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: neighbours are put together until they hold ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def map_arrow(df: DataFrame, columns: list, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of the chosen ``columns`` as Python lists; it returns lists for ``schema``."""
     ship_package(df.sparkSession)

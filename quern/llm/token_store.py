@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import map_arrow, shared_dir, written
+from .common import larger, map_arrow, shared_dir, small_batches, written
 from .tokens import encoder, tokenizer_path
 
 LIMIT, EVERY, BLOCK = 20, 64, 65_536
@@ -136,13 +136,20 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.nda
 def encoded(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids) with the end id behind each document's ids, as little-endian bytes of the encoder's width."""
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoder(path)
-        end = np.array([end_id], by.dtype).tobytes()
-        return {"id": rows["id"], "ids": [ids + end for ids in by.ids_of(rows["text"])]}
+        for batch in larger(batches):
+            ids, bounds = by.batch(batch.column(1))
+            ids = np.insert(ids, bounds[1:], by.dtype.type(end_id))
+            cuts = (bounds + np.arange(len(bounds))) * by.dtype.itemsize
+            held = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["id", "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_arrow(docs, [F.col(id_column).alias("id"), F.col(text_column).alias("text")], run, f"id {kind}, ids binary")
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
 def id_counts(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
