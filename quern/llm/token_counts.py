@@ -14,30 +14,39 @@ A text of any length is counted whole, in one task, with two bytes for each of i
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
-from .tokens import END_TEXT, Encoder, PieceMemory, by_pieces, encoder, tokenizer_path
+from ..session import ship_package
+from .common import larger, small_batches
+from .tokens import END_TEXT, Encoder, Pieces, encoder, tokenizer_path
 
 #: Deltas between neighbouring prefixes; a token has at most some hundred bytes, so two bytes hold any of them.
 DELTA = np.dtype("<i2")
 #: Pre-tokens that a cut after two letters splits in two.
 CONTRACTIONS = ("'re", "'ve", "'ll")
+_RUN = re.compile(r"\s\s")
 
 
-class PrefixCounter:
+class PrefixCounter(Pieces):
     """Counts of all prefixes (by code points) of a text, as differences between neighbours."""
 
-    def __init__(self, source: Encoder, memory: int = 400_000, pairs: int = 500_000):
+    def __init__(self, source: Encoder, memory: int = 600_000, pairs: int = 500_000):
         import json
 
+        super().__init__(DELTA, memory)
         self.source = source
         model = json.loads(source.library.to_str())["model"]
         self.tokens: dict[str, int] = model["vocab"]
@@ -45,11 +54,9 @@ class PrefixCounter:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}
         self.pairs, self.most_pairs = 0, pairs
-        self.apart: dict[str, dict[str, bool]] = {}
-        self.nothing: dict[str, bool] = {}
-        self.parts: dict[str, bytes] = {}
-        self.most = memory
-        self.memory = PieceMemory(self.deltas_of, memory)
+        self.apart: dict[str, dict[str, bool]] = defaultdict(dict)
+        #: The word before and, for each of its prefixes, the count, the last token and what is known of that token.
+        self.before, self.found = "", ([0], [""], [self.apart[""]])
 
     def merged(self, parts: list[str]) -> list[str]:
         """The merge rule itself, on a few letters: lowest rank first, leftmost among equals."""
@@ -85,20 +92,27 @@ class PrefixCounter:
         known = not left or self.unmerged(left, right)
         if self.pairs < self.most_pairs:
             self.pairs += 1
-            self.apart.setdefault(left, {})[right] = known
+            self.apart[left][right] = known
         return known
 
     def letters(self, word: str) -> list[int]:
         """Counts of the prefixes of one pre-token given in byte letters, from 0 letters on.
 
         Only one token ends at each place, so the shortest candidates come first and none are tried past it.
+        A prefix has its counts whatever follows, so those that the word before shares are there already.
         """
-        n = len(word)
-        counts, last = [0] * (n + 1), [""] * (n + 1)
-        tokens, apart, nothing = self.tokens, self.apart, self.nothing
-        near = [apart.get("", nothing)] * (n + 1)  # what is known of the token that ends at each place
-        for j in range(1, n + 1):
+        counts, last, near = self.found
+        before, same = self.before, 0
+        for a, b in zip(word, before):
+            if a != b:
+                break
+            same += 1
+        del counts[same + 1 :], last[same + 1 :], near[same + 1 :]
+        self.before = word[:same]
+        tokens, apart = self.tokens, self.apart
+        for j in range(same + 1, len(word) + 1):
             i = j
+            count, own = 0, ""
             while i:
                 i -= 1
                 token = word[i:j]
@@ -107,18 +121,20 @@ class PrefixCounter:
                     if known is None:
                         known = self.beside(last[i], token)
                     if known:
-                        counts[j], last[j] = counts[i] + 1, token
-                        near[j] = apart.get(token, nothing)
+                        count, own = counts[i] + 1, token
                         break
-        return counts
+            counts.append(count)
+            last.append(own)
+            near.append(apart[own])
+        self.before = word
+        return counts[:]
 
-    def points(self, word: str) -> list[int]:
+    def points(self, word: str, spelled: str | None = None) -> list[int]:
         """Counts of the prefixes of one pre-token by code points, from one code point on."""
-        counts = self.letters(self.source.as_letters(word))
+        counts = self.letters(spelled or self.source.as_letters(word))
         if word.isascii():
             return counts[1:]
-        ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in word])
-        return [counts[e] for e in ends]
+        return [counts[e] for e in accumulate(len(c.encode("utf-8", "replace")) for c in word)]
 
     def plain(self, text: str) -> list[int]:
         """Counts of all prefixes of a text without special strings."""
@@ -160,24 +176,45 @@ class PrefixCounter:
                 out += [base + c for c in self.plain(part)]
         return out
 
-    def word_deltas(self, word: str) -> bytes:
-        known = self.parts.get(word)
-        if known is None:
-            own = self.points(word)
-            if word in CONTRACTIONS:
-                own = [own[0], 2, *own[2:]]
-            known = array("h", map(sub, own, [0, *own])).tobytes()
-            if len(word) <= 3 or len(self.parts) < self.most:
-                self.parts[word] = known
-        return known
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Deltas of pre-tokens. They are counted in order, so neighbours share their beginnings."""
+        spelled = list(map(self.source.as_letters, words))
+        out = [b""] * len(words)
+        for k in sorted(range(len(words)), key=spelled.__getitem__):
+            own = self.points(words[k], spelled[k])
+            if words[k] in CONTRACTIONS:
+                own[1] = 2
+            out[k] = array("h", map(sub, own, [0, *own])).tobytes()
+        return out
 
-    def deltas_of(self, text: str) -> bytes:
-        if text and END_TEXT not in text and len((text[1:] if text[0] == " " else text).split()) == 1 and not text[-1].isspace() and not text[1:2].isspace():
-            return b"".join(map(self.word_deltas, self.source.pretokens(text)))  # no white space but one space in front
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """Deltas of pre-tokens, from ``memory`` where it holds them."""
+        keys = {w: w[1:] if w[0] == " " else " " + w for w in words}
+        found = {w: self.memory[k] for w, k in keys.items() if k in self.memory}
+        new = [w for w in words if w not in found]
+        found.update(zip(new, self.of_words(new), strict=True))
+        if len(self.memory) < self.most:
+            self.memory.update((keys[w], found[w]) for w in new if 1 < len(w) <= 64)
+        return found
+
+    def additive(self, piece: str) -> bool:
+        """Longer runs of white space are one pre-token for as long as nothing follows them."""
+        return _RUN.search(piece) is None
+
+    def of_others(self, pieces: list[str]) -> list[bytes]:
+        cut = [self.source.pretokens(" " + p) if END_TEXT not in p and self.additive(p) else None for p in pieces]
+        known = self.known({w for c in cut for w in c or ()})
+        return [self.whole(" " + p) if c is None else b"".join([known[w] for w in c]) for p, c in zip(pieces, cut, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        if text and END_TEXT not in text and not text[-1].isspace() and self.additive(text):
+            words = self.source.pretokens(text)
+            known = self.known(set(words))
+            return b"".join([known[w] for w in words])
         return array("h", map(sub, counts := self.counts(text), [0, *counts])).tobytes()
 
     def deltas(self, text: str) -> bytes:
-        return by_pieces(text, self.memory, self.deltas_of)
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 def _white(c: str) -> bool:
@@ -205,21 +242,30 @@ def token_table(docs: DataFrame, path: str, id_column: str = "doc_id", text_colu
     With a ``limit`` the tables answer one budget question on their way out: ``fits_chars`` is ``longest_prefix`` of that limit.
     """
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counter(path)
-        texts = [t or "" for t in rows["text"]]
-        tables = [by.deltas(t) for t in texts]
-        return {
-            id_column: rows["id"],
-            "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts],
-            "n_chars": [len(t) for t in texts],
-            "n_tokens": [int(np.frombuffer(t, DELTA).sum(dtype=np.int64)) for t in tables],
-            "prefix_table": tables,
-        } | ({} if limit is None else {"fits_chars": [fitting(t, limit) for t in tables]})
+        for batch in larger(batches):
+            texts = pc.fill_null(batch.column(1), "")
+            deltas, bounds = by.batch(texts)
+            counts = np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])
+            tables = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds * DELTA.itemsize).astype(np.int32)), pa.py_buffer(deltas)])
+            columns = {
+                id_column: batch.column(0),
+                "n_bytes": pc.binary_length(texts).cast(pa.int64()),
+                "n_chars": pa.array(np.diff(bounds)),
+                "n_tokens": pa.array(counts[bounds[1:]] - counts[bounds[:-1]]),
+                "prefix_table": tables,
+            }
+            if limit is not None:
+                columns["fits_chars"] = pa.array([int(np.flatnonzero(counts[a : b + 1] <= counts[a] + limit)[-1]) for a, b in zip(bounds, bounds[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema[id_column].dataType.simpleString()
     columns = [F.col(id_column).alias("id"), F.col(text_column).alias("text")]
-    return map_arrow(docs, columns, run, f"{id_column} {kind}, n_bytes long, n_chars long, n_tokens long, prefix_table binary" + ", fits_chars long" * (limit is not None))
+    return docs.select(*columns).mapInArrow(run, f"{id_column} {kind}, n_bytes long, n_chars long, n_tokens long, prefix_table binary" + ", fits_chars long" * (limit is not None))
 
 
 def tokens_of_prefix(table: Column, n_chars: Column) -> Column:

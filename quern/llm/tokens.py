@@ -38,43 +38,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class _Unsafe(Exception):
-    pass
-
-
-class PieceMemory(dict):
-    """Piece -> value of the piece with one space before it. Holds at most ``most`` pieces; later ones are worked out each time."""
-
-    def __init__(self, value_of, most: int):
-        super().__init__()
-        self.value_of, self.most = value_of, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        value = self.value_of(" " + piece)
-        if len(self) < self.most and len(piece) <= 64:
-            self[piece] = value
-        return value
-
-
-def by_pieces(text: str, memory: PieceMemory, value_of) -> bytes:
-    """The joined values of the pieces of the whole text; ``value_of`` must be additive over safe cuts."""
-    head, *rest = text.split(" ")
-    try:
-        if rest and head and head[-1].isspace():
-            raise _Unsafe
-        return value_of(head) + b"".join(map(memory.__getitem__, rest))
-    except _Unsafe:
-        head, *rest = _SAFE_CUT.split(text)
-        out = [value_of(head)]
-        for piece in rest:
-            out.append(value_of(" " + piece) if piece[-1].isspace() else memory[piece])
-        return b"".join(out)
-
-
 #: Letters of new pieces that the library encodes in one call.
 CALL = 1 << 18
+#: Pieces whose values are put in place at once.
+PLACED = 1 << 16
+
+
 class Pieces:
     """Values of whole texts that add up over safe cuts, as flat numbers of ``dtype`` for a batch of texts at once.
 
@@ -174,9 +143,13 @@ class Pieces:
         begin = np.cumsum(size) - size
         length = size[at]
         ends = np.concatenate([[0], np.cumsum(length)])
-        places = np.repeat(begin[at] - ends[:-1], length)
-        places += np.arange(ends[-1])
-        return flat[places], ends[first]
+        out = np.empty(ends[-1], self.dtype)
+        for a in range(0, len(at), PLACED):
+            own, b = at[a : a + PLACED], min(a + PLACED, len(at))
+            places = np.repeat(begin[own] - ends[a:b], length[a:b])
+            places += np.arange(ends[a], ends[b])
+            out[ends[a] : ends[b]] = flat[places]
+        return out, ends[first]
 
 
 class Encoder(Pieces):
