@@ -42,6 +42,14 @@ def test_a_function_for_each_row(rows):
     assert np.allclose(again.x, got.x, atol=1e-4)
 
 
+def test_a_large_penalty_comes_down(rows):
+    df = rows[3]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = G.solve_graph(df, ["p", "q", "r"], {"h": "square"}, {"h": "abs", "c": 1.0}, offset="o", rho=256.0, tol=1e-5, max_iter=80)
+    assert got.converged and got.rho < 256
+
+
 def test_storage_does_not_change_the_steps(rows, monkeypatch):
     df = rows[3]
     take = lambda: G.solve_graph(df, ["p", "q"], {"h": "square"}, {"h": "indge0"}, offset="o", rho=7.0, max_iter=13, tol=0.0)
