@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import prepare as P
 from quern.operators import decompose as D
 from quern.operators import factorize as Z
+from quern.plans import catalog
 from quern.sources import readers
 from quern.streaming.scoring import windowed_error
 
@@ -78,6 +79,27 @@ def test_left_factors_and_their_signs(spark):
     assert D.left_factors(df, "i", fitted)[0].agg(F.sum(F.abs("u2"))).first()[0] == 0
 
 
+@pytest.fixture
+def split_without_rows(spark, tmp_path):
+    """A folder of embeddings in one file that is read in more splits than it has groups of rows; the vectors."""
+    x = np.random.default_rng(4).normal(size=(90, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(before, ("6000", "0")):
+        spark.conf.set(k, v)
+    assert 0 in spark.read.parquet(f"{tmp_path}/embeddings.parquet").rdd.glom().map(len).collect()
+    yield str(tmp_path), x.astype(float)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_principal_components_of_splits_without_rows(spark, split_without_rows):
+    folder, x = split_without_rows
+    got = np.array([tuple(r)[1:] for r in catalog.QUERIES["pca_embeddings"](spark, folder).orderBy("vec_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-8)
+
+
 def test_errors_over_windows_of_a_stream(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(minutes=m), float(y), float(p)) for m, y, p in [(0, 1, 2), (3, 2, 2), (12, 5, 1), (14, 1, 1), (60, 0, 0)]]
