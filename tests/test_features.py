@@ -105,6 +105,11 @@ def test_variances_of_components_of_splits_without_rows(spark, split_without_row
     assert got == {(i, j): float(i == j) for i in range(4) for j in range(i, 4)}
 
 
+def test_products_of_directions_of_splits_without_rows(spark, split_without_rows):
+    got = {(r["i"], r["j"]): r["value"] for r in catalog.QUERIES["svd_orthogonality"](spark, split_without_rows[0]).collect()}
+    assert got == {(i, j): float(i == j) for i in range(4) for j in range(i, 4)}
+
+
 def test_errors_over_windows_of_a_stream(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(minutes=m), float(y), float(p)) for m, y, p in [(0, 1, 2), (3, 2, 2), (12, 5, 1), (14, 1, 1), (60, 0, 0)]]
