@@ -110,6 +110,13 @@ def test_products_of_directions_of_splits_without_rows(spark, split_without_rows
     assert got == {(i, j): float(i == j) for i in range(4) for j in range(i, 4)}
 
 
+def test_truncated_directions_of_splits_without_rows(spark, split_without_rows):
+    folder, x = split_without_rows
+    got = np.array([tuple(r)[1:] for r in catalog.QUERIES["truncated_svd_embeddings"](spark, folder).orderBy("vec_id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-8)
+
+
 def test_errors_over_windows_of_a_stream(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(minutes=m), float(y), float(p)) for m, y, p in [(0, 1, 2), (3, 2, 2), (12, 5, 1), (14, 1, 1), (60, 0, 0)]]
