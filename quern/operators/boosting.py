@@ -3,6 +3,7 @@
 Columns are cut into bins at quantiles once, and the rows are stored as bytes of bins. Each level of
 all classes' trees is one job: tasks sum gradients by (class, node, column, bin), the sums of a (class, node, column) meet in one group,
 which hands on its best split. A task holds sums, never rows, and the driver one split for each column.
+Where equal rows are many they are stored as one with their weights summed, which changes no sum.
 Missing values (null or NaN) have a bin of their own and go to the side where they gain more. What a row has reached so far is
 stored with it every ``STORE_EVERY`` rounds; the rounds since then are read from their trees.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stored import discard, stored
@@ -137,10 +138,9 @@ class Boosted:
 
         @F.pandas_udf(kind)
         def run(x: pd.Series) -> pd.Series:
-            values = np.array([[np.nan if v is None else v for v in row] for row in x], float)
-            return pd.Series(list(fn(values.reshape(len(x), -1))))
+            return pd.Series(list(fn(_stacked(x, len(self.features)))))
 
-        return run(F.array(*[F.col(c).cast("double") for c in self.features]))
+        return run(_values(self.features))
 
     def predict(self, df: DataFrame, name: str = "prediction", probability: str | None = "probability", margin: str | None = None, rounds: int | None = None) -> DataFrame:
         """Adds the label or number, by the first ``rounds``; for classes also the array of chances, in the order of ``classes``."""
@@ -231,6 +231,22 @@ def importance_by_depth(nodes: DataFrame) -> DataFrame:
     return nodes.where("feature IS NOT NULL").groupBy("feature", "depth").agg(F.sum("gain").alias("gain"), F.count("*").alias("splits"), F.sum("cover").alias("cover"))
 
 
+def _values(features: list[str]) -> Column:
+    """The columns as an array of doubles with NaN where missing."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+
+
+def _stacked(x: pd.Series, n: int) -> np.ndarray:
+    return np.stack(x.to_numpy()).astype(float, copy=False) if len(x) and n else np.empty((len(x), n))
+
+
+def merged(rows: DataFrame, weight: str) -> DataFrame:
+    """Rows that are equal but for ``weight`` as one with their sum, if at most half the rows are left by that (by an approximate count); else as they are."""
+    keys = [c for c in rows.columns if c != weight]
+    n, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*keys))).first()
+    return rows.groupBy(*keys).agg(F.sum(weight).alias(weight)) if 2 * kinds <= n else rows
+
+
 def _cuts(df: DataFrame, features: list[str], most: int) -> list[np.ndarray]:
     """Thresholds of each column at ``most`` quantiles; the largest value needs none."""
     known = [F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")).alias(c) for c in features]
@@ -279,7 +295,7 @@ def boost(df: DataFrame, features: list[str], label: str, loss: str = "squared",
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            x = np.array([[np.nan if v is None else v for v in row] for row in part["x"]], float).reshape(len(part), n_features)
+            x = _stacked(part["x"], n_features)
             cells = np.empty(x.shape, np.uint8)
             for f, c in enumerate(cuts):
                 cells[:, f] = np.where(np.isnan(x[:, f]), MISSING, np.searchsorted(c, x[:, f], side="left"))
@@ -288,11 +304,13 @@ def boost(df: DataFrame, features: list[str], label: str, loss: str = "squared",
                 place = np.searchsorted(classes, own)
                 known = np.array(classes)[np.minimum(place, len(classes) - 1)] == own
                 cells, own, part = cells[known], place[known].astype(float), part[known]  # held-out rows of a class that no fitted row has
-            yield pd.DataFrame({"x": [r.tobytes() for r in cells], "y": own, "w": part["w"], "held": part["held"], "u": part["u"], "m": [base.tolist()] * len(own)})
+            if len(own):
+                yield pd.DataFrame({"x": [r.tobytes() for r in cells], "y": own, "w": part["w"], "held": part["held"], "u": part["u"], "m": [base.tolist()] * len(own)})
 
     kinds = "x binary, y double, w double, held boolean, u long, m array<double>"
-    start = rows.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), y.alias("y"), w.alias("w"), held.alias("held"), F.xxhash64(*features, label).alias("u"))
-    state = stored(start.mapInPandas(binned, kinds), "boosting")
+    named = [f"x{f}" for f in range(n_features)]
+    start = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(features, named, strict=True)], y.alias("y"), w.alias("w"), held.alias("held"), F.xxhash64(*features, label).alias("u"))
+    state = stored(merged(start, "w").select(_values(named).alias("x"), "y", "w", "held", "u").mapInPandas(binned, kinds), "boosting")
     model = Boosted(features, loss, classes, base.tolist())
     rng = np.random.default_rng(seed)
     since: list[list[Tree]] = []  # rounds that the stored margins lack

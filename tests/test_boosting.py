@@ -128,3 +128,17 @@ def test_samples_of_rows_and_columns_and_wrong_calls(spark, monkeypatch):
     for bad in ({"loss": "other"}, {"patience": 3}, {"max_bins": 300}):
         with pytest.raises(ValueError):
             B.boost(df, ["a"], "y", **bad)
+
+
+def test_equal_rows_are_stored_as_one(spark, monkeypatch):
+    x, y, _ = rows(150, seed=11)
+    times = np.random.default_rng(4).integers(2, 6, 150)
+    once = frame(spark, x, y, w=times.astype(float), i=np.arange(150))
+    many = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    cuts, kept, store = B._cuts(once, ["a", "b", "c"], 12), [], B.stored
+    monkeypatch.setattr(B, "_cuts", lambda *_: cuts)
+    monkeypatch.setattr(B, "stored", lambda df, tag: kept.append(store(df, tag).count()) or store(df, tag))
+    fitted = [B.boost(df, ["a", "b", "c"], "y", "softmax", n_rounds=3, learning_rate=0.3, subsample=0.8, weight=w) for df, w in ((once, "w"), (many, None))]
+    assert kept[1] == kept[0] == 150 and many.count() == times.sum()
+    one, two = (np.array([r["margin"] for r in m.predict(once, margin="margin").orderBy("i").collect()]) for m in fitted)
+    assert np.allclose(one, two, atol=1e-9) and [t for _, t, _ in fitted[0].history] == pytest.approx([t for _, t, _ in fitted[1].history])
