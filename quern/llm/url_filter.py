@@ -2,8 +2,8 @@
 
 All of it is DataFrame expressions. Accepted and rejected URLs each get a variable-order Markov model over
 their characters: up to ``ORDER`` characters of context, each order backing off to the next shorter one with
-Witten-Bell weights. The models are a table of distinct n-grams that grows with the URLs; scoring joins each
-URL's n-grams with it (sent whole while a count allows) and averages per URL before anything is shuffled.
+Witten-Bell weights. The models are a table of distinct n-grams that grows with the URLs. Scoring sends every task
+the frequent n-grams, whose number has a bound, and joins the others by a shuffle; no n-gram is so frequent there that it would make a task long.
 A URL's score is its mean log-likelihood difference a character; the threshold is
 the one that parts labelled URLs kept out of the fit best, counting both classes alike.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, sent_if_small, written
+from .common import ascii_lower, discard, written
 
 #: Characters of context at most, and how many characters share the last of the probability (a fixed value: all of Unicode).
 ORDER, ALPHABET = 5, 1_114_112
@@ -34,6 +34,8 @@ MOST_RULES = 200
 #: Host terms that label a URL as rejected.
 REJECT_TERMS = ["ads-track", "adult", "bets", "casino", "pills", "poker", "porn", "spam"]
 BIN = 0.005
+#: N-grams that are more than one in so many of all, so fewer than that, are sent to every task; also all of them if they are no more.
+MOST_COMMON = 50_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,17 +66,17 @@ def grams(text: Column) -> Column:
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(rejected) - log P(accepted) of its last character after the others, for every n-gram; a stored table.
+    """(gram, n, ratio): log P(rejected) - log P(accepted) of its last character after the others, for every n-gram, which stands ``n`` times; a stored table.
 
     ``labelled`` is (text, rejected); ``rejected`` is null for texts that are only to be scored.
     """
     each = labelled.select(F.explode(grams(F.col("text"))).alias("gram"), F.coalesce(F.col("rejected").cast("int"), F.lit(0)).alias("r"), F.coalesce((~F.col("rejected")).cast("int"), F.lit(0)).alias("a"))
-    counts = written(each.groupBy("gram").agg(F.sum("r").alias("r"), F.sum("a").alias("a")), "grams")
+    counts = written(each.groupBy("gram").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("a").alias("a")), "grams")
     lower = None
     for size in range(1, ORDER + 2):
-        level = counts.groupBy(F.substring("gram", -size, size).alias("gram")).agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+        level = counts.groupBy(F.substring("gram", -size, size).alias("gram")).agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("a").alias("a"))
         context = Window.partitionBy(F.substring("gram", 1, size - 1))  # as many rows as there are characters
-        level = level.select("gram", *[c.alias(f"{k}_{n}") for k in "ra" for n, c in (("count", F.col(k)), ("all", F.sum(k).over(context)), ("kinds", F.count_if(F.col(k) > 0).over(context)))])
+        level = level.select("gram", "n", *[c.alias(f"{k}_{n}") for k in "ra" for n, c in (("count", F.col(k)), ("all", F.sum(k).over(context)), ("kinds", F.count_if(F.col(k) > 0).over(context)))])
         if lower is not None:
             level = level.join(lower, F.substring("gram", 2, size - 1) == F.col("suffix"))
         mixed = {}
@@ -84,15 +86,23 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
             mixed[k] = F.when(total > 0, (count + kinds * below) / (total + kinds)).otherwise(below)
         if size <= ORDER:
             lower = level.select(F.col("gram").alias("suffix"), *[mixed[k].alias(f"{k}_below") for k in "ra"])
-    out = written(level.select("gram", (F.log(mixed["r"]) - F.log(mixed["a"])).alias("ratio")), "ratios")
+    out = written(level.select("gram", "n", (F.log(mixed["r"]) - F.log(mixed["a"])).alias("ratio")), "ratios")
     discard(counts)
     return out
 
 
 def mean_ratios(texts: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(row, score) of every text (row, text) that is not empty: the mean of its n-grams' ratios."""
-    each = texts.select("row", F.explode(grams(F.col("text"))).alias("gram")).join(sent_if_small(ratios), "gram")
-    return each.groupBy("row").agg(F.avg("ratio").alias("score"))
+    """(row, score) of every text (row, text) that is not empty: the mean of its n-grams' ratios. ``ratios`` has all their n-grams."""
+    each = texts.select("row", F.explode(grams(F.col("text"))).alias("gram"))
+    kinds, total = ratios.agg(F.count("*"), F.sum("n")).first()
+    if kinds <= MOST_COMMON:
+        found = each.join(F.broadcast(ratios), "gram").select("row", "ratio")
+    else:
+        common = F.col("n") * MOST_COMMON > total
+        sent = F.broadcast(ratios.where(common))
+        others = each.join(sent, "gram", "left_anti").join(ratios.where(~common), "gram")
+        found = each.join(sent, "gram").select("row", "ratio").unionByName(others.select("row", "ratio"))
+    return found.groupBy("row").agg(F.avg("ratio").alias("score"))
 
 
 def best_cut(scored: DataFrame) -> float:

@@ -60,3 +60,18 @@ def test_a_held_out_threshold_parts_the_classes(spark):
     verdicts = {r["page_id"]: r["verdict"] for r in out}
     assert len(out) == len(urls) and all(verdicts[i] == "allow" for i in range(300))
     assert all(verdicts[i] == "block" for i in range(300, 400))
+
+
+def test_only_frequent_grams_are_sent(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["www.example.org/" + "".join(rng.choice(list("abcdefgh0123"), int(rng.integers(1, 12)))) for _ in range(150)] + [""]
+    df = spark.createDataFrame([(i, t, bool(i % 3 == 0) if i % 5 else None) for i, t in enumerate(texts)], "row long, text string, rejected boolean")
+    ratios, sent, send = url_filter.log_ratios(df), [], url_filter.F.broadcast
+    table = {r["gram"]: r["ratio"] for r in ratios.collect()}
+    monkeypatch.setattr(url_filter, "MOST_COMMON", 100, raising=False)
+    monkeypatch.setattr(url_filter.F, "broadcast", lambda t: sent.append(t.count()) or send(t))
+    scores = {r["row"]: r["score"] for r in url_filter.mean_ratios(df, ratios).collect()}
+    assert len(table) > 100 and sent and 0 < max(sent) < 100 and scores.keys() == set(range(150))
+    for i, t in enumerate(texts[:-1]):
+        padded = "^" * ORDER + t + "$"
+        assert abs(scores[i] - np.mean([table[padded[k : k + ORDER + 1]] for k in range(len(t) + 1)])) < 1e-9
